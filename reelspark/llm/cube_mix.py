@@ -5,13 +5,15 @@ times: the whole part for certain, the fraction by balanced sampling. The flight
 method moves the fractions along directions in the null space of two constraints (documents and
 words), so both totals stay as they are while one fraction after another becomes 0 or 1. Blocks of
 a source fly on their own and leave at most two open fractions each; those fly again, block of
-blocks, until a source has at most two left, which the landing phase settles.
+blocks. The last flight of a source joins what is left with one block held back, goes from large
+documents to small ones, and passes what each landing misses on to the next smaller ones.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -110,15 +112,37 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
+def settle(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Flight and landing from the largest documents to the smallest, in classes of like sizes.
+
+    What the landing of a class misses in words is spread over the fractions of the next class, so
+    in the end only the smallest documents' landing is left as an error.
+    """
+    p, order, missed = p.astype(float).copy(), np.argsort(-size, kind="stable"), 0.0
+    start = 0
+    while start < len(order):
+        end = start + 1
+        while end < len(order) and size[order[end]] * 1.5 >= size[order[start]]:
+            end += 1
+        own = order[start:end]
+        wanted = float((p[own] * size[own]).sum()) + missed
+        open_ = own[(p[own] > 1e-9) & (p[own] < 1 - 1e-9)]
+        if len(open_) and missed:
+            p[open_] = np.clip(p[open_] + missed / float(size[open_].sum()), 0.0, 1.0)
+        p[own] = land(fly(p[own], size[own], draws[own]), size[own])
+        missed = wanted - float((p[own] * size[own]).sum())
+        start = end
+    return p
+
+
 def _flight(last: bool):
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+    def move(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["draw", "key", "size", "nth"], ignore_index=True)
-        size = rows["size"].to_numpy()
-        p = fly(rows["p"].to_numpy(), size, (rows["draw"].to_numpy().astype(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53)
-        rows["p"] = land(p, size) if last else p
+        draws = (rows["draw"].to_numpy().astype(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
+        rows["p"] = (settle if last else fly)(rows["p"].to_numpy(), rows["size"].to_numpy(), draws)
         return rows
 
-    return settle
+    return move
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block_rows: int = BLOCK_ROWS, seed: int = 11) -> DataFrame:
@@ -141,14 +165,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     level = max(1, math.ceil(count / block_rows))
     sid = F.xxhash64(F.coalesce("source", F.lit("\0null")))
     rows = rows.select("*", F.pmod(F.xxhash64("draw", "key"), F.lit(level)).alias("blk"), sid.alias("sid"))
-    done = None
-    while True:
-        flown = materialize(rows.groupBy("sid", "source", "blk").applyInPandas(_flight(level == 1), schema), "mix-flight")
-        settled = flown.where((F.col("p") == 0) | (F.col("p") == 1))
-        done = settled if done is None else done.unionByName(settled)
-        if level == 1:
-            break
-        rows, level = flown.where((F.col("p") > 0) & (F.col("p") < 1)), max(1, math.ceil(level * 2 / block_rows))
-        rows = rows.withColumn("blk", F.pmod("blk", F.lit(level)))
+    reserve, rows = (rows.where("blk = 0"), rows.where("blk > 0")) if level > 1 else (rows, None)
+    done = []
+    while level > 1:
+        flown = materialize(rows.groupBy("sid", "source", "blk").applyInPandas(_flight(False), schema), "mix-flight")
+        done.append(flown.where((F.col("p") == 0) | (F.col("p") == 1)))
+        level = math.ceil(level * 2 / block_rows)
+        rows = flown.where((F.col("p") > 0) & (F.col("p") < 1)).withColumn("blk", F.pmod("blk", F.lit(level)))
+    last = reserve if rows is None else reserve.unionByName(rows)
+    done = reduce(DataFrame.unionByName, [*done, last.groupBy("sid", "source").applyInPandas(_flight(True), schema)])
     copies = (F.col("whole") + F.col("p")).cast("long")
     return done.select(id_value("key").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -26,8 +26,8 @@ from reelspark.llm._text import NOT_LETTER, Bytes, Words, blocks, lower
 BUCKETS = 1 << 18
 #: Labelled rows that the fit takes at most, by the order of a hash of their id.
 TRAIN_ROWS = 100_000
-#: Tokens of prior that the corpus stands for, in each class.
-PRIOR = 100_000.0
+#: Tokens of prior that the corpus stands for in each class, as a share of the labelled tokens.
+PRIOR = 0.05
 DRIFT = 0.5
 #: Log-odds and z-scores: the z-score at which half of the log-odds counts.
 HALF_Z = 4.0
@@ -47,12 +47,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = batch.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False)
         for first, last, data, offsets in blocks(batch):
             words, bucket = _bucketed(data, offsets)
+            pair = np.unique(words.rows * BUCKETS + bucket)  # a document counts a token once: bursts say little
+            bucket, label = pair % BUCKETS, toxic[first:last][pair // BUCKETS]
             counts[0] += np.bincount(bucket, minlength=BUCKETS)
-            label = np.repeat(toxic[first:last], words.counts)
             for k, value in ((1, 1), (2, 0)):
-                if (label == value).any():  # a document counts a token once: bursts say little
-                    pair = np.unique(words.rows[label == value] * BUCKETS + bucket[label == value])
-                    counts[k] += np.bincount(pair % BUCKETS, minlength=BUCKETS)
+                counts[k] += np.bincount(bucket[label == value], minlength=BUCKETS)
     used = np.flatnonzero(counts[0])
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(c[used]) for c in counts)], ["bucket", "n", "n_toxic", "n_clean"])
 
@@ -66,7 +65,7 @@ class Scores:
 
 
 def log_odds(n: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> Scores:
-    prior = PRIOR * (n + 1e-3) / (n.sum() + 1e-3 * len(n))
+    prior = PRIOR * (toxic.sum() + clean.sum()) * (n + 1e-3) / (n.sum() + 1e-3 * len(n))
     a, b = toxic + prior, clean + prior
     odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
     z = odds / np.sqrt(1 / a + 1 / b)
