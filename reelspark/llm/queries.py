@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import chat_format, credential_scan, cube_mix, tiling_decontam, token_output, toxicity
+from reelspark.llm import chat_format, credential_scan, cube_mix, suffix_dedup, tiling_decontam, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -22,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(token_output.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -56,6 +60,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_output": op2_token_output,
     "op3_cube_mix": op3_cube_mix,
     "op6_toxicity": op6_toxicity,
