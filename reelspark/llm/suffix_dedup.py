@@ -4,8 +4,8 @@ A suffix array of every byte of a corpus doesn't shuffle well; a sparse one does
 ``least`` bytes chooses one of its seeds (``seed`` bytes, the least hash), so equal windows, wherever
 they are, choose the same seed at the same offset, and only chosen positions become suffixes:
 about 2 in ``least - seed + 2`` bytes. Suffixes with the same seed meet; each has its context, the
-bytes that a window around it can reach. Contexts that are the same everywhere need no look at
-their bytes. The others form an enhanced suffix array per seed (suffixes sorted, neighbours' common
+bytes that a window around it can reach. Contexts that occur twice are
+repeats as they are, without a look at their bytes. The others form an enhanced suffix array per seed (suffixes sorted, neighbours' common
 prefixes); a stack scan lists its common-prefix intervals, and the members' left contexts, sorted
 the same way, tell how far each interval extends to the left: an interval with different left
 contexts is a maximal repeat, and all its members are occurrences.
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.llm._anchors import packed, repeated, unpack
 from reelspark.llm._store import id_value, materialize, texts
 from reelspark.llm._text import Bytes, blocks, minimizers, mix, signed
 
@@ -65,7 +66,7 @@ def _contexts(least: int, seed: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data = batch.column("text")[i].as_py().encode()
+                data = unpack(batch.column("packed")[i].as_py())
                 found = batch.column("wanted")[i].values
                 seeds, contexts, positions = (found.field(k).to_pylist() for k in ("seed", "context", "pos"))
                 yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(contexts, pa.int64()), pa.array([data[max(0, p - back) : p][::-1] for p in positions], pa.binary()), pa.array([data[p : p + ahead] for p in positions], pa.binary())], schema=schema)
@@ -194,15 +195,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = texts(docs, id_col, text_col)
     found = rows.mapInArrow(_anchors(least, seed), "seed long, context long, key long, pos int")
-    groups = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("context").alias("one"), F.max("context").alias("other")).where("n > 1")
-    again = materialize(found.join(groups.select("seed", (F.col("one") != F.col("other")).alias("differ")), "seed"), "suffix-anchors")
+    again = materialize(repeated(found), "suffix-anchors")
 
     # One occurrence of each different context lends its bytes.
-    lent = again.where("differ").groupBy("seed", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("at"))
-    lent = materialize(lent.select("seed", "context", "n", "at.key", "at.pos"), "suffix-lenders")
+    lent = again.where("multi AND NOT later").groupBy("seed", "context").agg(F.max("twice").alias("twice"), F.min(F.struct("key", "pos")).alias("at"))
+    lent = materialize(lent.select("seed", "context", F.when(F.col("twice"), 2).otherwise(1).cast("long").alias("n"), "at.key", "at.pos"), "suffix-lenders")
     wanted = lent.groupBy("key").agg(F.collect_list(F.struct("seed", "context", "pos")).alias("wanted"))
-    # Of rows that share an id, the longest text lends.
-    cut = rows.join(wanted, "key").mapInArrow(_contexts(least, seed), "seed long, context long, behind binary, ahead binary")
+    cut = packed(rows).join(wanted, "key").mapInArrow(_contexts(least, seed), "seed long, context long, behind binary, ahead binary")
     contexts = cut.groupBy("seed", "context").agg(F.max(F.struct("behind", "ahead")).alias("c"))
     sizes = lent.groupBy("seed").agg(F.count("*").alias("different"))
     contexts = materialize(lent.select("seed", "context", "n").join(sizes, "seed").join(contexts, ["seed", "context"]).select("seed", "context", "n", "different", "c.*"), "suffix-contexts")
@@ -216,8 +215,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = windows.join(common, window).groupBy("seed", "context").agg(F.max("back").cast("long").alias("left"), (F.lit(least) - F.min("back")).cast("long").alias("right"))
     settled = settled.unionByName(hot)
 
-    same = again.where("NOT differ").select("key", F.greatest(F.col("pos") - (least - seed), F.lit(0)).alias("start"), (F.col("pos") + least).alias("end"))
-    mixed = again.where("differ").join(settled, ["seed", "context"]).select("key", (F.col("pos") - F.col("left")).cast("int").alias("start"), (F.col("pos") + F.col("right")).cast("int").alias("end"))
+    same = again.where("twice").select("key", F.greatest(F.col("pos") - (least - seed), F.lit(0)).alias("start"), (F.col("pos") + least).alias("end"))
+    mixed = again.where("multi AND NOT twice").join(settled, ["seed", "context"]).select("key", (F.col("pos") - F.col("left")).cast("int").alias("start"), (F.col("pos") + F.col("right")).cast("int").alias("end"))
     spans = same.unionByName(mixed).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     return materialize(spans, "suffix-spans").select(id_value("key").alias(id_col), "spans")
 
@@ -237,10 +236,10 @@ def merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts_, spans = batch.column("text"), batch.column("spans")
+        texts_, spans = batch.column("packed"), batch.column("spans")
         out = []
         for i in range(batch.num_rows):
-            data = texts_[i].as_py().encode()
+            data = unpack(texts_[i].as_py())
             gone = merged(spans[i].as_py(), len(data))
             kept, at = [], 0
             for a, b in gone:
@@ -261,5 +260,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """
     rows = texts(docs, id_col, text_col)
     spans = repeated_spans(rows.select("key", "text"), "key", "text", least, seed, most)
-    joined = rows.join(spans.select(F.coalesce("key", F.lit(-(2**63))).alias("key"), "spans"), "key", "left")
+    joined = packed(rows).join(spans.select(F.coalesce("key", F.lit(-(2**63))).alias("key"), "spans"), "key", "left")
     return joined.mapInArrow(_removed, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("key", "__key").select(id_value("__key").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
