@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import chat_format, credential_scan, cube_mix, rlz_dedup, suffix_dedup, tiling_decontam, token_output, toxicity
+from reelspark.llm import chat_format, credential_scan, cube_mix, ngram_join, rlz_dedup, suffix_dedup, tiling_decontam, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -35,6 +35,10 @@ def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_output": op2_token_output,
     "op3_cube_mix": op3_cube_mix,
+    "op4_ngram_join": op4_ngram_join,
     "op5_rlz_dedup": op5_rlz_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_credential_scan": op7_credential_scan,
