@@ -176,3 +176,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     done = reduce(DataFrame.unionByName, [*done, last.groupBy("sid", "source").applyInPandas(_flight(True), schema)])
     copies = (F.col("whole") + F.col("p")).cast("long")
     return done.select(id_value("key").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def apply(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mixed documents: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
+    taken = mix(docs, id_col, **options).select(id_key(id_col).alias("__key"), "copies")
+    taken = materialize(taken.groupBy("__key").agg(F.sort_array(F.collect_list("copies")).alias("__copies")), "mix-copies")
+    rows = docs.withColumn("__key", id_key(docs[id_col])).join(taken, "__key")
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("text")) if "text" in docs.columns else F.lit(1)
+    rows = rows.withColumn("__nth", nth).withColumn("__n", F.get("__copies", F.col("__nth") - 1))
+    return rows.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import chat_format, credential_scan, cube_mix, ngram_join, rlz_dedup, suffix_dedup, tiling_decontam, token_output, toxicity
+from reelspark.llm import chat_format, credential_scan, cube_mix, ngram_join, order_minhash, rlz_dedup, suffix_dedup, tiling_decontam, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -57,6 +57,10 @@ def op8_tiling_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_words", "n_covered", "n_tiles", F.round("coverage", 6).alias("coverage"))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_probe(_table(spark, sf_dir, "documents"))
+
+
 PROBE_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_credential_scan": op7_credential_scan,
     "op8_tiling_decontam": op8_tiling_decontam,
+    "op9_order_minhash": op9_order_minhash,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {

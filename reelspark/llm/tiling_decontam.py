@@ -145,8 +145,7 @@ def tiles_with(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out.select(id_value("key").alias(id_col), id_value("item").alias(item_col), "n_words", "n_covered", "n_tiles", (F.col("n_covered") / F.col("n_words")).alias("coverage"), "tiles")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates."""
-    hit = materialize(tiles_with(docs, benchmark, **options).select("doc_id").distinct(), "contaminated")
-    same = docs["doc_id"].eqNullSafe(hit["doc_id"])
-    return docs.join(hit, same, "left_anti")
+    hit = tiles_with(docs, benchmark, id_col, **options).select(id_key(id_col).alias("__key")).distinct()
+    return docs.withColumn("__key", id_key(docs[id_col])).join(materialize(hit, "contaminated"), "__key", "left_anti").select(*docs.columns)

@@ -178,7 +178,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = materialize(rows.mapInArrow(_segmenter(held), _FEATURES), "toxic-segments")
     # Gumbel: scale * best - ln(tokens) has its location at ln K; the mean lies Euler's constant above.
     normal = F.col("best") * scores.scale - F.log(F.greatest("n_tokens", F.lit(1)).cast("double"))
-    fit = found.join(F.broadcast(known), "key").select("toxic", normal.alias("x"), "n_tokens", (F.col("best") > 0).cast("int").alias("any"), F.transform("segments", lambda s: s["score"]).alias("s")).toPandas() if toxic.any() and clean.any() else None
+    fit = found.join(F.broadcast(known), "key").select("toxic", normal.alias("x"), (F.col("best") > 0).cast("int").alias("any")).toPandas() if toxic.any() and clean.any() else None
     if fit is None or fit["toxic"].nunique() < 2:
         share = known.agg(F.avg("toxic")).first()[0] or 0.0
         probability, evidence = F.lit(float(share)), F.lit(0.0)
@@ -202,3 +202,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     p = F.least(F.greatest(probability, F.lit(0.0)), F.lit(1.0)).cast("double")
     out = found.select(id_value("key").alias(id_col), p.alias("score"), evidence.alias("evidence"), "segments")
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "segments")
+
+
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic; of rows that share an id, all go if one does."""
+    toxic = score(docs, labels, id_col, **options).where("predicted = 1").select(id_key(id_col).alias("__key")).distinct()
+    return docs.withColumn("__key", id_key(docs[id_col])).join(materialize(toxic, "toxic"), "__key", "left_anti").select(*docs.columns)
