@@ -134,7 +134,7 @@ def sliced_wasserstein(frames: DataFrame, keyframes: DataFrame, keys: list[str],
     rank = F.row_number().over(Window.partitionBy(*keys, "d", "side").orderBy("p", ident))
     proj = proj.select(*keys, "d", "side", "p", rank.alias("rank"))
     gap = F.abs(F.max(F.when(F.col("side") == 0, F.col("p"))) - F.max(F.when(F.col("side") == 1, F.col("p"))))
-    return proj.groupBy(*keys, "d", "rank").agg(gap.alias("g")).groupBy(*keys, "d").agg(F.avg("g").alias("w")).groupBy(*keys).agg(F.avg("w").alias("swd"))
+    return proj.groupBy(*keys, "d", "rank").agg(gap.alias("__gap")).groupBy(*keys, "d").agg(F.avg("__gap").alias("w")).groupBy(*keys).agg(F.avg("w").alias("swd"))
 
 
 def reward(weights: dict[str, float], diversity: Column, rec_error: Column, frechet_: Column, swd: Column, motion: Column, chosen: Column) -> Column:

@@ -52,8 +52,10 @@ def named_images(keys: DataFrame) -> DataFrame:
 
 def nested_results(rows: DataFrame) -> DataFrame:
     """(video_id, json): method to metric to value."""
-    one = rows.groupBy("video_id", "method").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("m"))
-    return one.groupBy("video_id").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", F.to_json("m").alias("m")))))).alias("json"))
+    entries = F.sort_array(F.collect_list(F.struct("method", "metric", "value")))
+    methods = F.array_distinct(F.transform("e", lambda x: x["method"]))
+    of = lambda m: F.map_from_entries(F.transform(F.filter("e", lambda x: x["method"] == m), lambda x: F.struct(x["metric"], x["value"])))
+    return rows.groupBy("video_id").agg(entries.alias("e")).select("video_id", F.to_json(F.map_from_arrays(methods, F.transform(methods, of))).alias("json"))
 
 
 def layout_json(parts: DataFrame, keys: list[str], order: str) -> DataFrame:
