@@ -83,7 +83,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_order_minhash": op9_order_minhash,
     "op10_chat_format": op10_chat_format,
 }
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_join": f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT doc_id AS k, doc_id AS c FROM documents UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.c)
+SELECT k AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.k GROUP BY k
+""",
+    "op5_rlz_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)
+), f AS (SELECT x, min(doc_id) AS f FROM x GROUP BY x
+), g AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(i, i + 13)) AS i FROM x JOIN f USING (x) WHERE f < doc_id)
+), k AS (SELECT doc_id, i, word FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM w) ANTI JOIN g USING (doc_id, i)
+), c AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN c USING (doc_id)
+""",
     # The template's header, footer and escapes are counted here as the format states them.
     "op10_chat_format": f"""
 WITH turns AS (
