@@ -234,3 +234,14 @@ def vector_angle(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Degrees between two vectors."""
     c = (ax * bx + ay * by) / (F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by))
     return F.degrees(F.acos(clip(c, -1.0, 1.0)))
+
+
+def set_only(options: Column) -> Column:
+    """A map without its unset entries: nulls and empty strings."""
+    return F.map_filter(options, lambda k, v: v.isNotNull() & (v != ""))
+
+
+def rescaled(width: Column, height: Column, longest: int = 1024, shortest: int = 64) -> Column:
+    """(width, height) with the longer side at most ``longest``, the shorter at least ``shortest``, in the same proportion."""
+    factor = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))
+    return F.struct(F.greatest(F.bround(width * factor, 0).cast("int"), F.lit(shortest)).alias("width"), F.greatest(F.bround(height * factor, 0).cast("int"), F.lit(shortest)).alias("height"))
