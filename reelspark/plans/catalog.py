@@ -291,9 +291,9 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.stop_at(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey", "o_totalprice", 3)
 
 
-@query(f"""WITH RECURSIVE {_SIGNAL}, e AS (SELECT user_id, t, value AS ema FROM s WHERE t = 0 UNION ALL SELECT s.user_id, s.t, 0.9::DOUBLE * e.ema + 0.1::DOUBLE * s.value FROM e JOIN s ON s.user_id = e.user_id AND s.t = e.t + 1) SELECT user_id, t, round(ema, 4) AS ema FROM e""")
+@query(f"""WITH RECURSIVE {_SIGNAL}, e AS (SELECT user_id, t, value AS ema FROM s WHERE t = 0 UNION ALL SELECT s.user_id, s.t, 0.875::DOUBLE * e.ema + 0.125::DOUBLE * s.value FROM e JOIN s ON s.user_id = e.user_id AND s.t = e.t + 1) SELECT user_id, t, ema FROM e""")
 def ema_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.ema(signal_rows(spark, sf_dir), ["user_id"], "t", "value", 0.9).withColumn("ema", _r("ema", 4))
+    return signal.ema(signal_rows(spark, sf_dir), ["user_id"], "t", "value", 0.875)
 
 
 @query("""WITH r AS (SELECT lang, n_chars, doc_id, quality, sum(quality) OVER w AS tp, row_number() OVER w AS n, sum(quality) OVER (PARTITION BY lang) AS p FROM documents JOIN labels USING (doc_id) WINDOW w AS (PARTITION BY lang ORDER BY n_chars, doc_id)),
