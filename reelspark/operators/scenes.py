@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,3 +102,42 @@ def covered(scenes: DataFrame, keys: DataFrame, by: list[str], frame: str = "fra
     rows = scenes.withColumns({"__k": F.lit(0), "__at": F.lit(None).cast("long")}).unionByName(k, allowMissingColumns=True)
     following = F.first("__at", ignorenulls=True).over(Window.partitionBy(*by).orderBy("start_frame", "__k").rowsBetween(0, Window.unboundedFollowing))
     return rows.withColumn("__next", following).where("__k = 0").withColumn("covered", F.coalesce(F.col("__next") <= F.col("end_frame"), F.lit(False))).drop("__k", "__at", "__next")
+
+
+#: A detector turns (video, total_frames) and boundary probabilities (video, frame_idx, p) into scenes.
+Detector = Callable[..., DataFrame]
+_DETECTORS: dict[str, Detector] = {}
+
+
+def register_detector(name: str) -> Callable[[Detector], Detector]:
+    """Adds a detector under a name, any case; a name is taken once."""
+    key = name.strip().lower()
+    if key in _DETECTORS:
+        raise ValueError(f"detector {name!r} is registered already")
+
+    def put(f: Detector) -> Detector:
+        _DETECTORS[key] = f
+        return f
+
+    return put
+
+
+def detector(name: str) -> Detector:
+    key = name.strip().lower()
+    if key not in _DETECTORS:
+        raise KeyError(f"no detector {name!r}; there are {', '.join(available_detectors())}")
+    return _DETECTORS[key]
+
+
+def available_detectors() -> list[str]:
+    return sorted(_DETECTORS)
+
+
+@register_detector("threshold")
+def _threshold(videos: DataFrame, probabilities: DataFrame, threshold: float = 0.5, video: str = "video_id") -> DataFrame:
+    return from_boundaries(cuts_above(probabilities, threshold), videos, video)
+
+
+@register_detector("fixed")
+def _fixed(videos: DataFrame, probabilities: DataFrame | None = None, length: int = 100, video: str = "video_id") -> DataFrame:
+    return fixed_length(videos.select(video, "total_frames"), length)

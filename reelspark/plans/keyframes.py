@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.functions import vectors as V
 from reelspark.operators import metrics, sampling, scenes, selection
 
 
@@ -30,8 +31,10 @@ def choose(frames: DataFrame, keys: list[str], pos: str, vector: str, method: st
 def evaluate(frames: DataFrame, chosen: dict[str, DataFrame], keys: list[str], pos: str, vector: str, tau: float = 0.3) -> DataFrame:
     """(keys, method, n_keys, rec_error, temporal_coverage, redundancy, min_distance, diversity) of every method in one plan.
 
-    chosen: (keys, pos) for each method; keys outside the frames are snapped to them.
+    chosen: (keys, pos) for each method; keys outside the frames are snapped to them. Frames with a
+    NaN in their vector are left out first.
     """
+    frames = frames.where(~V.has_nan(V.doubles(vector)))
     raw = reduce(DataFrame.unionByName, [c.select(*keys, F.col(pos).cast("long").alias(pos)).withColumn("method", F.lit(m)) for m, c in chosen.items()])
     sampled = reduce(DataFrame.unionByName, [frames.select(*keys, pos).withColumn("method", F.lit(m)) for m in chosen])
     by = [*keys, "method"]

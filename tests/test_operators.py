@@ -340,3 +340,26 @@ def test_scores(spark):
     assert spark.range(1).select(scalars.chunks(F.array(*[F.lit(i) for i in range(5)]), 2)).first()[0] == [[0, 1], [2, 3], [4]]
     assert np.allclose(spark.range(1).select(scalars.geomspace(1.0, 100.0, 3)).first()[0], [1, 10, 100])
     assert math.isclose(spark.range(1).select(scalars.position_encoding(F.lit(1), 4)).first()[0][0], math.sin(1))
+
+
+def test_detectors(spark):
+    v = spark.createDataFrame([("a", 10)], "video_id string, total_frames long")
+    p = spark.createDataFrame([("a", 3, 0.5), ("a", 6, 0.51)], "video_id string, frame_idx long, p double")
+    assert sorted(scenes.detector(" Threshold ")(v, p).collect()) == [("a", 0, 6), ("a", 7, 9)]
+    assert scenes.detector("fixed")(v, length=6).count() == 2
+    with pytest.raises(KeyError):
+        scenes.detector("none")
+    with pytest.raises(ValueError):
+        scenes.register_detector("FIXED")(lambda v: v)
+
+
+def test_nan_frames_are_left_out(spark):
+    f = spark.createDataFrame([(0, 0, [1.0, 0.0]), (0, 1, [float("nan"), 1.0]), (0, 2, [0.0, 1.0])], "g int, pos long, v array<double>")
+    r = keyframes.evaluate(f, {"m": f.select("g", "pos").where("pos = 0")}, ["g"], "pos", "v").first()
+    assert (r["n_keys"], r["rec_error"]) == (1, 0.5)
+
+
+def test_rescaling(spark):
+    df = spark.createDataFrame([(4096.0, 2048.0), (500.0, 20.0)], "w double, h double")
+    assert [tuple(r[0]) for r in df.select(scalars.rescaled(F.col("w"), F.col("h"))).collect()] == [(1024, 512), (500, 64)]
+    assert spark.range(1).select(scalars.set_only(F.create_map(F.lit("a"), F.lit("x"), F.lit("b"), F.lit("")))).first()[0] == {"a": "x"}
