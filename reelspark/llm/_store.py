@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch on its way to Python, unless the session says otherwise: rows may be long.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Stands for a null identifier inside the operators, so that joins keep such rows.
 NULL_ID = -(2**63)
 
@@ -32,6 +36,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def id_key(column: Column | str) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c.cast("long"), F.lit(NULL_ID))
@@ -44,4 +53,5 @@ def id_value(column: Column | str) -> Column:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, text) only: other columns can't clash; a null text is empty."""
+    bound_batches(docs.sparkSession)
     return docs.select(id_key(docs[id_col]).alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text"))

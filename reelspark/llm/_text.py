@@ -14,12 +14,12 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 #: Bytes of text that a kernel takes at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for i, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, _U)
             steps[0] = 1
@@ -154,6 +154,13 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def slice_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of runs of hashes, wherever they stand."""
+    powers, inverses = _power_tables(len(hashes) + 1)
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(hashes * powers[: len(hashes)], dtype=_U)])
+    return (sums[ends] - sums[starts]) * inverses[starts]
+
+
 def within_rows(words: Words, n: int) -> np.ndarray:
     """Which of the ``n`` neighbouring words starting at each word lie in one row."""
     count = max(0, len(words.rows) - n + 1)

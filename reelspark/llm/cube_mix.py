@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm._store import id_key, id_value, materialize
+from reelspark.llm._store import bound_batches, id_key, id_value, materialize
 from reelspark.llm._text import Words, blocks
 
 #: Weights of the sources, by rank and repeating.
@@ -40,6 +40,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(key, source, size in words) of each row."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(id_key(docs[id_col]).alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text"), docs[source_col].cast("string").alias("source"))
     return rows.mapInArrow(_sizes, "key long, source string, size long")
 

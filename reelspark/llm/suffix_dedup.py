@@ -36,6 +36,10 @@ SEED = 32
 MOST = 2000
 
 
+def _context(hashes: Bytes, start: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix(hashes.slices(start, at) + mix(hashes.slices(at, end)))
+
+
 def _anchors(least: int, seed: int):
     width = least - seed + 1
     back, ahead = width - 1, least
@@ -53,7 +57,7 @@ def _anchors(least: int, seed: int):
                 valid = (place + seed <= end)[: len(seeds)]
                 at = minimizers(seeds, valid, width, place + least <= end)
                 a, b = np.maximum(begin[at], at - back), np.minimum(end[at], at + ahead)
-                context = mix(hashes.slices(a, at) + mix(hashes.slices(at, b)))
+                context = _context(hashes, a, at, b)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(seeds[at])), pa.array(signed(context)), pa.array(keys[first:last][row[at]]), pa.array((at - begin[at]).astype(np.int32))], ["seed", "context", "key", "pos"])
 
     return find
@@ -61,15 +65,20 @@ def _anchors(least: int, seed: int):
 
 def _contexts(least: int, seed: int):
     back, ahead = least - seed, least
-    schema = pa.schema([("seed", pa.int64()), ("context", pa.int64()), ("behind", pa.binary()), ("ahead", pa.binary())])
+    numbers = ["seed", "context", "n", "different"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 data = unpack(batch.column("packed")[i].as_py())
                 found = batch.column("wanted")[i].values
-                seeds, contexts, positions = (found.field(k).to_pylist() for k in ("seed", "context", "pos"))
-                yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(contexts, pa.int64()), pa.array([data[max(0, p - back) : p][::-1] for p in positions], pa.binary()), pa.array([data[p : p + ahead] for p in positions], pa.binary())], schema=schema)
+                at = np.minimum(found.field("pos").to_numpy().astype(np.int64), len(data))
+                start, end = np.maximum(at - back, 0), np.minimum(at + ahead, len(data))
+                hashes = Bytes(np.frombuffer(data, np.uint8))
+                # Of rows that share an id, those lend that have the context.
+                own = np.flatnonzero(signed(_context(hashes, start, at, end)) == found.field("context").to_numpy())
+                ends = [pa.array([data[start[k] : at[k]][::-1] for k in own], pa.binary()), pa.array([data[at[k] : end[k]] for k in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(found.field(c).take(pa.array(own)) for c in numbers), *ends], [*numbers, "behind", "ahead"])
 
     return cut
 
@@ -157,7 +166,8 @@ def _sorted_groups(least: int):
                 if group and group[0][0] != row[0]:
                     out += _settle(group, least)
                     group = []
-                group.append(row)
+                if not group or group[-1][1] != row[1]:  # rows that share an id lend a context twice
+                    group.append(row)
             yield _reach(out)
         if group:
             yield _reach(_settle(group, least))
@@ -200,15 +210,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # One occurrence of each different context lends its bytes.
     lent = again.where("multi AND NOT later").groupBy("seed", "context").agg(F.max("twice").alias("twice"), F.min(F.struct("key", "pos")).alias("at"))
     lent = materialize(lent.select("seed", "context", F.when(F.col("twice"), 2).otherwise(1).cast("long").alias("n"), "at.key", "at.pos"), "suffix-lenders")
-    wanted = lent.groupBy("key").agg(F.collect_list(F.struct("seed", "context", "pos")).alias("wanted"))
-    cut = packed(rows).join(wanted, "key").mapInArrow(_contexts(least, seed), "seed long, context long, behind binary, ahead binary")
-    contexts = cut.groupBy("seed", "context").agg(F.max(F.struct("behind", "ahead")).alias("c"))
     sizes = lent.groupBy("seed").agg(F.count("*").alias("different"))
-    contexts = materialize(lent.select("seed", "context", "n").join(sizes, "seed").join(contexts, ["seed", "context"]).select("seed", "context", "n", "different", "c.*"), "suffix-contexts")
+    wanted = lent.join(sizes, "seed").groupBy("key").agg(F.collect_list(F.struct("seed", "context", "n", "different", "pos")).alias("wanted"))
+    lenders = packed(rows).join(wanted, "key")
+    contexts = materialize(lenders.mapInArrow(_contexts(least, seed), "seed long, context long, n long, different long, behind binary, ahead binary"), "suffix-contexts")
     few = contexts.where(F.col("different") <= most).select("seed", "context", "n", "behind", "ahead")
     reach = "seed long, context long, left long, right long"
     settled = few.repartition("seed").sortWithinPartitions("seed", "context").mapInArrow(_sorted_groups(least), reach)
-    windows = contexts.where(F.col("different") > most).mapInArrow(_windows(least), "seed long, context long, back int, window long, n long")
+    windows = contexts.where(F.col("different") > most).dropDuplicates(["seed", "context"]).mapInArrow(_windows(least), "seed long, context long, back int, window long, n long")
     # With the seed and its offset in the key, no window is counted for two of its seeds.
     window = ["seed", "back", "window"]
     common = windows.groupBy(window).agg(F.sum("n").alias("total")).where("total > 1")
