@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from reelspark.llm._anchors import packed, repeated, unpack
 from reelspark.llm._store import id_value, materialize, texts
-from reelspark.llm._text import Bytes, Words, blocks, minimizers, mix, ngrams, signed, within_rows
+from reelspark.llm._text import Bytes, Words, blocks, minimizers, mix, ngrams, signed, slice_hashes, within_rows
 from reelspark.llm.suffix_dedup import merged
 
 #: Words of a window.
@@ -44,6 +44,11 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarr
     return words, Bytes(data).slices(words.starts, words.ends)
 
 
+def _phrase(hashes: np.ndarray, start: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A phrase's hash: of its words in order, and of where its seed stands."""
+    return mix(slice_hashes(hashes, start, end) + mix((at - start).astype(_U) << _U(32) | (end - start).astype(_U)))
+
+
 def _phrases(window: int, seed: int):
     back, ahead = window - seed, window
 
@@ -58,29 +63,16 @@ def _phrases(window: int, seed: int):
                 row = words.rows[at]
                 begin, end = words.first[row], words.first[row + 1]
                 a, b = np.maximum(begin, at - back), np.minimum(end, at + ahead)
-                # A phrase's hash: of its words in order, and of where its seed stands.
-                sums = np.concatenate([np.zeros(1, _U), np.cumsum(hashes * _odd_powers(len(hashes)), dtype=_U)])
-                phrase = mix((sums[b] - sums[a]) * _odd_inverses(len(hashes))[a] + mix((at - a).astype(_U) << _U(32) | (b - a).astype(_U)))
+                phrase = _phrase(hashes, a, at, b)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(ngrams(hashes, seed)[at])), pa.array(signed(phrase)), pa.array(keys[first:last][row]), pa.array((at - begin).astype(np.int32))], ["seed", "context", "key", "pos"])
 
     return find
 
 
-def _odd_powers(n: int) -> np.ndarray:
-    from reelspark.llm._text import _power_tables
-
-    return _power_tables(n + 1)[0][:n]
-
-
-def _odd_inverses(n: int) -> np.ndarray:
-    from reelspark.llm._text import _power_tables
-
-    return _power_tables(n + 1)[1][: n + 1]
-
-
 def _cut(window: int, seed: int):
     """The words' hashes of the phrases that are asked for, as bytes; behind: how many stand before the seed."""
     back, ahead = window - seed, window
+    numbers = ["seed", "context", "low", "different"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,12 +80,12 @@ def _cut(window: int, seed: int):
                 data = np.frombuffer(unpack(batch.column("packed")[i].as_py()), np.uint8)
                 _, hashes = _word_hashes(data, np.array([0, len(data)]))
                 asked = batch.column("wanted")[i].values
-                seeds, contexts, positions = (asked.field(k).to_pylist() for k in ("seed", "context", "pos"))
-                positions = [min(p, len(hashes)) for p in positions]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seeds, pa.int64()), pa.array(contexts, pa.int64()), pa.array([min(p, back) for p in positions], pa.int32()), pa.array([hashes[max(0, p - back) : p + ahead].tobytes() for p in positions], pa.binary())],
-                    ["seed", "context", "behind", "words"],
-                )
+                at = np.minimum(asked.field("pos").to_numpy().astype(np.int64), len(hashes))
+                start, end = np.maximum(at - back, 0), np.minimum(at + ahead, len(hashes))
+                # Of rows that share an id, those lend that have the phrase.
+                own = np.flatnonzero(signed(_phrase(hashes, start, at, end)) == asked.field("context").to_numpy())
+                cuts = [pa.array((at - start)[own].astype(np.int32)), pa.array([hashes[start[k] : end[k]].tobytes() for k in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(asked.field(c).take(pa.array(own)) for c in numbers), *cuts], [*numbers, "behind", "words"])
 
     return cut
 
@@ -151,7 +143,8 @@ def _sorted_blocks(window: int, seed: int):
                 if group and group[0][0] != row[0]:
                     out += settle(group)
                     group = []
-                group.append(row)
+                if not group or group[-1][1] != row[1]:  # rows that share an id lend a phrase twice
+                    group.append(row)
             yield batch_of(out)
         if group:
             yield batch_of(settle(group))
@@ -188,15 +181,14 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Seeds whose phrases all are of one document have nothing to lend.
     docs_of = again.where("multi").groupBy("seed").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("seed")
     lent = materialize(lent.join(docs_of, "seed"), "rlz-lenders")
-    wanted = lent.groupBy("key").agg(F.collect_list(F.struct("seed", "context", "pos")).alias("wanted"))
-    cut = packed(rows).join(wanted, "key").mapInArrow(_cut(window, seed), "seed long, context long, behind int, words binary")
-    cut = cut.groupBy("seed", "context").agg(F.max(F.struct("behind", "words")).alias("c"))
     sizes = lent.groupBy("seed").agg(F.count("*").alias("different"))
-    phrases = lent.select("seed", "context", F.col("key").alias("low")).join(sizes, "seed").join(cut, ["seed", "context"])
-    phrases = materialize(phrases.select("seed", "context", "low", "different", "c.*"), "rlz-blocks")
+    asked = F.struct("seed", "context", F.col("key").alias("low"), "different", "pos")
+    wanted = lent.join(sizes, "seed").groupBy("key").agg(F.collect_list(asked).alias("wanted"))
+    lenders = packed(rows).join(wanted, "key")
+    phrases = materialize(lenders.mapInArrow(_cut(window, seed), "seed long, context long, low long, different long, behind int, words binary"), "rlz-blocks")
     few = phrases.where(F.col("different") <= most).select("seed", "context", "low", "behind", "words")
     settled = few.repartition("seed").sortWithinPartitions("seed", "low", "context").mapInArrow(_sorted_blocks(window, seed), "seed long, context long, left long, right long")
-    every = phrases.where(F.col("different") > most).mapInArrow(_windows(window), "seed long, context long, back int, window long, low long")
+    every = phrases.where(F.col("different") > most).dropDuplicates(["seed", "context"]).mapInArrow(_windows(window), "seed long, context long, back int, window long, low long")
     place = ["seed", "back", "window"]
     earliest = every.groupBy(place).agg(F.min("low").alias("least"))
     hot = every.join(earliest, place).where("least < low").groupBy("seed", "context").agg(F.max("back").cast("long").alias("left"), (F.lit(window) - F.min("back")).cast("long").alias("right"))
