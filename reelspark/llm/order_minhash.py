@@ -55,14 +55,14 @@ def with_fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     def kmers(c: str) -> Column:
         words = F.col(f"__words_{c}")
         starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (K - 1), F.lit(0)))
-        return F.array_sort(F.transform(starts, lambda w, i: F.struct(F.xxhash64(w, *[F.coalesce(F.get(words, i + j), F.lit("")) for j in range(1, K)]).alias("h"), i.alias("pos"))))
+        return F.sort_array(F.transform(starts, lambda w, i: F.struct(F.xxhash64(w, *[F.coalesce(F.get(words, i + j), F.lit("")) for j in range(1, K)]).alias("h"), i.alias("pos"))))
 
     df = _with(df, names, kmers, "__sorted_", "__words_")
 
     def numbered(c: str) -> Column:
         s = F.col(f"__sorted_{c}")
         again = lambda x, i: F.coalesce((i > 0) & (F.get(s, i - 1)["h"] == x["h"]), F.lit(False))
-        return F.array_sort(F.transform(s, lambda x, i: F.struct(F.when(again(x, i), F.xxhash64(x["h"], _occurrence(s, x["h"], i))).otherwise(x["h"]).alias("h"), x["pos"].alias("pos"))))
+        return F.sort_array(F.transform(s, lambda x, i: F.struct(F.when(again(x, i), F.xxhash64(x["h"], _occurrence(s, x["h"], i))).otherwise(x["h"]).alias("h"), x["pos"].alias("pos"))))
 
     df = _with(df, names, numbered, "__numbered_", "__sorted_")
     place = lambda x: F.shiftrightunsigned(x["h"], 64 - RANGE_BITS)
@@ -79,7 +79,7 @@ def with_fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
             shown = F.concat(F.lpad(F.hex(place(x)), 2, "0"), F.lpad(F.hex(value.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
             return F.when(first, shown)
 
-        return F.array_join(F.array_sort(F.array_compact(F.transform(s, entry))), ".")
+        return F.array_join(F.sort_array(F.array_compact(F.transform(s, entry))), ".")
 
     for c, out in columns.items():
         df = df.withColumn(out, tuples(c)).drop(f"__numbered_{c}")
