@@ -150,13 +150,12 @@ def _verified(pairs: DataFrame, bodies: DataFrame, n: int, similar: int) -> Data
 def _possible(similar: int) -> Column:
     """Length and positional filters of a pair (x, y) that shares the shingle at x.pos and y.pos.
 
-    ``lone``: shingles of a set's prefix that no other set has in its own; none of them is shared.
+    At the first shingle that a pair shares, ``pos`` bounds what follows. A shingle that stands in one
+    prefix only bounds nothing: the other set can have it beyond its own prefix.
     """
     small, large, both = F.least("x.n", "y.n"), F.greatest("x.n", "y.n"), F.col("x.n") + F.col("y.n")
-    rest = lambda s: F.col(f"{s}.n") - F.greatest(f"{s}.pos", f"{s}.lone")
-    shared = F.least(rest("x"), rest("y")) * (100 + similar) >= both * similar
-    apart = (F.col("x.lone") + F.col("y.lone")) * (100 + similar) <= both * (100 - similar)
-    return (small * 100 >= large * similar) & shared & apart
+    shared = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (100 + similar) >= both * similar
+    return (small * 100 >= large * similar) & shared
 
 
 def _differ(x: Callable[[int], Column], y: Callable[[int], Column]) -> Column:
@@ -199,18 +198,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Rows that share an id may have several sets: then none of them is left to its class alone.
     lone = about.where("n > 0").groupBy("key").agg(F.count_distinct("set1").alias("sets")).where("sets = 1").select("key")
     again = again.join(other.join(lone, "key", "left_semi").select("key").distinct(), "key", "left_anti")
-    again = again.dropDuplicates(["seed", "key", "n"])
+    again = again.groupBy("seed", "key", "n").agg(F.min("pos").alias("pos"))  # of sets of one size under one id, the bound that holds for all
     prefix = F.col("n") - F.ceil(F.col("n") * similar / 100) + 1
     lone = again.groupBy("key", "n").agg(F.count("*").alias("c")).select("key", "n", F.greatest(prefix - F.col("c"), F.lit(0)).alias("lone"))
     again = materialize(again.join(lone, ["key", "n"]), "prefixes")
 
     known = about.dropDuplicates(["key", "n", "odd"])
-    # A pivot for each size class of a prefix group: the set with the fewest shingles of its own. In a
-    # cluster of copies of one text that is the one nearest to it, the same in most groups.
+    # A pivot for each size class of a prefix group: the set with the fewest shingles that are in no other
+    # prefix. In a cluster of copies of one text that is mostly the one nearest to it; any choice is right.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
     classed = again.withColumn("size_class", size_class)
     pivots = classed.groupBy("seed", "size_class").agg(F.min(F.struct("lone", F.xxhash64("key").alias("order"), "key", "n", "pos")).alias("p"), F.count("*").alias("members")).where("members > 1")
-    x = classed.alias("x").join(pivots.select("seed", "size_class", "p.key", "p.n", "p.pos", "p.lone").alias("y"), ["seed", "size_class"])
+    x = classed.alias("x").join(pivots.select("seed", "size_class", "p.key", "p.n", "p.pos").alias("y"), ["seed", "size_class"])
     pairs = x.where((F.col("x.key") != F.col("y.key")) & _possible(similar)).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
     pairs = materialize(_suffix_filter(pairs, known, similar), "pivot-pairs")
 
@@ -220,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links)
 
     # Sets of a prefix group that are in different components: each but the largest against all others.
-    now = again.join(found, "key", "left").select("seed", "key", "n", "pos", "lone", F.coalesce("component", "key").alias("component"))
+    now = again.join(found, "key", "left").select("seed", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
     now = materialize(now, "prefix-components")
     mixed = now.groupBy("seed", "component").agg(F.count("*").alias("members")).groupBy("seed").agg(F.max(F.struct("members", "component")).alias("most"), F.count("*").alias("n_components")).where("n_components > 1")
     now = now.join(mixed.select("seed", F.col("most.component").alias("major")), "seed").join(known.select("key", "n", "odd"), ["key", "n"])

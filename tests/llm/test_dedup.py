@@ -86,6 +86,21 @@ def test_near_duplicates(corpus, texts_, n, similar):
     assert [(r["n_shingles"], r["component_id"] // 3) for r in got] == want
 
 
+@pytest.mark.parametrize("n,similar", [(5, 80), (2, 70)])
+def test_near_duplicates_of_longer_and_shorter_texts(spark, n, similar):
+    """Texts with rare words appended or their tail cut: most of a prefix can be shared beyond the other's prefix."""
+    texts = []
+    for k, size in enumerate((40, 84, 200)):
+        base = [f"w{k}x{i}" for i in range(size)]
+        for j, share in enumerate((0.1, 0.18, 0.2, 0.22, 0.24, 0.25)):
+            more, less = [f"{w}y{j}" for w in base], [f"{w}z{j}" for w in base]
+            texts += [" ".join(more), " ".join(more + [f"own{k}x{j}x{i}" for i in range(int(share * (size - 4)))])]
+            texts += [" ".join(less), " ".join(less[: size - int(share * (size - 4))])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = ngram_join.near_duplicates(docs, n=n, similar=similar).orderBy("doc_id").collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in got] == brute_components(texts, n, similar)
+
+
 def test_chains_are_one_component(spark):
     from reelspark.llm._components import components
 
