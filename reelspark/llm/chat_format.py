@@ -49,18 +49,27 @@ def _list(value: Column) -> Column:
     return F.from_json(value, "array<map<string,string>>")
 
 
+def _nested(record: Column) -> Column:
+    """The fields of a JSON record that hold a list or an object, as JSON; a text that only looks like one is none."""
+    kinds = F.from_json(record, "map<string,variant>")
+    looks = lambda v: v.startswith("[") | v.startswith("{")
+    # Kinds are unknown where a nested object repeats a name: then the look decides.
+    return F.map_filter(_top(record), lambda k, v: F.when(looks(v), F.coalesce(F.schema_of_variant(kinds[k]) != "STRING", F.lit(True))).otherwise(F.lit(False)))
+
+
 def field_paths(record: Column) -> Column:
     """Sorted nested field paths of a JSON record: ``name``, ``list[].name``, ``object.name``."""
-    top = _top(record)
+    nested = _nested(record)
 
     def below(entry: Column) -> Column:
-        name, value = entry["key"], F.coalesce(entry["value"], F.lit(""))
+        name, value = entry["key"], entry["value"]
         in_list = F.flatten(F.transform(F.coalesce(F.when(value.startswith("["), _list(value)), F.array().cast("array<map<string,string>>")), lambda m: F.map_keys(m)))
         in_object = F.coalesce(F.when(value.startswith("{"), F.map_keys(_top(value))), F.array().cast("array<string>"))
         listed = F.transform(F.array_distinct(in_list), lambda k: F.concat(name, F.lit("[]."), k))
-        return F.concat(F.array(name), listed, F.transform(in_object, lambda k: F.concat(name, F.lit("."), k)))
+        return F.concat(listed, F.transform(in_object, lambda k: F.concat(name, F.lit("."), k)))
 
-    return F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_entries(top), below)))), F.array().cast("array<string>"))
+    paths = F.concat(F.map_keys(_top(record)), F.flatten(F.transform(F.map_entries(nested), below)))
+    return F.coalesce(F.array_sort(F.array_distinct(paths)), F.array().cast("array<string>"))
 
 
 def fingerprint(paths: Column) -> Column:
@@ -77,16 +86,20 @@ def _listed_turn(role: str, content: str):
 
 def canonical_turns(record: Column, layouts: list[Layout] = LAYOUTS) -> Column:
     """Turns of a JSON record by the mapping that its fingerprint selects; null for unknown layouts."""
-    top = _top(record)
-    known = fingerprint(field_paths(record))
-    out = F.lit(None).cast(TURNS)
-    for layout in layouts:
-        if layout.listed:
-            turns = F.transform(_list(top[layout.listed[0]]), _listed_turn(*layout.listed[1:]))
-        else:
-            turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(top[path], F.lit("")).alias("content")) for role, path in layout.fields])
-        out = F.when(known == fingerprint(F.array(*[F.lit(p) for p in layout.paths])), turns).otherwise(out)
-    return out
+    # One element, so that paths and fields are read once for all layouts.
+    once = F.array(F.struct(fingerprint(field_paths(record)).alias("known"), _top(record).alias("top"), _nested(record).alias("nested")))
+
+    def chosen(r: Column) -> Column:
+        out = F.lit(None).cast(TURNS)
+        for layout in layouts:
+            if layout.listed:
+                turns = F.transform(_list(r["nested"][layout.listed[0]]), _listed_turn(*layout.listed[1:]))
+            else:
+                turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(r["top"][path], F.lit("")).alias("content")) for role, path in layout.fields])
+            out = F.when(r["known"] == fingerprint(F.array(*[F.lit(p) for p in layout.paths])), turns).otherwise(out)
+        return out
+
+    return F.transform(once, chosen)[0]
 
 
 def role_name(role: Column) -> Column:

@@ -196,6 +196,27 @@ def test_layouts(spark):
     assert out[7] is None and out[6] == "" and out[0] == "<|im_start|>user\np<|im_end|>\n<|im_start|>assistant\nr<|im_end|>\n"
 
 
+JSON_TEXTS = ['{"a": 1}', '[{"x": 1}, {"y": "z"}]', '{"a": {"b": 2}} and more', "[1, 2]", "[]", "{}", "{not json", '[{"role": "user", "content": "q"}]', '"quoted"', "null", ' {"a": 1}']
+
+
+def test_texts_that_are_json(spark):
+    pairs = [(q, a) for q in JSON_TEXTS for a in (*JSON_TEXTS[:4], "plain")]
+    turns = [(i, t, r, x) for i, p in enumerate(pairs) for t, (r, x) in enumerate(zip(("user", "assistant"), p, strict=True))]
+    turns += [(1000 + i, t, "user", x) for i, x in enumerate(JSON_TEXTS) for t in range(3)]
+    chats = chat_format.format_chats(chat_format.records(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))
+    got = {r["conv"]: r["t"] and [tuple(t) for t in r["t"]] for r in chats.select("conv", chat_format.read_back(F.col("formatted")).alias("t")).collect()}
+    want = {}
+    for c, _, r, x in turns:
+        want.setdefault(c, []).append((r, x))
+    assert got == want
+    records = [({"prompt": {"a": 1}, "response": '{"b": 2}'}, ["prompt", "prompt.a", "response"]), ({"messages": '[{"role": "user", "content": "q"}]'}, ["messages"])]
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(records)], "conv long, record string").orderBy("conv")
+    found = rows.select(chat_format.field_paths(F.col("record")), chat_format.canonical_turns(F.col("record"))).collect()
+    assert [tuple(r) for r in found] == [(p, None) for _, p in records]
+    twice = spark.sql("""SELECT '{"messages":[{"role":"user","role":"user","content":"q"}]}' AS record""")
+    assert [tuple(t) for t in twice.select(chat_format.canonical_turns(F.col("record"))).first()[0]] == [("user", "q")]
+
+
 SF = "/root/testdata/sf0.001"
 
 
