@@ -51,7 +51,38 @@ def id_value(column: Column | str) -> Column:
     return F.nullif(c, F.lit(NULL_ID))
 
 
+def text_hash(text: Column) -> Column:
+    """With the id it names a row: rows that share both have one text, so what holds for one holds for the other."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, text) only: other columns can't clash; a null text is empty."""
+    """(key, body, text) only: other columns can't clash; a null text is empty.
+
+    A row is (key, body), never the id alone: ids may be null or stand over several texts. No state
+    is kept for it, so a task that runs again gives its rows the same names.
+    """
     bound_batches(docs.sparkSession)
-    return docs.select(id_key(docs[id_col]).alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return docs.select(id_key(docs[id_col]).alias("key"), text_hash(docs[text_col]).alias("body"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """``docs`` with each row's key and body, in columns whose names clash with none of its own."""
+    key, body = unused(docs, "row_key"), unused(docs, "row_body")
+    return docs.select("*", id_key(docs[id_col]).alias(key), text_hash(docs[text_col]).alias(body)), key, body
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't in ``gone`` (key, body)."""
+    named, key, body = with_names(docs, id_col, text_col)
+    g = gone.select(F.col("key").alias("gone_key"), F.col("body").alias("gone_body")).distinct()
+    out = named.join(g, (named[key] == g["gone_key"]) & (named[body] == g["gone_body"]), "left_anti")
+    return out.select(*[out[c] for c in docs.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +161,20 @@ def slice_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return (sums[ends] - sums[starts]) * inverses[starts]
 
 
+def window_hashes(hashes: np.ndarray) -> Callable[[int], np.ndarray]:
+    """A function of n: the hash of the ``n`` neighbours at every start."""
+    count = len(hashes)
+    powers, inverses = _power_tables(count + 1)
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(hashes * powers[:count], dtype=_U)])
+
+    def of(n: int) -> np.ndarray:
+        out = np.zeros(count, _U)
+        out[: max(0, count - n + 1)] = (sums[n:] - sums[: count + 1 - n]) * inverses[: max(0, count - n + 1)]
+        return out
+
+    return of
+
+
 def within_rows(words: Words, n: int) -> np.ndarray:
     """Which of the ``n`` neighbouring words starting at each word lie in one row."""
     count = max(0, len(words.rows) - n + 1)

@@ -80,12 +80,12 @@ def _scopes(breaks: list[int]):
 
 
 def _linked(found: DataFrame, reach: int) -> DataFrame:
-    """(key, start, kind, end) of the weak parts with a complementary part within reach."""
+    """(row, start, kind, end) of the weak parts with a complementary part within reach in their own row."""
     part = F.explode(F.concat("base", "parts")).alias("p")
-    rows = found.where(F.size("parts") > 0).select("key", part).select("key", "p.*").distinct()
+    rows = found.where(F.size("parts") > 0).select("row", part).select("row", "p.*")
     # 0: something secret, 1: who, 2: where
     rows = rows.withColumn("cls", F.when(F.col("kind") == 4, 1).when(F.col("kind") == 5, 2).when(F.col("kind") == 1, 1).otherwise(0))
-    scope = Window.partitionBy("key", "scope").orderBy("start", "kind", "end")
+    scope = Window.partitionBy("row", "scope").orderBy("start", "kind", "end")
     before, after = scope.rowsBetween(Window.unboundedPreceding, -1), scope.rowsBetween(1, Window.unboundedFollowing)
 
     def near(cls: int) -> Column:
@@ -95,7 +95,7 @@ def _linked(found: DataFrame, reach: int) -> DataFrame:
 
     rows = rows.select("*", near(0).alias("near0"), near(1).alias("near1"), near(2).alias("near2"))
     together = F.when(F.col("cls") == 0, F.col("near1") | F.col("near2")).otherwise(F.col("near0"))
-    return rows.where((F.col("kind") >= STRONG) & together).select("key", "start", "kind", "end")
+    return rows.where((F.col("kind") >= STRONG) & together).select("row", "start", "kind", "end")
 
 
 def _listed(spans: Column) -> Column:
@@ -107,17 +107,21 @@ def _listed(spans: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """One row per input row: id, ``base`` and ``linked`` (arrays of start, kind, end in code points).
 
-    A null text is empty and has no spans; a null id stays null; repeated rows each get their row,
-    and rows that share an id share its linked parts. An empty table gives an empty table.
+    A null text is empty and has no spans; a null id stays null. Rows are numbered when their spans
+    are written, and parts link within their row only, so rows that share an id, or repeat, each have
+    the spans of their own text. Of spans with one start the kinds' order decides. An empty table
+    gives an empty table.
     """
-    found = materialize(texts(docs, id_col, text_col).mapInArrow(_scan, _SCHEMA), "credentials")
-    linked = _linked(found, reach).groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
+    found = texts(docs, id_col, text_col).mapInArrow(_scan, _SCHEMA)
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "credentials")
+    linked = _linked(found, reach).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
-    return found.join(linked, "key", "left").select(id_value("key").alias(id_col), plain.alias("base"), F.coalesce("linked", none).alias("linked"))
+    return found.join(linked, "row", "left").select(id_value("key").alias(id_col), plain.alias("base"), F.coalesce("linked", none).alias("linked"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Of ``scan``'s rows: counts of each base kind, a hash of the base spans, and all spans as text; no spans give an empty text."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         id_col,

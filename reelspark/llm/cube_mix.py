@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm._store import bound_batches, id_key, id_value, materialize
+from reelspark.llm._store import bound_batches, id_key, id_value, materialize, text_hash, unused, with_names
 from reelspark.llm._text import Words, blocks
 
 #: Weights of the sources, by rank and repeating.
@@ -35,14 +35,14 @@ BLOCK_ROWS = 4096
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = [Words(data, offsets).counts for _, _, data, offsets in blocks(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("source"), pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]), pa.int64())], ["key", "source", "size"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "body", "source")), pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]), pa.int64())], ["key", "body", "source", "size"])
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(key, source, size in words) of each row."""
+    """(key, body, source, size in words) of each row; a null text has size 0."""
     bound_batches(docs.sparkSession)
-    rows = docs.select(id_key(docs[id_col]).alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text"), docs[source_col].cast("string").alias("source"))
-    return rows.mapInArrow(_sizes, "key long, source string, size long")
+    rows = docs.select(id_key(docs[id_col]).alias("key"), text_hash(docs[text_col]).alias("body"), F.coalesce(docs[text_col], F.lit("")).alias("text"), docs[source_col].cast("string").alias("source"))
+    return rows.mapInArrow(_sizes, "key long, body long, source string, size long")
 
 
 def targets(measured: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -128,7 +128,7 @@ def settle(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
         own = order[start:end]
         wanted = float((p[own] * size[own]).sum()) + missed
         open_ = own[(p[own] > 1e-9) & (p[own] < 1 - 1e-9)]
-        if len(open_) and missed:
+        if missed and size[open_].sum():
             p[open_] = np.clip(p[open_] + missed / float(size[open_].sum()), 0.0, 1.0)
         p[own] = land(fly(p[own], size[own], draws[own]), size[own])
         missed = wanted - float((p[own] * size[own]).sum())
@@ -138,7 +138,7 @@ def settle(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
 
 def _flight(last: bool):
     def move(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["draw", "key", "size", "nth"], ignore_index=True)
+        rows = rows.sort_values(["draw", "key", "body", "nth"], ignore_index=True)
         draws = (rows["draw"].to_numpy().astype(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
         rows["p"] = (settle if last else fly)(rows["p"].to_numpy(), rows["size"].to_numpy(), draws)
         return rows
@@ -146,21 +146,15 @@ def _flight(last: bool):
     return move
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block_rows: int = BLOCK_ROWS, seed: int = 11) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target (its source's), copies, taken (copies * size).
-
-    A null text has size 0; null sources are one source, the last; null ids stay null; repeated rows
-    are drawn each for itself. Sources of size 0 take nothing. Draws hash the row, so reruns agree.
-    """
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], most: float, block_rows: int, seed: int) -> DataFrame:
+    """(key, body, source, nth, size, source_size, target, copies): nth numbers rows that agree in the first three."""
     measured = materialize(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     goal = materialize(targets(measured, weights, most), "mix-targets")
-    same = Window.partitionBy("key", "source", "size").orderBy(F.lit(0))
-    rows = measured.alias("m").join(goal.alias("g"), F.col("m.source").eqNullSafe(F.col("g.source"))).select("m.key", "m.source", "m.size", "g.source_size", "g.target")
+    same = Window.partitionBy("key", "body", "source").orderBy(F.lit(0))
+    rows = measured.alias("m").join(goal.alias("g"), F.col("m.source").eqNullSafe(F.col("g.source"))).select("m.key", "m.body", "m.source", "m.size", "g.source_size", "g.target")
     ratio = F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = rows.select("*", F.row_number().over(same).alias("nth"), ratio.alias("ratio"))
-    rows = rows.select("*", F.floor("ratio").alias("whole"), (F.col("ratio") - F.floor("ratio")).alias("p"), F.xxhash64(F.lit(seed), "key", "size", "nth").alias("draw"))
-    # An empty document changes no total: its fraction is settled at once.
-    rows = rows.withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
+    rows = rows.select("*", F.floor("ratio").alias("whole"), (F.col("ratio") - F.floor("ratio")).alias("p"), F.xxhash64(F.lit(seed), "key", "body", "nth").alias("draw"))
     count = measured.count()
     schema = rows.schema.add("blk", "long").add("sid", "long")
     level = max(1, math.ceil(count / block_rows))
@@ -175,15 +169,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         rows = flown.where((F.col("p") > 0) & (F.col("p") < 1)).withColumn("blk", F.pmod("blk", F.lit(level)))
     last = reserve if rows is None else reserve.unionByName(rows)
     done = reduce(DataFrame.unionByName, [*done, last.groupBy("sid", "source").applyInPandas(_flight(True), schema)])
-    copies = (F.col("whole") + F.col("p")).cast("long")
-    return done.select(id_value("key").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-
-
-def apply(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed documents: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
-    taken = mix(docs, id_col, **options).select(id_key(id_col).alias("__key"), "copies")
-    taken = materialize(taken.groupBy("__key").agg(F.sort_array(F.collect_list("copies")).alias("__copies")), "mix-copies")
-    rows = docs.withColumn("__key", id_key(docs[id_col])).join(taken, "__key")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("text")) if "text" in docs.columns else F.lit(1)
-    rows = rows.withColumn("__nth", nth).withColumn("__n", F.get("__copies", F.col("__nth") - 1))
-    return rows.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
+    return done.withColumn("copies", (F.col("whole") + F.col("p")).cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block_rows: int = BLOCK_ROWS, seed: int = 11) -> DataFrame:
+    """One row per input row: id, source, size, source_size, target (its source's), copies, taken (copies * size).
+
+    A null or empty text has size 0, and is drawn like the others: it counts among the documents. Null
+    sources are one source, the last; null ids stay null; repeated rows are drawn each for itself.
+    Sources of size 0 take nothing. Draws hash the row's id and text, so reruns agree; ties between
+    draws are ordered by id and text. An empty table gives an empty table.
+    """
+    done = _drawn(docs, id_col, text_col, source_col, weights, most, block_rows, seed)
+    return done.select(id_value("key").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block_rows: int = BLOCK_ROWS, seed: int = 11) -> DataFrame:
+    """The mixed documents: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``.
+
+    What ``mix`` says of nulls, empty texts and repeated rows holds. A row is known by its id, text
+    and source, so rows that share an id are taken each as often as it was drawn; rows that agree in
+    all three are told apart by a hash of all their columns.
+    """
+    drawn = _drawn(docs, id_col, text_col, source_col, weights, most, block_rows, seed).where("copies > 0")
+    drawn = materialize(drawn.select("key", "body", "source", "nth", "copies"), "mix-copies").alias("d")
+    named, key, body = with_names(docs, id_col, text_col)
+    nth, copy = unused(named, "row_nth"), unused(named, "row_copy")
+    source = named[source_col].cast("string")
+    rows = named.select("*", F.row_number().over(Window.partitionBy(key, body, source).orderBy(F.xxhash64(*[named[c] for c in docs.columns]))).alias(nth))
+    on = (rows[key] == F.col("d.key")) & (rows[body] == F.col("d.body")) & rows[source_col].cast("string").eqNullSafe(F.col("d.source")) & (rows[nth] == F.col("d.nth"))
+    taken = rows.join(drawn, on).select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("d.copies"))).alias(copy))
+    return taken.drop(copy)

@@ -40,7 +40,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rlz_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+    return rlz_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept", "factors")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,35 +5,39 @@ Documents are factored against reference blocks. A block holds what the corpus h
 windows choose the same seed at the same offset, and a document visits exactly the blocks that can
 hold a factor of it. Within a block the phrases around the seed are parsed in the order of their
 first document: each one's factor is the longest stretch through the seed that an earlier
-document's phrase also has. A factor of ``window`` words or more is a duplicate span. The windows
-across its boundaries are checked against the block's other earlier phrases, so a window that only
-another reference has isn't lost. A phrase that occurs in an earlier document as it is, is one
-factor without parsing.
+document's phrase also has. The windows across its boundaries are checked against the block's other
+earlier phrases, and give factors of their own, so a window that only another reference has isn't
+lost. A phrase that occurs in an earlier document as it is, is one factor.
 
-Blocks with more than ``most`` different phrases are settled another exact way: every window in
-them is hashed and its first document looked up, linear in the phrases.
+Each document is then parsed from left to right: the factor that begins here or before and reaches
+farthest is taken, and parsing goes on where it ends; words under no factor are literals. Factors
+are parts of stretches of ``window`` words or more, and are the duplicate spans.
+
+A block of more than ``most`` different phrases isn't parsed in one task: its phrases are dealt
+again by the words further to the left and to the right of the seed (``split_groups``).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm._anchors import packed, repeated, unpack
+from reelspark.llm._anchors import FOUND, occurrences, packed, repeated, unpack
 from reelspark.llm._store import id_value, materialize, texts
-from reelspark.llm._text import Bytes, Words, blocks, minimizers, mix, ngrams, signed, slice_hashes, within_rows
-from reelspark.llm.suffix_dedup import merged
+from reelspark.llm._text import Bytes, Words, blocks, minimizers, mix, ngrams, slice_hashes, within_rows
+from reelspark.llm.suffix_dedup import split_groups
 
 #: Words of a window.
 WINDOW = 13
 #: Words of a seed.
 SEED = 4
-#: Different phrases of a block that are parsed in one task.
+#: Different phrases of a block that are parsed in one task; larger blocks are split.
 MOST = 500
 
 _U = np.uint64
@@ -54,7 +58,7 @@ def _phrases(window: int, seed: int):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key").to_numpy()
+            keys, bodies = batch.column("key").to_numpy(), batch.column("body").to_numpy()
             for first, last, data, offsets in blocks(batch):
                 words, hashes = _word_hashes(data, offsets)
                 if len(hashes) < window:
@@ -63,8 +67,8 @@ def _phrases(window: int, seed: int):
                 row = words.rows[at]
                 begin, end = words.first[row], words.first[row + 1]
                 a, b = np.maximum(begin, at - back), np.minimum(end, at + ahead)
-                phrase = _phrase(hashes, a, at, b)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(ngrams(hashes, seed)[at])), pa.array(signed(phrase)), pa.array(keys[first:last][row]), pa.array((at - begin).astype(np.int32))], ["seed", "context", "key", "pos"])
+                seeds = ngrams(hashes, seed)[at]
+                yield occurrences(seeds, _phrase(hashes, a, at, b), keys[first:last][row], bodies[first:last][row], row, at - begin)
 
     return find
 
@@ -72,7 +76,7 @@ def _phrases(window: int, seed: int):
 def _cut(window: int, seed: int):
     """The words' hashes of the phrases that are asked for, as bytes; behind: how many stand before the seed."""
     back, ahead = window - seed, window
-    numbers = ["seed", "context", "low", "different"]
+    numbers = ["seed", "context", "low"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,18 +84,16 @@ def _cut(window: int, seed: int):
                 data = np.frombuffer(unpack(batch.column("packed")[i].as_py()), np.uint8)
                 _, hashes = _word_hashes(data, np.array([0, len(data)]))
                 asked = batch.column("wanted")[i].values
-                at = np.minimum(asked.field("pos").to_numpy().astype(np.int64), len(hashes))
+                at = asked.field("pos").to_numpy().astype(np.int64)
                 start, end = np.maximum(at - back, 0), np.minimum(at + ahead, len(hashes))
-                # Of rows that share an id, those lend that have the phrase.
-                own = np.flatnonzero(signed(_phrase(hashes, start, at, end)) == asked.field("context").to_numpy())
-                cuts = [pa.array((at - start)[own].astype(np.int32)), pa.array([hashes[start[k] : end[k]].tobytes() for k in own], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(asked.field(c).take(pa.array(own)) for c in numbers), *cuts], [*numbers, "behind", "words"])
+                cuts = [pa.array((at - start).astype(np.int32)), pa.array([hashes[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(asked.field(c) for c in numbers), *cuts], [*numbers, "behind", "words"])
 
     return cut
 
 
-def parse(first: list[int], behind: list[int], phrases: list[np.ndarray], window: int, seed: int) -> list[tuple[int, int]]:
-    """Words to the left and right of each seed that factors cover; 0, 0 for none.
+def parse(first: list[int], behind: list[int], phrases: list[np.ndarray], window: int, seed: int) -> list[list[tuple[int, int, int]]]:
+    """Factors through the seed of each phrase: words to its left, words to its right, first document of the reference.
 
     first: the first document of each phrase, ascending; a phrase's references are the phrases of
     smaller first documents.
@@ -102,7 +104,7 @@ def parse(first: list[int], behind: list[int], phrases: list[np.ndarray], window
     for i, (b, p) in enumerate(zip(behind, phrases, strict=True)):
         words[i, back - b : back - b + len(p)] = p
         there[i, back - b : back - b + len(p)] = True
-    out = [(0, 0)] * n
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
     refs = np.searchsorted(np.array(first), first, "left")
     for i in range(n):
         k = int(refs[i])
@@ -115,35 +117,36 @@ def parse(first: list[int], behind: list[int], phrases: list[np.ndarray], window
         best = int(length.argmax())  # the greedy factor: the longest, of the earliest document on ties
         if length[best] < window:
             continue
-        covered = [int(left[best]), int(right[best])]
+        chosen = [best]
         # Its boundaries: windows across them that another reference has.
-        across = (length >= window) & ((left > covered[0]) | (right > covered[1]))
-        if across.any():
-            covered = [max(covered[0], int(left[across].max())), max(covered[1], int(right[across].max()))]
-        out[i] = covered[0], covered[1]
+        for side in (left, right):
+            across = np.flatnonzero((length >= window) & (side > side[best]))
+            if len(across):
+                chosen.append(int(across[side[across].argmax()]))
+        out[i] = [(int(left[j]), int(right[j]), first[j]) for j in dict.fromkeys(chosen)]
     return out
 
 
 def _sorted_blocks(window: int, seed: int):
-    """Parses the blocks of a partition that is sorted by seed and first document."""
+    """Parses the blocks of a partition that is sorted by block and first document; a block may go on in the next batch."""
 
-    def settle(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
-        found = parse([r[2] for r in rows], [r[3] for r in rows], [np.frombuffer(r[4], _U) for r in rows], window, seed)
-        return [(r[0], r[1], *x) for r, x in zip(rows, found, strict=True) if sum(x)]
+    def settle(rows: list[tuple]) -> list[tuple]:
+        found = parse([r[3] for r in rows], [r[4] for r in rows], [np.frombuffer(r[5], _U) for r in rows], window, seed)
+        return [(r[1], r[2], *x) for r, factors in zip(rows, found, strict=True) for x in factors]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["seed", "context", "left", "right"])
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["seed", "context", "left", "right", "ref"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("seed", "context", "low", "behind", "words")), strict=True):
+            out: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "seed", "context", "low", "behind", "words")), strict=True):
                 if group and group[0][0] != row[0]:
                     out += settle(group)
                     group = []
-                if not group or group[-1][1] != row[1]:  # rows that share an id lend a phrase twice
+                if not group or group[-1][2] != row[2]:  # repeated rows lend a phrase twice
                     group.append(row)
             yield batch_of(out)
         if group:
@@ -152,52 +155,58 @@ def _sorted_blocks(window: int, seed: int):
     return run
 
 
-def _windows(window: int):
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = ngrams(np.frombuffer(row["words"], _U), window)
-                n = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, row["seed"])), pa.array(np.full(n, row["context"])), pa.array((row["behind"] - np.arange(n)).astype(np.int32)), pa.array(signed(own)), pa.array(np.full(n, row["low"]))],
-                    ["seed", "context", "back", "window", "low"],
-                )
-
-    return hashed
+def _words_of(side: str, n: Column) -> Column:
+    behind, all_ = F.col("behind"), (F.octet_length("words") / 8).cast("int")
+    start = behind - n if side == "l" else behind
+    return F.when((behind if side == "l" else all_ - behind) >= n, F.substring("words", start * 8 + 1, n * 8))
 
 
-def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, most: int = MOST) -> DataFrame:
-    """(id, spans): words covered by windows that also start in a document with a smaller id, as an array of (start, end) with overlaps.
+def _factors(rows: DataFrame, window: int, seed: int, most: int) -> DataFrame:
+    """(key, body, found): stretches of ``window`` words or more that an earlier document has, as an array of (start, end, ref), sorted."""
+    again = repeated(rows.mapInArrow(_phrases(window, seed), FOUND), "rlz").where("key > first OR multi")
+    lent = again.where("multi AND key = first").groupBy("seed", "context").agg(F.min(F.struct("key", "body", "pos")).alias("at"))
+    # Seeds whose phrases all are of one document have nothing to lend.
+    of_several = again.where("multi").groupBy("seed").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("seed")
+    lent = lent.join(of_several, "seed")
+    asked = F.struct("seed", "context", F.col("at.key").alias("low"), "at.pos")
+    wanted = lent.groupBy("at.key", "at.body").agg(F.collect_list(asked).alias("wanted"))
+    phrases = packed(rows).join(wanted, ["key", "body"]).mapInArrow(_cut(window, seed), "seed long, context long, low long, behind int, words binary")
+    phrases = materialize(phrases.select(F.col("seed").alias("grp"), "*"), "rlz-blocks")
+    fit, whole = split_groups(phrases, window, most, (0, seed), _words_of, "rlz")
+    parsed = [f.repartition("grp").sortWithinPartitions("grp", "low", "context").mapInArrow(_sorted_blocks(window, seed), "seed long, context long, left long, right long, ref long") for f in fit]
+    settled = reduce(DataFrame.unionByName, parsed)
+    if whole is not None:  # all phrases of such a block have one window; the earliest document's is the reference
+        refs = whole.groupBy("grp").agg(F.min("low").alias("ref"))
+        settled = settled.unionByName(whole.join(refs, "grp").where("ref < low").select("seed", "context", F.col("l").cast("long").alias("left"), F.col("r").cast("long").alias("right"), "ref"))
+
+    def stretch(left: Column, right: Column, ref: str) -> Column:
+        return F.struct(F.greatest(F.col("pos") - left, F.lit(0)).cast("int").alias("start"), (F.col("last") + right).cast("int").alias("end"), F.col(ref).alias("ref")).alias("x")
+
+    same = again.where("key > first").select("key", "body", stretch(F.lit(window - seed), F.lit(window), "first"))
+    mixed = again.where("multi AND key = first").join(settled, ["seed", "context"]).select("key", "body", stretch(F.col("left"), F.col("right"), "ref"))
+    return materialize(same.unionByName(mixed).groupBy("key", "body").agg(F.sort_array(F.collect_set("x")).alias("found")), "rlz-found")
+
+
+def factor(found: list[dict], n: int) -> list[tuple[int, int, int]]:
+    """Greedy parse of ``n`` words from left to right: (start, length, ref) of the factors. found: sorted by start."""
+    out: list[tuple[int, int, int]] = []
+    at, k, end, ref = 0, 0, 0, 0
+    while at < n:
+        while k < len(found) and found[k]["start"] <= at:
+            if found[k]["end"] > end:
+                end, ref = found[k]["end"], found[k]["ref"]
+            k += 1
+        if end > at:
+            out.append((at, min(end, n) - at, ref))
+            at = end
+        elif k < len(found):
+            at = found[k]["start"]
+        else:
+            break
+    return out
 
-    A null text has no words. A null id is smaller than all others. Rows that share an id are one
-    document to each other, share their spans, and lose nothing to each other.
-    """
-    rows = texts(docs, id_col, text_col)
-    found = rows.mapInArrow(_phrases(window, seed), "seed long, context long, key long, pos int")
-    again = materialize(repeated(found).where("later OR multi"), "rlz-phrases")
 
-    lent = again.where("multi AND NOT later").groupBy("seed", "context").agg(F.min(F.struct("key", "pos")).alias("at"))
-    lent = lent.select("seed", "context", "at.key", "at.pos")
-    # Seeds whose phrases all are of one document have nothing to lend.
-    docs_of = again.where("multi").groupBy("seed").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("seed")
-    lent = materialize(lent.join(docs_of, "seed"), "rlz-lenders")
-    sizes = lent.groupBy("seed").agg(F.count("*").alias("different"))
-    asked = F.struct("seed", "context", F.col("key").alias("low"), "different", "pos")
-    wanted = lent.join(sizes, "seed").groupBy("key").agg(F.collect_list(asked).alias("wanted"))
-    lenders = packed(rows).join(wanted, "key")
-    phrases = materialize(lenders.mapInArrow(_cut(window, seed), "seed long, context long, low long, different long, behind int, words binary"), "rlz-blocks")
-    few = phrases.where(F.col("different") <= most).select("seed", "context", "low", "behind", "words")
-    settled = few.repartition("seed").sortWithinPartitions("seed", "low", "context").mapInArrow(_sorted_blocks(window, seed), "seed long, context long, left long, right long")
-    every = phrases.where(F.col("different") > most).dropDuplicates(["seed", "context"]).mapInArrow(_windows(window), "seed long, context long, back int, window long, low long")
-    place = ["seed", "back", "window"]
-    earliest = every.groupBy(place).agg(F.min("low").alias("least"))
-    hot = every.join(earliest, place).where("least < low").groupBy("seed", "context").agg(F.max("back").cast("long").alias("left"), (F.lit(window) - F.min("back")).cast("long").alias("right"))
-    settled = settled.unionByName(hot)
-
-    same = again.where("later").select("key", F.greatest(F.col("pos") - (window - seed), F.lit(0)).alias("start"), (F.col("pos") + window).alias("end"))
-    mixed = again.where("multi AND NOT later").join(settled, ["seed", "context"]).select("key", (F.col("pos") - F.col("left")).cast("int").alias("start"), (F.col("pos") + F.col("right")).cast("int").alias("end"))
-    spans = same.unionByName(mixed).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return materialize(spans, "rlz-spans").select(id_value("key").alias(id_col), "spans")
+_FACTORS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref", pa.int64())]))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,25 +214,28 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i in range(batch.num_rows):
             words = unpack(batch.column("packed")[i].as_py()).split()
+            factors = factor(batch.column("found")[i].as_py() or [], len(words))
             kept, at = [], 0
-            for a, b in merged(batch.column("spans")[i].as_py(), len(words)):
-                kept += words[at:a]
-                at = b
+            for start, length, _ in factors:
+                kept += words[at:start]
+                at = start + length
             kept += words[at:]
             left = b" ".join(kept)
-            out.append((len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left.decode()))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, pa.int64()) for c in columns[:2]), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], ["key", "n_words", "n_removed", "kept_sha256", "kept"])
+            out.append((len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left.decode(), [dict(zip(("start", "length", "ref"), f, strict=True)) for f in factors]))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, pa.int64()) for c in columns[:2]), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string()), pa.array(columns[4], _FACTORS)], ["__key", "n_words", "n_removed", "kept_sha256", "kept", "factors"])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, most: int = MOST) -> DataFrame:
-    """One row per input row: id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space).
+    """One row per input row: id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space), factors.
 
-    A null text has no words; repeated rows have the same id, so neither loses anything to the
-    other; an empty table gives an empty table.
+    factors: the parse from left to right, (start, length, ref) in words; ref is an earlier document's
+    id (of equally long ones the earliest) that has the factor. A null text has no words; a null id is
+    smaller than all others; rows with one id have no smaller one among them, so they lose nothing to
+    each other, and each is judged on its own text; an empty table gives an empty table.
     """
     rows = texts(docs, id_col, text_col)
-    spans = duplicate_spans(rows.select("key", "text"), "key", "text", window, seed, most)
-    joined = packed(rows).join(spans.select(F.coalesce("key", F.lit(-(2**63))).alias("key"), "spans"), "key", "left")
-    out = joined.mapInArrow(_removed, "key long, n_words long, n_removed long, kept_sha256 string, kept string").withColumnRenamed("key", "__key")
-    return out.select(id_value("__key").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept")
+    joined = packed(rows).join(_factors(rows, window, seed, most), ["key", "body"], "left")
+    out = joined.mapInArrow(_removed, "__key long, n_words long, n_removed long, kept_sha256 string, kept string, factors array<struct<start:long,length:long,ref:long>>")
+    # A reference without an id is told by the least number there is.
+    return out.select(id_value("__key").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept", "factors")

@@ -4,27 +4,29 @@ A suffix array of every byte of a corpus doesn't shuffle well; a sparse one does
 ``least`` bytes chooses one of its seeds (``seed`` bytes, the least hash), so equal windows, wherever
 they are, choose the same seed at the same offset, and only chosen positions become suffixes:
 about 2 in ``least - seed + 2`` bytes. Suffixes with the same seed meet; each has its context, the
-bytes that a window around it can reach. Contexts that occur twice are
-repeats as they are, without a look at their bytes. The others form an enhanced suffix array per seed (suffixes sorted, neighbours' common
-prefixes); a stack scan lists its common-prefix intervals, and the members' left contexts, sorted
-the same way, tell how far each interval extends to the left: an interval with different left
-contexts is a maximal repeat, and all its members are occurrences.
-
-Seeds with more than ``most`` different contexts are settled another exact way: every window around
-each of them is hashed and counted, which is linear in the contexts and has no groups.
+bytes that a window around it can reach. The different contexts of a seed form an enhanced suffix
+array (suffixes sorted, neighbours' common prefixes); a stack scan lists its common-prefix intervals.
+Within an interval the left contexts, sorted the same way, are scanned likewise: a part of the
+interval whose members agree as far as they can to both sides, and differ beyond, is a maximal
+repeat, and all its members are occurrences. A context that occurs twice is a group with itself.
+
+A seed with more than ``most`` different contexts is not sorted in one task. A repeat reaches so far
+to the left of the shared part or so far to its right, so the contexts are dealt again by the bytes
+there, and again, until every group fits or shares a whole window; no repeat is in none of the parts.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm._anchors import packed, repeated, unpack
+from reelspark.llm._anchors import FOUND, occurrences, packed, repeated, unpack
 from reelspark.llm._store import id_value, materialize, texts
 from reelspark.llm._text import Bytes, blocks, minimizers, mix, signed
 
@@ -32,7 +34,7 @@ from reelspark.llm._text import Bytes, blocks, minimizers, mix, signed
 LEAST = 200
 #: Bytes of a seed.
 SEED = 32
-#: Different contexts of a seed that are sorted in one task.
+#: Different contexts of a group that are sorted in one task; larger groups are split.
 MOST = 2000
 
 
@@ -46,7 +48,7 @@ def _anchors(least: int, seed: int):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key").to_numpy()
+            keys, bodies = batch.column("key").to_numpy(), batch.column("body").to_numpy()
             for first, last, data, offsets in blocks(batch):
                 lengths = np.diff(offsets)
                 row = np.repeat(np.arange(last - first), lengths)
@@ -57,28 +59,25 @@ def _anchors(least: int, seed: int):
                 valid = (place + seed <= end)[: len(seeds)]
                 at = minimizers(seeds, valid, width, place + least <= end)
                 a, b = np.maximum(begin[at], at - back), np.minimum(end[at], at + ahead)
-                context = _context(hashes, a, at, b)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(seeds[at])), pa.array(signed(context)), pa.array(keys[first:last][row[at]]), pa.array((at - begin[at]).astype(np.int32))], ["seed", "context", "key", "pos"])
+                own = row[at]
+                yield occurrences(seeds[at], _context(hashes, a, at, b), keys[first:last][own], bodies[first:last][own], own, at - begin[at])
 
     return find
 
 
 def _contexts(least: int, seed: int):
+    """The bytes around the occurrences that are asked for: behind (backwards) and ahead of each suffix."""
     back, ahead = least - seed, least
-    numbers = ["seed", "context", "n", "different"]
+    numbers = ["seed", "context", "n"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 data = unpack(batch.column("packed")[i].as_py())
                 found = batch.column("wanted")[i].values
-                at = np.minimum(found.field("pos").to_numpy().astype(np.int64), len(data))
-                start, end = np.maximum(at - back, 0), np.minimum(at + ahead, len(data))
-                hashes = Bytes(np.frombuffer(data, np.uint8))
-                # Of rows that share an id, those lend that have the context.
-                own = np.flatnonzero(signed(_context(hashes, start, at, end)) == found.field("context").to_numpy())
-                ends = [pa.array([data[start[k] : at[k]][::-1] for k in own], pa.binary()), pa.array([data[at[k] : end[k]] for k in own], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(found.field(c).take(pa.array(own)) for c in numbers), *ends], [*numbers, "behind", "ahead"])
+                at = found.field("pos").to_numpy().tolist()
+                ends = [pa.array([data[max(k - back, 0) : k][::-1] for k in at], pa.binary()), pa.array([data[k : k + ahead] for k in at], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(found.field(c) for c in numbers), *ends], [*numbers, "behind", "ahead"])
 
     return cut
 
@@ -120,114 +119,216 @@ class _Ranges:
         return out
 
 
-def repeats(behind: list[bytes], ahead: list[bytes], least: int) -> list[tuple[int, int]]:
-    """How far each context is covered to its left and right by repeats of ``least`` bytes among the others; 0, 0 if by none.
+def maximal_repeats(behind: list[bytes], ahead: list[bytes], least: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(left, right, members) of each maximal repeat of ``least`` bytes: how far it reaches from the seed, and all contexts that have it.
 
     behind: bytes before the suffix, backwards; ahead: bytes of the suffix. All differ as pairs.
     """
     n = len(ahead)
     if n == 2:  # one interval
         depth, extent = common_prefix(*ahead), common_prefix(*behind)
-        return [(extent, depth) if extent + depth >= least else (0, 0)] * 2
-    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    order = np.array(sorted(range(n), key=ahead.__getitem__))
-    by_left = np.array(sorted(range(n), key=behind.__getitem__))
+        if extent + depth >= least:
+            yield extent, depth, np.arange(2)
+        return
+    order = np.array(sorted(range(n), key=ahead.__getitem__), np.int64)
+    by_left = np.array(sorted(range(n), key=behind.__getitem__), np.int64)
     rank = np.empty(n, np.int64)
     rank[by_left] = np.arange(n)
-    left_common = _Ranges(np.array([common_prefix(behind[a], behind[b]) for a, b in zip(by_left[:-1], by_left[1:], strict=True)]))
-    for depth, first, last in intervals([common_prefix(ahead[a], ahead[b]) for a, b in zip(order[:-1], order[1:], strict=True)]):
+    left_common = _Ranges(np.array([common_prefix(behind[a], behind[b]) for a, b in zip(by_left[:-1], by_left[1:], strict=True)], np.int64))
+    right_common = np.array([common_prefix(ahead[a], ahead[b]) for a, b in zip(order[:-1], order[1:], strict=True)], np.int64)
+    for depth, first, last in intervals(right_common.tolist()):
         members = order[first : last + 1]
-        members = members[np.argsort(rank[members])]  # now sorted by left context
+        child = np.concatenate([[0], np.cumsum(right_common[first:last] == depth)])
+        by_rank = np.argsort(rank[members])
+        members, child = members[by_rank], child[by_rank]  # now sorted by left context
         near = left_common.least(rank[members[:-1]], rank[members[1:]] - 1)
-        # Where neighbours' left contexts differ, the repeat ends there: of both sides the longer one counts.
-        extent = np.maximum(np.concatenate([near, [-1]]), np.concatenate([[-1], near]))
-        hit = extent + depth >= least
-        members, extent = members[hit], extent[hit]
-        left[members] = np.maximum(left[members], extent)
-        right[members] = np.maximum(right[members], depth)
-    return list(zip(left.tolist(), right.tolist(), strict=True))
+        need = least - depth
+        if need <= 0 and not near.all():
+            yield 0, depth, members
+        if near.max() < need:
+            continue
+        for extent, a, b in intervals(near.tolist()):
+            # Of one child only: then the members agree further to the right, and are found there.
+            if extent >= need and (child[a : b + 1] != child[a]).any():
+                yield extent, depth, members[a : b + 1]
 
 
-def _settle(rows: list[tuple], least: int) -> list[tuple[int, int, int, int]]:
-    """(seed, context, left, right) of the covered contexts of one seed; rows: seed, context, n, behind, ahead."""
-    found = repeats([r[3] for r in rows], [r[4] for r in rows], least) if len(rows) > 1 else [(0, 0)]
-    whole = [(len(r[3]), len(r[4])) if r[2] > 1 else x for r, x in zip(rows, found, strict=True)]  # n > 1: the context itself is repeated
-    return [(r[0], r[1], *x) for r, x in zip(rows, whole, strict=True) if sum(x) >= least]
+def repeats(behind: list[bytes], ahead: list[bytes], least: int) -> list[tuple[int, int]]:
+    """How far each context is covered to its left and right by the maximal repeats that it is in; 0, 0 if in none."""
+    reach = np.zeros((2, len(ahead)), np.int64)
+    for left, right, members in maximal_repeats(behind, ahead, least):
+        reach[0, members] = np.maximum(reach[0, members], left)
+        reach[1, members] = np.maximum(reach[1, members], right)
+    return list(zip(*reach.tolist(), strict=True))
+
 
+def _by_group(settle, names: list[str], types: list[pa.DataType]):
+    """Runs ``settle`` on the rows of each group of a partition that is sorted by group; a group may go on in the next batch."""
 
-def _sorted_groups(least: int):
-    """Settles the groups of a partition that is sorted by seed; a group may go on in the next batch."""
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("seed", "context", "n", "behind", "ahead")), strict=True):
+            out: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "seed", "context", "n", "behind", "ahead")), strict=True):
                 if group and group[0][0] != row[0]:
-                    out += _settle(group, least)
+                    out += settle(group)
                     group = []
-                if not group or group[-1][1] != row[1]:  # rows that share an id lend a context twice
+                if not group or group[-1][2] != row[2]:  # repeated rows lend a context twice
                     group.append(row)
-            yield _reach(out)
+            yield batch_of(out)
         if group:
-            yield _reach(_settle(group, least))
+            yield batch_of(settle(group))
 
     return run
 
 
-def _reach(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["seed", "context", "left", "right"])
+def _reaches(least: int):
+    def settle(rows: list[tuple]) -> list[tuple]:
+        found = repeats([r[4] for r in rows], [r[5] for r in rows], least) if len(rows) > 1 else [(0, 0)]
+        return [(r[1], r[2], *x) for r, x in zip(rows, found, strict=True) if sum(x) >= least]
+
+    return _by_group(settle, ["seed", "context", "left", "right"], [pa.int64()] * 4)
+
+
+class _Repeat:
+    """Names repeats by their bytes. A seed tells all occurrences of a repeat only if a window inside the repeat chooses it."""
+
+    def __init__(self, least: int, seed: int):
+        self.least, self.seed = least, seed
+
+    def name(self, behind: bytes, ahead: bytes, left: int, right: int) -> int | None:
+        data = behind[:left][::-1] + ahead[:right]
+        n = len(data)
+        seeds = Bytes(np.frombuffer(data, np.uint8)).windows(self.seed)
+        chosen = minimizers(seeds, np.ones(len(seeds), bool), self.least - self.seed + 1, np.ones(n, bool))
+        if left not in chosen:
+            return None
+        return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _groups(least: int, seed: int):
+    repeat = _Repeat(least, seed)
+
+    def settle(rows: list[tuple]) -> list[tuple]:
+        out = []
+        for left, right, members in maximal_repeats([r[4] for r in rows], [r[5] for r in rows], least) if len(rows) > 1 else ():
+            name = repeat.name(*rows[members[0]][4:], left, right)
+            if name is not None:
+                out += [(name, rows[m][1], rows[m][2], left, right) for m in members.tolist()]
+        out += [(repeat.name(r[4], r[5], len(r[4]), len(r[5])), r[1], r[2], len(r[4]), len(r[5])) for r in rows if r[3] > 1]  # with itself
+        return out
+
+    return _by_group(settle, _GROUP, [pa.int64()] * 5)
+
 
+_GROUP = ["repeat", "seed", "context", "left", "right"]
 
-def _windows(least: int):
-    """Every window of ``least`` bytes around each context: (seed, context, offset, window's hash, n)."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_windows(least: int, seed: int):
+    """The groups of contexts that share a whole window, and are too many to sort."""
+    repeat = _Repeat(least, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                data = np.frombuffer(row["behind"][::-1] + row["ahead"], np.uint8)
-                windows = Bytes(data).windows(least)
-                n, before = len(windows), len(row["behind"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, row["seed"])), pa.array(np.full(n, row["context"])), pa.array((before - np.arange(n)).astype(np.int32)), pa.array(signed(windows)), pa.array(np.full(n, row["n"]))],
-                    ["seed", "context", "back", "window", "n"],
-                )
+            rows = batch.to_pylist()
+            names = [repeat.name(r["behind"], r["ahead"], r["l"], r["r"]) for r in rows]
+            out = [(n, r["seed"], r["context"], r["l"], r["r"]) for n, r in zip(names, rows, strict=True) if n is not None]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 5], _GROUP)
 
-    return hashed
+    return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, seed: int = SEED, most: int = MOST) -> DataFrame:
-    """(id, spans): the maximal runs of bytes under repeats, as an array of (start, end); documents without any are absent.
+def split_groups(contexts: DataFrame, least: int, most: int, shared: tuple[int, int], part, tag: str) -> tuple[list[DataFrame], DataFrame | None]:
+    """Groups of at most ``most`` rows, and the rows of larger ones whose shared part is a whole window.
 
-    A null text is empty. Repeated rows are copies of each other. Rows that share an id (null is one
-    id) share their spans.
+    contexts: (grp, ...) of groups whose rows agree in ``shared`` units to the left and right of one
+    place. part(side, n): the ``n`` units to that side, null where there are fewer. What reaches
+    ``least`` units in all reaches half of the rest to the left, or the other half to the right.
     """
-    rows = texts(docs, id_col, text_col)
-    found = rows.mapInArrow(_anchors(least, seed), "seed long, context long, key long, pos int")
-    again = materialize(repeated(found), "suffix-anchors")
-
+    fit, whole = [], []
+    frontier = contexts.withColumns({"l": F.lit(shared[0]), "r": F.lit(shared[1])})
+    while True:
+        sizes = materialize(frontier.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"{tag}-sizes")
+        sized = frontier.join(sizes, "grp")
+        fit.append(sized.where(F.col("members") <= most).drop("members", "l", "r"))
+        if not sizes.where(F.col("members") > most).limit(1).count():
+            return fit, reduce(DataFrame.unionByName, whole) if whole else None
+        rest = F.lit(least) - F.col("l") - F.col("r")
+        large = sized.where(F.col("members") > most).drop("members")
+        whole.append(large.where(rest <= 0))
+        to_left = F.col("l") + F.ceil(rest / 2).cast("int")
+        to_right = F.col("r") + rest - F.ceil(rest / 2).cast("int") + 1
+        name = lambda side, n: F.when(part(side, n).isNotNull(), F.struct(F.xxhash64("grp", F.lit(side), n, part(side, n)).alias("grp"), *([n.alias("l"), F.col("r")] if side == "l" else [F.col("l"), n.alias("r")])))
+        both = F.explode(F.array_compact(F.array(name("l", to_left), name("r", to_right)))).alias("g")
+        others = [c for c in contexts.columns if c != "grp"]
+        frontier = materialize(large.where(rest > 0).select(*others, both).select(*others, "g.grp", "g.l", "g.r"), f"{tag}-split")
+
+
+def _bytes_of(side: str, n: Column) -> Column:
+    data = F.col("behind" if side == "l" else "ahead")
+    return F.when(F.octet_length(data) >= n, F.substring(data, F.lit(1), n))
+
+
+def _found(rows: DataFrame, least: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The occurrences of repeated seeds, and the bytes of their different contexts."""
+    again = repeated(rows.mapInArrow(_anchors(least, seed), FOUND), "suffix")
     # One occurrence of each different context lends its bytes.
-    lent = again.where("multi AND NOT later").groupBy("seed", "context").agg(F.max("twice").alias("twice"), F.min(F.struct("key", "pos")).alias("at"))
-    lent = materialize(lent.select("seed", "context", F.when(F.col("twice"), 2).otherwise(1).cast("long").alias("n"), "at.key", "at.pos"), "suffix-lenders")
-    sizes = lent.groupBy("seed").agg(F.count("*").alias("different"))
-    wanted = lent.join(sizes, "seed").groupBy("key").agg(F.collect_list(F.struct("seed", "context", "n", "different", "pos")).alias("wanted"))
-    lenders = packed(rows).join(wanted, "key")
-    contexts = materialize(lenders.mapInArrow(_contexts(least, seed), "seed long, context long, n long, different long, behind binary, ahead binary"), "suffix-contexts")
-    few = contexts.where(F.col("different") <= most).select("seed", "context", "n", "behind", "ahead")
-    reach = "seed long, context long, left long, right long"
-    settled = few.repartition("seed").sortWithinPartitions("seed", "context").mapInArrow(_sorted_groups(least), reach)
-    windows = contexts.where(F.col("different") > most).dropDuplicates(["seed", "context"]).mapInArrow(_windows(least), "seed long, context long, back int, window long, n long")
-    # With the seed and its offset in the key, no window is counted for two of its seeds.
-    window = ["seed", "back", "window"]
-    common = windows.groupBy(window).agg(F.sum("n").alias("total")).where("total > 1")
-    hot = windows.join(common, window).groupBy("seed", "context").agg(F.max("back").cast("long").alias("left"), (F.lit(least) - F.min("back")).cast("long").alias("right"))
-    settled = settled.unionByName(hot)
-
-    same = again.where("twice").select("key", F.greatest(F.col("pos") - (least - seed), F.lit(0)).alias("start"), (F.col("pos") + least).alias("end"))
-    mixed = again.where("multi AND NOT twice").join(settled, ["seed", "context"]).select("key", (F.col("pos") - F.col("left")).cast("int").alias("start"), (F.col("pos") + F.col("right")).cast("int").alias("end"))
-    spans = same.unionByName(mixed).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return materialize(spans, "suffix-spans").select(id_value("key").alias(id_col), "spans")
+    lent = again.where("multi AND key = first").groupBy("seed", "context").agg(F.max("twice").alias("twice"), F.min(F.struct("key", "body", "pos")).alias("at"))
+    asked = F.struct("seed", "context", F.when(F.col("twice"), 2).otherwise(1).cast("long").alias("n"), "at.pos")
+    wanted = lent.groupBy("at.key", "at.body").agg(F.collect_list(asked).alias("wanted"))
+    contexts = packed(rows).join(wanted, ["key", "body"]).mapInArrow(_contexts(least, seed), "seed long, context long, n long, behind binary, ahead binary")
+    return again, materialize(contexts.select(F.col("seed").alias("grp"), "*"), "suffix-contexts")
+
+
+def _settled(contexts: DataFrame, least: int, seed: int, most: int, settle, schema: str) -> tuple[DataFrame, DataFrame | None]:
+    fit, whole = split_groups(contexts, least, most, (0, seed), _bytes_of, "suffix")
+    done = [f.repartition("grp").sortWithinPartitions("grp", "context").mapInArrow(settle, schema) for f in fit]
+    return reduce(DataFrame.unionByName, done), whole
+
+
+def _span(left: Column | str, right: Column | str) -> list[Column]:
+    """From ``left`` bytes before an occurrence to ``right`` after it."""
+    at = lambda c: F.col(c) if isinstance(c, str) else c
+    return [F.greatest(F.col("pos") - at(left), F.lit(0)).cast("int").alias("start"), (F.col("last") + at(right)).cast("int").alias("end")]
+
+
+def _repeated_spans(rows: DataFrame, least: int, seed: int, most: int) -> DataFrame:
+    """(key, body, spans)"""
+    again, contexts = _found(rows, least, seed)
+    settled, whole = _settled(contexts, least, seed, most, _reaches(least), "seed long, context long, left long, right long")
+    if whole is not None:
+        settled = settled.unionByName(whole.select("seed", "context", F.col("l").cast("long").alias("left"), F.col("r").cast("long").alias("right")))
+    same = again.where("twice").select("key", "body", *_span(F.lit(least - seed), F.lit(least)))
+    mixed = again.where("multi AND NOT twice").join(settled, ["seed", "context"]).select("key", "body", *_span("left", "right"))
+    spans = same.unionByName(mixed).groupBy("key", "body").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    return materialize(spans, "suffix-spans")
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, seed: int = SEED, most: int = MOST) -> DataFrame:
+    """(repeat, length, id, body, start, end): every maximal repeat with all its occurrences, a row each.
+
+    repeat: a hash of the repeated bytes; body: the hash of the row's text. A repeat is seen through
+    ``least - seed`` bytes before and ``least`` after each seed in it, so a longer one is a chain of
+    groups that overlap. Repeats are listed from the shortest to the longest that hold: one inside
+    another has more occurrences. Null texts are empty, null ids stay null, repeated rows are one
+    occurrence each. Where more than ``most`` contexts share a whole window, that window is the repeat.
+    """
+    rows = texts(docs, id_col, text_col)
+    again, contexts = _found(rows, least, seed)
+    schema = "repeat long, seed long, context long, left long, right long"
+    found, whole = _settled(contexts, least, seed, most, _groups(least, seed), schema)
+    if whole is not None:
+        found = found.unionByName(whole.mapInArrow(_whole_windows(least, seed), schema))
+    # A repeated context without others has no array to be in: it is a group as it stands.
+    lone = again.where("NOT multi").select(F.xxhash64("seed", "context").alias("repeat"), "seed", "context", F.lit(least - seed).cast("long").alias("left"), F.lit(least).cast("long").alias("right")).distinct()
+    hits = again.join(found.unionByName(lone).distinct(), ["seed", "context"])
+    ends = rows.select("key", "body", F.octet_length("text").alias("n_bytes")).distinct()
+    hits = hits.select("repeat", "key", "body", *_span("left", "right")).join(ends, ["key", "body"])
+    return hits.select("repeat", (F.least("end", "n_bytes") - F.col("start")).alias("length"), id_value("key").alias(id_col), "body", "start", F.least("end", "n_bytes").alias("end")).distinct()
 
 
 def merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
@@ -258,16 +359,18 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = b"".join(kept)
             out.append((len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left))
         columns = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.binary())], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.binary())], ["__key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, seed: int = SEED, most: int = MOST) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes left after the removals).
 
-    Matches don't cross rows. A null text is empty. Repeated rows are copies, so each loses all of a
-    text of ``least`` bytes or more. An empty table gives an empty table.
+    Matches don't cross rows. A null text is empty. Rows are known by id and text, so those that share
+    an id (null or not) are judged each for itself. Repeated rows are copies, so each loses all of a
+    text of ``least`` bytes or more; all occurrences are removed, so ties don't arise. An empty table
+    gives an empty table.
     """
     rows = texts(docs, id_col, text_col)
-    spans = repeated_spans(rows.select("key", "text"), "key", "text", least, seed, most)
-    joined = packed(rows).join(spans.select(F.coalesce("key", F.lit(-(2**63))).alias("key"), "spans"), "key", "left")
-    return joined.mapInArrow(_removed, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("key", "__key").select(id_value("__key").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    joined = packed(rows).join(_repeated_spans(rows, least, seed, most), ["key", "body"], "left")
+    out = joined.mapInArrow(_removed, "__key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.select(id_value("__key").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

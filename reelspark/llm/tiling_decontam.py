@@ -1,19 +1,20 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words of a document and of a benchmark item that share a seed (``least`` words in a row, by running
-Karp-Rabin hash) are joined; seeds on one diagonal make maximal matches. The longest match is
-marked again and again, matches that it cuts are tried again with what is left of them, and tiles
-of under ``least`` words don't count. The share of the item's words under tiles decides: the tiles
-may come in any order, so reordered passages are caught too.
+Karp-Rabin hash) are joined on it. The longest stretch that both have is marked, again and again,
+until none of ``least`` words is left; marked words are not used twice. The share of the item's
+words under tiles decides: the tiles may come in any order, so reordered passages are caught too.
 
-The items are taken in blocks of a bounded number of words; each block is broadcast, and every
-document is held against every block.
+The corpus is read once, however many items there are: a filter of fixed size over the items' seeds
+goes to every task, and only what passes it, stretches of seeds, takes part in the join. Pairs whose
+shared seeds can't cover enough of the item are left out before their words are looked at.
+
+An item of fewer than ``least`` words is too short to tell where it stands in a text: it only
+contaminates documents that consist of it.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,130 +23,211 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm._store import id_key, id_value, materialize, texts
-from reelspark.llm._text import Bytes, Words, blocks, lower, ngrams, within_rows
+from reelspark.llm._store import bound_batches, id_key, id_value, materialize, text_hash, texts, without
+from reelspark.llm._text import Bytes, Words, blocks, lower, mix, ngrams, signed, window_hashes, within_rows
 
 #: Words of the shortest tile.
 LEAST = 5
 #: Share of an item's words under tiles from which a document is contaminated.
 COVERAGE = 0.5
-#: Words of benchmark items that are broadcast at once.
-BLOCK_WORDS = 500_000
+#: log2 of the bits of the filter of items' seeds: bounds what is collected and broadcast to 2 MB.
+FILTER_BITS = 24
 
-_SCHEMA = "key long, item long, n_words long, n_covered long, n_tiles long, tiles array<struct<item_start:int,doc_start:int,length:int>>"
+_U = np.uint64
 _TILES = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))
 
 
-def tile(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from maximal matches (item start, document start, length)."""
-    heap = [(-n, i, j) for i, j, n in matches if n >= least]
-    heapq.heapify(heap)
-    used_item: set[int] = set()
-    used_doc: set[int] = set()
+def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    low = lower(data)
+    words = Words(low, offsets)
+    return words, Bytes(low).slices(words.starts, words.ends)
+
+
+def _seeds(words: Words, hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word at which it starts, hash) of every seed; a row of fewer words has all of them as one."""
+    at, out = [np.flatnonzero(within_rows(words, least))], []
+    out.append(ngrams(hashes, least)[at[0]])
+    for k in range(1, least):
+        short = words.first[:-1][words.counts == k]
+        if len(short):
+            at.append(short)
+            out.append(mix(ngrams(hashes, k)[short] + _U(k)))
+    at, out = np.concatenate(at), np.concatenate(out)
+    order = np.argsort(at, kind="stable")
+    return at[order], out[order]
+
+
+def _items(least: int):
+    """Words and seeds of the items: (item_row, item, n_words, words, seeds, places)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, items = batch.column("item_row"), batch.column("item")
+            for first, last, data, offsets in blocks(batch):
+                words, hashes = _hashed(data, offsets)
+                at, seeds = _seeds(words, hashes, least)
+                cuts = np.searchsorted(at, words.first)
+                own = [hashes[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+                places = (at - words.first[words.rows[at]]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(v)) for v in (signed(seeds), places)]
+                yield pa.RecordBatch.from_arrays([rows.slice(first, last - first), items.slice(first, last - first), pa.array(words.counts), pa.array(own, pa.binary()), *lists], ["item_row", "item", "n_words", "words", "seeds", "places"])
+
+    return read
+
+
+def _stretches(least: int, held):
+    """Stretches of documents' words whose seeds pass the filter: (key, body, seeds, starts, sizes, words)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            keys, bodies = batch.column("key").to_numpy(), batch.column("body").to_numpy()
+            for first, _, data, offsets in blocks(batch):
+                words, hashes = _hashed(data, offsets)
+                at, seeds = _seeds(words, hashes, least)
+                cell = (seeds & _U((1 << FILTER_BITS) - 1)).astype(np.int64)
+                hit = np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
+                at, seeds = at[hit], seeds[hit]
+                row = words.rows[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
+                begins = np.flatnonzero(new)
+                ends = np.minimum(at[np.append(begins[1:], len(at))[: len(begins)] - 1] + least, words.first[row[begins] + 1])
+                starts, owner = at[begins], row[begins]
+                out = []
+                for r, (a, b), (c, d) in zip(np.unique(row), _runs(owner), _runs(row), strict=True):
+                    spans = list(zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True))
+                    mine = b"".join(hashes[x:y].tobytes() for x, y in spans)
+                    out.append((keys[first + r], bodies[first + r], signed(np.unique(seeds[c:d])), [x - int(words.first[r]) for x, _ in spans], [y - x for x, y in spans], mine))
+                columns = list(zip(*out, strict=True)) or [()] * 6
+                types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["key", "body", "seeds", "starts", "sizes", "words"])
+
+    return find
+
+
+def _runs(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    cuts = np.flatnonzero(np.diff(sorted_)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(sorted_)], strict=True)) if len(sorted_) else []
+
+
+def _room(free: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """How many free words follow each place, itself included, up to the end of its stretch (``last`` marks the ends)."""
+    n = len(free)
+    stop = np.where(~free, np.arange(n), np.where(last, np.arange(n) + 1, n))
+    return np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n)
+
+
+def tile(item: np.ndarray, starts: list[int], stretches: list[np.ndarray], least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (item start, document start, length), longest first, of equal ones the first in the item, then in the document.
+
+    item: hashes of its words; stretches: hashes of the document's words from each of ``starts`` on.
+    Lengths are found by bisection over running hashes, so repeated words cost no pairs of places.
+    """
+    starts, stretches = [s for s, x in zip(starts, stretches, strict=True) if len(x)], [x for x in stretches if len(x)]
+    doc = np.concatenate([*stretches, np.zeros(0, _U)]).astype(_U)
+    place = np.concatenate([*(np.arange(s, s + len(x)) for s, x in zip(starts, stretches, strict=True)), np.zeros(0, np.int64)]).astype(np.int64)
+    ends = np.zeros(len(doc), bool)
+    ends[np.cumsum([len(x) for x in stretches], dtype=np.int64) - 1] = True
+    item_end = np.zeros(len(item), bool)
+    item_end[-1:] = True
+    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
+    of_item, of_doc = window_hashes(item), window_hashes(doc)
     tiles = []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        free = [k for k in range(-n) if i + k not in used_item and j + k not in used_doc]
-        if len(free) == -n:
-            tiles.append((i, j, -n))
-            used_item.update(range(i, i - n))
-            used_doc.update(range(j, j - n))
-            continue
-        start = 0
-        for k in range(1, len(free) + 1):
-            if k == len(free) or free[k] != free[k - 1] + 1:
-                if k - start >= least:
-                    heapq.heappush(heap, (start - k, i + free[start], j + free[start]))
-                start = k
-    return sorted(tiles)
-
-
-class Items:
-    """Seeds of a block of benchmark items, sorted by hash; items shorter than a seed have theirs as long as they are."""
-
-    def __init__(self, ids: list[int], texts_: list[str], least: int):
-        self.ids, self.least = ids, least
-        data = np.frombuffer("".join(texts_).encode(), np.uint8)
-        offsets = np.cumsum([0, *(len(t.encode()) for t in texts_)]).astype(np.int64)
-        words = Words(data, offsets)
-        hashes = Bytes(lower(data)).slices(words.starts, words.ends)
-        self.counts = words.counts
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n in range(1, least + 1):
-            seeds, ok = ngrams(hashes, n), within_rows(words, n)
-            ok &= (self.counts[words.rows[: len(ok)]] >= least) if n == least else (self.counts[words.rows[: len(ok)]] == n)
-            at = np.flatnonzero(ok)
-            if not len(at):
+    high = min(len(item), len(doc))
+    while True:
+        room_item, room_doc = _room(free_item, item_end), _room(free_doc, ends)
+
+        def common(n: int, room_item=room_item, room_doc=room_doc) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            i, j = np.flatnonzero(room_item >= n), np.flatnonzero(room_doc >= n)
+            a, b = of_item(n)[i], of_doc(n)[j]
+            return i, a, j, b
+
+        low, high = least - 1, min(high, int(room_item.max(initial=0)), int(room_doc.max(initial=0)))
+        while low < high:
+            middle = (low + high + 1) // 2
+            _, a, _, b = common(middle)
+            low, high = (middle, high) if np.isin(a, b).any() else (low, middle - 1)
+        if low < least:
+            return sorted(tiles)
+        i, a, j, b = common(low)
+        wanted: dict[int, list[int]] = defaultdict(list)
+        of = np.isin(b, a)
+        for x, y in zip(b[of][::-1].tolist(), j[of][::-1].tolist(), strict=True):
+            wanted[x].append(y)  # the first place is the last of the list
+        for x, at in zip(a.tolist(), i.tolist(), strict=True):
+            places = wanted.get(x)
+            if not places or not free_item[at : at + low].all():
                 continue
-            at = at[np.argsort(seeds[at], kind="stable")]
-            seen = np.zeros(1 << 20, bool)
-            seen[(seeds[at] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.by_length[n] = seeds[at], words.rows[at], at - words.first[words.rows[at]], seen
-
-    def compare(self, words: Words, hashes: np.ndarray, coverage: float) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """(row, item, tiles) of the pairs whose tiles cover enough of the item."""
-        for n, (seeds, items, at, seen) in self.by_length.items():
-            own, ok = ngrams(hashes, n), within_rows(words, n)
-            found = np.flatnonzero(ok & seen[(own & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            low, high = np.searchsorted(seeds, own[found], "left"), np.searchsorted(seeds, own[found], "right")
-            hit = high > low
-            found, low, high = found[hit], low[hit], high[hit]
-            diagonals: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-            for p, a, b in zip(found.tolist(), low.tolist(), high.tolist(), strict=True):
-                row = int(words.rows[p])
-                j = p - int(words.first[row])
-                for k in range(a, b):
-                    diagonals[row, int(items[k])][j - int(at[k])].append(j)
-            for (row, item), by in diagonals.items():
-                matches = []
-                for diagonal, starts in by.items():
-                    first = last = starts[0]
-                    for j in [*starts[1:], None]:
-                        if j is None or j != last + 1:
-                            matches.append((first - diagonal, first, last - first + n))
-                            first = j
-                        last = j
-                tiles = tile(matches, n)
-                if sum(t[2] for t in tiles) >= coverage * self.counts[item]:
-                    yield row, item, tiles
-
-
-def tiles_with(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+            while places and not free_doc[places[-1] : places[-1] + low].all():
+                places.pop()
+            if places:
+                k = places.pop()
+                free_item[at : at + low] = False
+                free_doc[k : k + low] = False
+                tiles.append((at, int(place[k]), low))
+
+
+def _tiled(least: int, coverage: float):
+    names = ["key", "body", "item", "n_words", "n_covered", "n_tiles", "tiles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                words, cuts = np.frombuffer(r["words"], _U), np.cumsum(r["sizes"])[:-1]
+                tiles = tile(np.frombuffer(r["item_words"], _U), r["starts"], np.split(words, cuts), min(least, r["n_words"]))
+                covered = sum(t[2] for t in tiles)
+                if covered >= coverage * r["n_words"]:
+                    out.append((r["key"], r["body"], r["item"], r["n_words"], covered, len(tiles), [dict(zip(("item_start", "doc_start", "length"), t, strict=True)) for t in tiles]))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], _TILES)], names)
+
+    return run
+
+
+def _filter(items: DataFrame) -> np.ndarray:
+    """The bits of the items' seeds; 2 ** FILTER_BITS / 64 rows at most are collected."""
+    cells = items.select(F.explode("seeds").alias("seed")).select(F.col("seed").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("cell"))
+    words = cells.groupBy(F.shiftright("cell", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell & 63 AS INT))")).alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return bits.view(np.uint8)
+
+
+def _contaminated(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, least: int, coverage: float) -> DataFrame:
+    """(key, body, item, n_words, n_covered, n_tiles, tiles) of the contaminated pairs, for each row of (key, body, text)."""
+    bench = benchmark.select(F.xxhash64(id_key(benchmark[item_col]), text_hash(benchmark[item_text_col])).alias("item_row"), id_key(benchmark[item_col]).alias("item"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("text"))
+    bench = bench.dropDuplicates(["item_row"]).mapInArrow(_items(least), "item_row long, item long, n_words long, words binary, seeds array<long>, places array<int>")
+    items = materialize(bench.where("n_words > 0"), "tiling-items")
+    held = rows.sparkSession.sparkContext.broadcast(_filter(items))
+    found = rows.mapInArrow(_stretches(least, held), "key long, body long, seeds array<long>, starts array<int>, sizes array<int>, words binary")
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "tiling-stretches")
+
+    of_items = items.select("item_row", "n_words", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item_row", "n_words", "s.seeds", "s.places").withColumnRenamed("seeds", "seed")
+    shared = found.select("row", F.explode("seeds").alias("seed")).join(of_items, "seed")
+    pairs = shared.groupBy("row", "item_row", "n_words").agg(F.sort_array(F.collect_set("places")).alias("at"))
+    # Words of the item under seeds that both have: no tiling covers more.
+    under = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda s, p: F.struct((s["n"] + p + least - F.greatest(p, s["to"])).alias("n"), (p + least).alias("to")))
+    pairs = pairs.where(F.least(under["n"].cast("long"), F.col("n_words")) >= coverage * F.col("n_words")).select("row", "item_row")
+    pairs = pairs.join(items.select("item_row", "item", "n_words", F.col("words").alias("item_words")), "item_row").join(found.drop("seeds"), "row")
+    return pairs.select("key", "body", "item", "n_words", "item_words", "starts", "sizes", "words").mapInArrow(_tiled(least, coverage), "key long, body long, item long, n_words long, n_covered long, n_tiles long, tiles array<struct<item_start:int,doc_start:int,length:int>>")
+
+
+def tiles_with(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """One row per contaminated pair: id, item id, n_words (the item's), n_covered, n_tiles, coverage, tiles.
 
     Words are runs of other than ASCII white space, A-Z in lower case. Null and empty texts, of
-    either side, match nothing; null ids stay null; a repeated row has its own rows; an empty table
-    gives an empty table. Tiles are (item_start, doc_start, length) in words.
+    either side, match nothing; null ids stay null; a repeated row has its own rows, a repeated item
+    counts once; of equal tiles the first in the item, then in the document is taken first; an empty
+    table gives an empty table. Tiles are (item_start, doc_start, length) in words.
     """
-    rows = texts(docs, id_col, text_col)
-    spark = docs.sparkSession
-    bench = benchmark.select(id_key(benchmark[item_col]).alias("item"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("text"))
-    total = bench.agg(F.sum(F.char_length("text") / 2)).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / block_words))
-    out = None
-    for b in range(n_blocks):
-        part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b).collect()
-        held = spark.sparkContext.broadcast(Items([r["item"] for r in part], [r["text"] for r in part], least))
-
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            items = held.value
-            for batch in batches:
-                keys = batch.column("key")
-                found = []
-                for first, _, data, offsets in blocks(batch):
-                    words = Words(data, offsets)
-                    hashes = Bytes(lower(data)).slices(words.starts, words.ends)
-                    for row, item, tiles in items.compare(words, hashes, coverage):
-                        found.append((keys[first + row].as_py(), items.ids[item], int(items.counts[item]), sum(t[2] for t in tiles), len(tiles), [dict(zip(("item_start", "doc_start", "length"), t, strict=True)) for t in tiles]))
-                columns = list(zip(*found, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], _TILES)], ["key", "item", "n_words", "n_covered", "n_tiles", "tiles"])
-
-        one = rows.mapInArrow(search, _SCHEMA)
-        out = one if out is None else out.unionByName(one)
+    bound_batches(docs.sparkSession)
+    out = _contaminated(texts(docs, id_col, text_col), benchmark, item_col, item_text_col, least, coverage)
     return out.select(id_value("key").alias(id_col), id_value("item").alias(item_col), "n_words", "n_covered", "n_tiles", (F.col("n_covered") / F.col("n_words")).alias("coverage"), "tiles")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that no benchmark item contaminates."""
-    hit = tiles_with(docs, benchmark, id_col, **options).select(id_key(id_col).alias("__key")).distinct()
-    return docs.withColumn("__key", id_key(docs[id_col])).join(materialize(hit, "contaminated"), "__key", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs`` that no benchmark item contaminates, whatever else stands under their id; null and empty texts stay."""
+    hit = _contaminated(texts(docs, id_col, text_col), benchmark, item_col, item_text_col, least, coverage)
+    return without(docs, materialize(hit.select("key", "body"), "contaminated"), id_col, text_col)

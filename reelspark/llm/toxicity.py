@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm._store import id_key, id_value, materialize, texts
+from reelspark.llm._store import id_key, id_value, materialize, texts, without
 from reelspark.llm._text import NOT_LETTER, Bytes, Words, blocks, lower
 
 #: Buckets of tokens: bounds what is counted and broadcast.
@@ -101,7 +101,7 @@ def segments(position: list[int], value: list[float], total: list[float]) -> lis
     return [(s[0], s[1], s[3] - s[2]) for s in out]
 
 
-_FEATURES = "key long, n_tokens long, best double, segments array<struct<first:int,last:int,score:double>>"
+_FEATURES = "key long, body long, n_tokens long, best double, segments array<struct<first:int,last:int,score:double>>"
 _SEGMENTS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
 
@@ -127,7 +127,7 @@ def _segmenter(held):
                     best.append(max(x[2] for x in s))
                     found.append([{"first": x[0], "last": x[1], "score": x[2]} for x in s])
             n = pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), n, pa.array(best, pa.float64()), pa.array(found, _SEGMENTS)], ["key", "n_tokens", "best", "segments"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("body"), n, pa.array(best, pa.float64()), pa.array(found, _SEGMENTS)], ["key", "body", "n_tokens", "best", "segments"])
 
     return find
 
@@ -156,15 +156,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """One row per input row: id, held_out, score (0 to 1), predicted, evidence, segments (first, last token, score).
-
-    A null text is empty; an empty text has no segment and the least score. Without labelled rows of
-    both kinds every score is the toxic share of the labelled rows, 0 if there are none. Null ids
-    are not held out; repeated rows each get a row.
-    """
-    spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col)
+def _scored(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, train_rows: int) -> DataFrame:
+    """(key, body, score, evidence, segments) of rows of (key, body, text)."""
+    spark = rows.sparkSession
     known = training_rows(labels, id_col, label_col, train_rows)
     # At most train_rows rows of two numbers: bounded.
     counts = rows.join(F.broadcast(known), "key", "left").mapInArrow(_count, "bucket int, n long, n_toxic long, n_clean long")
@@ -173,12 +167,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n, toxic, clean = (np.zeros(BUCKETS) for _ in range(3))
     for into, name in ((n, "n"), (toxic, "n_toxic"), (clean, "n_clean")):
         into[table["bucket"].to_numpy(np.int64)] = table[name].to_numpy(float)
-    scores = log_odds(n, toxic, clean)
+    both = bool(toxic.any() and clean.any())
+    scores = log_odds(n, toxic, clean) if both else Scores(np.zeros(BUCKETS), 1.0)  # nothing to tell tokens apart by
     held = spark.sparkContext.broadcast(Scores(scores.value.astype(np.float64), scores.scale))
     found = materialize(rows.mapInArrow(_segmenter(held), _FEATURES), "toxic-segments")
     # Gumbel: scale * best - ln(tokens) has its location at ln K; the mean lies Euler's constant above.
     normal = F.col("best") * scores.scale - F.log(F.greatest("n_tokens", F.lit(1)).cast("double"))
-    fit = found.join(F.broadcast(known), "key").select("toxic", normal.alias("x"), (F.col("best") > 0).cast("int").alias("any")).toPandas() if toxic.any() and clean.any() else None
+    fit = found.join(F.broadcast(known), "key").select("toxic", normal.alias("x"), (F.col("best") > 0).cast("int").alias("any")).toPandas() if both else None
     if fit is None or fit["toxic"].nunique() < 2:
         share = known.agg(F.avg("toxic")).first()[0] or 0.0
         probability, evidence = F.lit(float(share)), F.lit(0.0)
@@ -200,11 +195,23 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         z = sum((f * float(c) for f, c in zip(features[1:], w[1:], strict=True)), F.lit(float(w[0])))
         probability = 1 / (1 + F.exp(-z))
     p = F.least(F.greatest(probability, F.lit(0.0)), F.lit(1.0)).cast("double")
-    out = found.select(id_value("key").alias(id_col), p.alias("score"), evidence.alias("evidence"), "segments")
+    return found.select("key", "body", p.alias("score"), evidence.alias("evidence"), "segments")
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """One row per input row: id, held_out, score (0 to 1), predicted, evidence, segments (first, last token, score).
+
+    A null text is empty; an empty text has no segment and the least score. Without labelled rows of
+    both kinds every score is the toxic share of the labelled rows, 0 if there are none. An id with
+    several labels is toxic if one of them says so. Null ids are not held out; repeated rows each get
+    a row; a score depends on the row's text alone; an empty table gives an empty table.
+    """
+    out = _scored(texts(docs, id_col, text_col), labels, id_col, label_col, train_rows)
+    out = out.withColumn(id_col, id_value("key")) if id_col != "key" else out.withColumn("key", id_value("key"))
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "segments")
 
 
-def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic; of rows that share an id, all go if one does."""
-    toxic = score(docs, labels, id_col, **options).where("predicted = 1").select(id_key(id_col).alias("__key")).distinct()
-    return docs.withColumn("__key", id_key(docs[id_col])).join(materialize(toxic, "toxic"), "__key", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, whatever else stands under their id; null and empty texts stay."""
+    toxic = _scored(texts(docs, id_col, text_col), labels, id_col, label_col, train_rows).where("score >= 0.5 AND size(segments) > 0")
+    return without(docs, materialize(toxic.select("key", "body"), "toxic"), id_col, text_col)
