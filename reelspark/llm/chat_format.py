@@ -19,18 +19,21 @@ TURNS = "array<struct<role:string,content:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """paths: every nested field path of the layout. turns: either (role, path of its text) in order,
-    or one (role path, content path) pair below a list."""
+    """paths: every nested field path of the layout, sorted. turns: either (role, path of its text) in order,
+    or one (list, role, content) below it, where the content may come in parts."""
 
     paths: tuple[str, ...]
     fields: tuple[tuple[str, str], ...] = ()
     listed: tuple[str, str, str] | None = None
+    parts: bool = False
 
 
 LAYOUTS = [
-    Layout(("messages", "messages[].content", "messages[].role"), listed=("messages", "role", "content")),
-    Layout(("messages",), listed=("messages", "role", "content")),
-    Layout(("conversations", "conversations[].from", "conversations[].value"), listed=("conversations", "from", "value")),
+    Layout(("messages[].content", "messages[].role"), listed=("messages", "role", "content")),
+    Layout(("messages[]",), listed=("messages", "role", "content")),
+    Layout(("messages[].content[].text", "messages[].content[].type", "messages[].role"), listed=("messages", "role", "content"), parts=True),
+    Layout(("messages[].content?", "messages[].role"), listed=("messages", "role", "content"), parts=True),
+    Layout(("conversations[].from", "conversations[].value"), listed=("conversations", "from", "value")),
     Layout(("prompt", "response"), (("user", "prompt"), ("assistant", "response"))),
     Layout(("completion", "prompt"), (("user", "prompt"), ("assistant", "completion"))),
     Layout(("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
@@ -45,38 +48,38 @@ def _top(record: Column) -> Column:
     return F.from_json(record, "map<string,string>")
 
 
-def _list(value: Column) -> Column:
-    return F.from_json(value, "array<map<string,string>>")
-
-
-def _nested(record: Column) -> Column:
-    """The fields of a JSON record that hold a list or an object, as JSON; a text that only looks like one is none."""
-    kinds = F.from_json(record, "map<string,variant>")
-    looks = lambda v: v.startswith("[") | v.startswith("{")
-    # Kinds are unknown where a nested object repeats a name: then the look decides.
-    return F.map_filter(_top(record), lambda k, v: F.when(looks(v), F.coalesce(F.schema_of_variant(kinds[k]) != "STRING", F.lit(True))).otherwise(F.lit(False)))
-
-
 def field_paths(record: Column) -> Column:
-    """Sorted nested field paths of a JSON record: ``name``, ``list[].name``, ``object.name``."""
-    nested = _nested(record)
-
-    def below(entry: Column) -> Column:
-        name, value = entry["key"], entry["value"]
-        in_list = F.flatten(F.transform(F.coalesce(F.when(value.startswith("["), _list(value)), F.array().cast("array<map<string,string>>")), lambda m: F.map_keys(m)))
-        in_object = F.coalesce(F.when(value.startswith("{"), F.map_keys(_top(value))), F.array().cast("array<string>"))
-        listed = F.transform(F.array_distinct(in_list), lambda k: F.concat(name, F.lit("[]."), k))
-        return F.concat(listed, F.transform(in_object, lambda k: F.concat(name, F.lit("."), k)))
+    """Sorted nested field paths of a JSON record, at any depth: ``name``, ``object.name``, ``list[].name``, ``list[]``.
 
-    paths = F.concat(F.map_keys(_top(record)), F.flatten(F.transform(F.map_entries(nested), below)))
-    return F.coalesce(F.array_sort(F.array_distinct(paths)), F.array().cast("array<string>"))
+    Paths come from the kinds of the values, so a text that looks like JSON is a text. A path whose values
+    are of several kinds, text in one place and a list in another, ends in ``?``. None for what isn't JSON
+    or repeats a name in one object.
+    """
+    kinds = F.schema_of_variant(F.try_parse_json(record))
+    # Names other than plain ones stand in backticks there, so no name is taken for a kind.
+    tokens = F.regexp_extract_all(kinds, F.lit(r"(?:`(?:[^`]|``)*`|\w+): |OBJECT<|ARRAY<|>|[A-Z]+(?:\(\d+,\d+\))?"), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("at"), F.array().cast("array<string>").alias("paths"))
+
+    def step(s: Column, t: Column) -> Column:
+        state = lambda open_, at, paths: F.struct(open_.alias("open"), at.alias("at"), paths.alias("paths"))
+        top, name = F.element_at(s["open"], -1), F.regexp_replace(t, "^`?(.*?)`?: $", "$1")
+        in_list = F.concat(s["at"], F.lit("[]"))
+        return (
+            F.when(t.endswith(": "), state(s["open"], F.when(top == "", name).otherwise(F.concat(top, F.lit("."), name)), s["paths"]))
+            .when(t == "OBJECT<", state(F.array_append(s["open"], s["at"]), s["at"], s["paths"]))
+            .when(t == "ARRAY<", state(F.array_append(s["open"], in_list), in_list, s["paths"]))
+            .when(t == ">", state(F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1), s["at"], s["paths"]))
+            .otherwise(state(s["open"], s["at"], F.array_append(s["paths"], F.when(t == "VARIANT", F.concat(s["at"], F.lit("?"))).otherwise(s["at"]))))
+        )
+
+    return F.coalesce(F.array_sort(F.array_distinct(F.aggregate(tokens, start, step)["paths"])), F.array().cast("array<string>"))
 
 
 def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
-def _listed_turn(role: str, content: str):
+def _plain_turn(role: str, content: str):
     def turn(m: Column) -> Column:
         who = F.coalesce(m[role], F.lit(""))
         return F.struct((role_name(who) if role == "from" else who).alias("role"), F.coalesce(m[content], F.lit("")).alias("content"))
@@ -84,16 +87,28 @@ def _listed_turn(role: str, content: str):
     return turn
 
 
+def _turn_in_parts(role: str, content: str):
+    def turn(m: Column) -> Column:
+        said = m[content]
+        parts = F.transform(F.try_variant_get(said, "$", "array<map<string,string>>"), lambda p: F.coalesce(p["text"], F.lit("")))
+        text = F.when(F.schema_of_variant(said).startswith("ARRAY"), F.array_join(parts, "")).otherwise(F.try_variant_get(said, "$", "string"))
+        return F.struct(F.coalesce(F.try_variant_get(m[role], "$", "string"), F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
+
+    return turn
+
+
 def canonical_turns(record: Column, layouts: list[Layout] = LAYOUTS) -> Column:
     """Turns of a JSON record by the mapping that its fingerprint selects; null for unknown layouts."""
     # One element, so that paths and fields are read once for all layouts.
-    once = F.array(F.struct(fingerprint(field_paths(record)).alias("known"), _top(record).alias("top"), _nested(record).alias("nested")))
+    once = F.array(F.struct(fingerprint(field_paths(record)).alias("known"), _top(record).alias("top")))
 
     def chosen(r: Column) -> Column:
         out = F.lit(None).cast(TURNS)
         for layout in layouts:
-            if layout.listed:
-                turns = F.transform(_list(r["nested"][layout.listed[0]]), _listed_turn(*layout.listed[1:]))
+            if layout.listed and layout.parts:
+                turns = F.transform(F.from_json(r["top"][layout.listed[0]], "array<map<string,variant>>"), _turn_in_parts(*layout.listed[1:]))
+            elif layout.listed:
+                turns = F.transform(F.from_json(r["top"][layout.listed[0]], "array<map<string,string>>"), _plain_turn(*layout.listed[1:]))
             else:
                 turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(r["top"][path], F.lit("")).alias("content")) for role, path in layout.fields])
             out = F.when(r["known"] == fingerprint(F.array(*[F.lit(p) for p in layout.paths])), turns).otherwise(out)
@@ -124,25 +139,44 @@ def _unescape_role(role: Column) -> Column:
 
 
 def records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv, record): rows by turn as JSON records, a lone user and assistant pair as prompt and response.
+    """(conv, record): rows by turn as JSON records, in the layouts in which such data comes.
 
-    Null roles and texts are empty; null turns come last; ties are ordered by role, then text;
-    repeated rows stay. A null id is a conversation of its own.
+    A lone user and assistant pair is a prompt and response, prompt and completion, instruction and
+    output, or a list of messages; others are lists of messages, plain or with contents in parts, or
+    of senders and values. Which of them, a hash of the id decides. Null roles and texts are empty;
+    null turns come last; ties are ordered by role, then text; repeated rows stay. A null id is a
+    conversation of its own. An empty table gives an empty table.
     """
     turn = F.struct(F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     r = rows.select(rows[id_col].alias("conv"), rows[turn_col].alias("turn"), rows[role_col].alias("role"), rows[text_col].alias("text"))
     r = r.groupBy("conv").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    t = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    pair = (F.size("t") == 2) & (F.col("t")[0]["role"] == "user") & (F.col("t")[1]["role"] == "assistant")
-    short = F.to_json(F.struct(F.col("t")[0]["content"].alias("prompt"), F.col("t")[1]["content"].alias("response")))
-    return r.select("conv", F.when(pair, short).otherwise(F.to_json(F.struct(t.alias("messages")))).alias("record"))
+    user, assistant = F.lit("user"), F.lit("assistant")
+    said = lambda i: F.get("t", F.lit(i))["content"]
+    pair = (F.size("t") == 2) & (F.get("t", F.lit(0))["role"] == user) & (F.get("t", F.lit(1))["role"] == assistant)
+    kind = F.pmod(F.xxhash64("conv"), F.lit(4))
+    two = lambda a, b: F.to_json(F.struct(said(0).alias(a), said(1).alias(b)))
+    plain = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
+    in_parts = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), x["content"].alias("text"))).alias("content"))).alias("messages")))
+    sender = lambda x: F.when(x["role"] == user, F.lit("human")).otherwise(F.lit("gpt"))
+    sent = F.to_json(F.struct(F.transform("t", lambda x: F.struct(sender(x).alias("from"), x["content"].alias("value"))).alias("conversations")))
+    two_roles = F.forall("t", lambda x: (x["role"] == user) | (x["role"] == assistant))
+    record = (
+        F.when(pair & (kind == 0), two("prompt", "response"))
+        .when(pair & (kind == 1), two("prompt", "completion"))
+        .when(pair & (kind == 2), two("instruction", "output"))
+        .when(~pair & two_roles & (kind == 2), sent)
+        .when(~pair & (kind == 1), in_parts)
+        .otherwise(plain)
+    )
+    return r.select("conv", record.alias("record"))
 
 
 def format_chats(recs: DataFrame) -> DataFrame:
     """(conv, formatted, loss): the template's text and the spans of the assistant's texts in it.
 
     recs: (conv, record). loss: array of (start, length) in code points. Records in an unknown
-    layout keep their row, with null ``formatted`` and ``loss``.
+    layout keep their row, with null ``formatted`` and ``loss``; a record without turns has an empty
+    text. Null ids are one conversation; an empty table gives an empty table.
     """
     turns = recs.select("conv", canonical_turns(F.col("record")).alias("turns"))
     head = lambda t: F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n"))
@@ -174,6 +208,7 @@ def read_back(formatted: Column) -> Column:
 
 
 def digest(chats: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """What is read back from ``format_chats``'s rows: id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars; null where the layout is unknown."""
     turns = chats.select("conv", "formatted", "loss", read_back(F.col("formatted")).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
     learnt = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")

@@ -36,17 +36,18 @@ class Encoder:
 
     Byte-level pre-tokenizers of this family never join a space to what stands before it, so a text
     splits before each space that follows a character other than white space, and each word's ids
-    don't depend on its neighbours. Texts where a space follows white space are encoded whole.
+    don't depend on its neighbours. Texts where a space follows white space, and texts with a token
+    that the tokenizer takes out before it splits, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.splits = self._splits()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
 
     def _splits(self) -> bool:
@@ -97,7 +98,7 @@ class Encoder:
         for i, text in enumerate(texts_):
             if not text:
                 out[i] = b""
-            elif not self.splits or any(x in text for x in (_BEFORE_SPACE if not text.isascii() else _BEFORE_SPACE[:10])) or text[-1].isspace():
+            elif not self.splits or any(x in text for x in (_BEFORE_SPACE if not text.isascii() else _BEFORE_SPACE[:10])) or text[-1].isspace() or any(x in text for x in self.added):
                 whole.append(i)
             else:
                 words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
@@ -219,7 +220,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A row per document, read from the files: id, start in the whole stream, n_tokens, ids_crc32."""
+    """A row per document, read from the files: id, start in the whole stream, n_tokens, ids_crc32.
+
+    Each written row has its row, repeated ones too; the least 64-bit number stands for a null id in
+    the files and is null again here; an empty manifest gives an empty table.
+    """
     n = max(1, manifest.count())
     spread = manifest.repartition(n, "shard")
     return spread.mapInArrow(_read, "key long, start long, n_tokens long, ids_crc32 long").select(id_value("key").alias(id_col), "start", "n_tokens", "ids_crc32")

@@ -19,11 +19,10 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return [[*e.ids, 0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-ODD = ["a  b", " a", "a ", "a \n b", "a\n\n b\t c", "don't we'll  I'd", "x  y", "x 　z", "<|endoftext|> no", "é è  ü 日本 語", "\0 a b", "...a ...b", "12 345 6a", "a  b"]
+ODD = ["a  b", " a", "a ", "a \n b", "a\n\n b\t c", "don't we'll  I'd", "x  y", "x 　z", "<|endoftext|> no", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y z", "é è  ü 日本 語", "\0 a b", "...a ...b", "12 345 6a", "a  b"]
 
 
 def test_encoder_equals_the_library(texts_):
@@ -110,6 +109,11 @@ def test_mix_of_odd_rows(corpus, odd, nothing):
     assert cube_mix.mix(nothing).collect() == [] and cube_mix.mix(odd).count() == odd.count()
     kept = cube_mix.apply(corpus)
     assert kept.columns == corpus.columns
+    # One id over several texts and sources: each row is taken as often as it was drawn itself.
+    shared = corpus.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(7).cast("long")))
+    drawn = {(r["source"], r["size"]): r["n"] for r in cube_mix.mix(shared).groupBy("source", "size").agg(F.sum("copies").alias("n")).collect()}
+    taken = cube_mix.apply(shared).withColumn("size", F.size(F.expr("regexp_extract_all(coalesce(text, ''), '[^ \\\\t-\\\\r]+', 0)")))
+    assert {(r["source"], r["size"]): r["count"] for r in taken.groupBy("source", "size").count().collect()} == {k: n for k, n in drawn.items() if n}
     want = {r["doc_id"]: r["copies"] for r in cube_mix.mix(corpus).where("copies > 0").collect()}
     assert {r["doc_id"]: r["count"] for r in kept.groupBy("doc_id").count().collect()} == want
 
@@ -191,7 +195,7 @@ def test_layouts(spark):
     got = [None if r["t"] is None else [tuple(t) for t in r["t"]] for r in df.select("conv", chat_format.canonical_turns(F.col("record")).alias("t")).orderBy("conv").collect()]
     pair = [("user", "p"), ("assistant", "r")]
     assert got == [pair, pair, [("system", "i"), ("user", "n"), ("assistant", "o")], [("user", "i"), ("assistant", "o")], [("user", "q"), ("assistant", "a")], [("user", "q")], [], None]
-    assert df.select(chat_format.field_paths(F.col("record"))).collect()[4][0] == ["conversations", "conversations[].from", "conversations[].value"]
+    assert df.select(chat_format.field_paths(F.col("record"))).collect()[4][0] == ["conversations[].from", "conversations[].value"]
     out = {r["conv"]: r["formatted"] for r in chat_format.format_chats(df).collect()}
     assert out[7] is None and out[6] == "" and out[0] == "<|im_start|>user\np<|im_end|>\n<|im_start|>assistant\nr<|im_end|>\n"
 
@@ -209,12 +213,39 @@ def test_texts_that_are_json(spark):
     for c, _, r, x in turns:
         want.setdefault(c, []).append((r, x))
     assert got == want
-    records = [({"prompt": {"a": 1}, "response": '{"b": 2}'}, ["prompt", "prompt.a", "response"]), ({"messages": '[{"role": "user", "content": "q"}]'}, ["messages"])]
+    records = [({"prompt": {"a": 1}, "response": '{"b": 2}'}, ["prompt.a", "response"]), ({"messages": '[{"role": "user", "content": "q"}]'}, ["messages"])]
     rows = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(records)], "conv long, record string").orderBy("conv")
     found = rows.select(chat_format.field_paths(F.col("record")), chat_format.canonical_turns(F.col("record"))).collect()
     assert [tuple(r) for r in found] == [(p, None) for _, p in records]
     twice = spark.sql("""SELECT '{"messages":[{"role":"user","role":"user","content":"q"}]}' AS record""")
-    assert [tuple(t) for t in twice.select(chat_format.canonical_turns(F.col("record"))).first()[0]] == [("user", "q")]
+    assert twice.select(chat_format.canonical_turns(F.col("record"))).first()[0] is None  # a name stands twice: no layout
+
+
+def test_nested_parts(spark):
+    say = lambda *x: [{"type": "text", "text": t} for t in x]
+    records = [
+        ({"messages": [{"role": "user", "content": say("a", '{"b": [1]}')}, {"role": "assistant", "content": say("c")}]}, [("user", 'a{"b": [1]}'), ("assistant", "c")]),
+        ({"messages": [{"role": "system", "content": "[1]"}, {"role": "user", "content": [*say("d"), {"type": "image"}]}]}, [("system", "[1]"), ("user", "d")]),
+        ({"messages": [{"role": "user", "content": None}, {"role": "user"}, {"role": None, "content": 5}]}, [("user", ""), ("user", ""), ("", "5")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": {"deep": [{"er": 1}]}}]}]}, None),
+        ({"messages": [{"role": "user", "content": {"content: STRING, role": "x"}}]}, None),
+        ({"a`b": {"c d": [[{"e": 1}], [2]]}}, None),
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(records)] + [(97, "[1"), (98, "3"), (99, None)], "conv long, record string")
+    got = {r["conv"]: (r["t"] and [tuple(t) for t in r["t"]], r["p"]) for r in rows.select("conv", chat_format.canonical_turns(F.col("record")).alias("t"), chat_format.field_paths(F.col("record")).alias("p")).collect()}
+    assert [got[i][0] for i in range(len(records))] == [t for _, t in records]
+    assert got[3][1] == ["messages[].content[].text.deep[].er", "messages[].content[].type", "messages[].role"]
+    assert got[97] == got[99] == (None, []) and got[98][0] is None
+    # Columns of other names don't matter, and every layout of the records is read back.
+    turns = [(c, t, ("user", "assistant", "system")[t % 3 if c % 2 else t % 2], JSON_TEXTS[(c + t) % 11]) for c in range(200) for t in range(1 + c % 5)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"conv": F.lit("x"), "record": F.lit(0), "t": F.lit(None).cast("int"), "parts": F.lit(1)})
+    recs = chat_format.records(table)
+    assert recs.select(chat_format.field_paths(F.col("record"))).distinct().count() == 6
+    read = {r["conv"]: [tuple(t) for t in r["t"]] for r in chat_format.format_chats(recs).select("conv", chat_format.read_back(F.col("formatted")).alias("t")).collect()}
+    want = {}
+    for c, _, r, x in turns:
+        want.setdefault(c, []).append((r, x))
+    assert read == want
 
 
 SF = "/root/testdata/sf0.001"
