@@ -25,20 +25,44 @@ def ids_of(texts):
 ODD = ["a  b", " a", "a ", "a \n b", "a\n\n b\t c", "don't we'll  I'd", "x  y", "x 　z", "<|endoftext|> no", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y z", "é è  ü 日本 語", "\0 a b", "...a ...b", "12 345 6a", "a  b"]
 
 
+def encoded(coder, texts):
+    raw = [t.encode() for t in texts]
+    ids, cuts = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]).astype(np.int64))
+    return [[*ids[a:b].tolist(), 0] for a, b in zip(cuts, cuts[1:])]
+
+
 def test_encoder_equals_the_library(texts_):
     every = [t or "" for t in texts_] + ODD
     coder = token_output.Encoder(TOKENIZER)
-    got = [np.frombuffer(x, coder.dtype).tolist() + [0] for x in coder.encode(every)]
-    assert got == ids_of(every)
+    for some in (every, every[::-1], every):
+        assert encoded(coder, some) == ids_of(some)
+    for t in every:
+        assert encoded(coder, [t]) == ids_of([t])
+
+
+def test_encoder_on_random_texts():
+    rng = np.random.default_rng(4)
+    signs = list(" \t\n\r\x0b\x0c\x1c\x85\xa0\u1680\u2003\u2028\u3000\u200b\ufeff'ab1Zé.日😀\0_-") + ["  ", "'s", "'ll", "<|endoftext|>", " a", "word"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 25))) for _ in range(3000)]
+    assert encoded(token_output.Encoder(TOKENIZER), texts) == ids_of(texts)
 
 
 def test_full_cache(texts_, monkeypatch):
-    monkeypatch.setattr(token_output, "CACHE_WORDS", 50)
+    monkeypatch.setattr(token_output, "CACHE_PIECES", 50)
     every = [t or "" for t in texts_]
     coder = token_output.Encoder(TOKENIZER)
     for _ in range(2):
-        assert [np.frombuffer(x, coder.dtype).tolist() + [0] for x in coder.encode(every)] == ids_of(every)
-    assert len(coder.words) <= 51
+        assert encoded(coder, every) == ids_of(every)
+    assert coder.n_pieces == len(coder.known) == 50
+
+
+def test_unknown_kinds_of_tokenizers_are_not_split(texts_):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, library = token_output.Encoder(path), Tokenizer.from_file(path)
+    every = [t or "" for t in texts_]
+    assert not coder.splits and [x[:-1] for x in encoded(coder, every)] == [e.ids for e in library.encode_batch(every, add_special_tokens=False)]
 
 
 def test_files_round_trip(corpus, texts_):
