@@ -159,6 +159,21 @@ def image_name(scene: Column, frame: Column) -> Column:
     return F.format_string("scene_%04d_frame_%08d.jpg", scene, frame)
 
 
+def flat_name(name: Column) -> Column:
+    """A path as one name: slashes become underscores."""
+    return F.replace(name, F.lit("/"), F.lit("_"))
+
+
+def without_prefix(name: Column, prefix: str = "module.") -> Column:
+    """A name without ``prefix`` wherever it occurs."""
+    return F.replace(name, F.lit(prefix), F.lit(""))
+
+
+def iso_time(at: Column) -> Column:
+    """A time as yyyy-mm-ddThh:mm:ss."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def key(name: Column) -> Column:
     return F.lower(F.trim(name))
 

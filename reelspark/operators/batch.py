@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.scalars import combined_objective, known, or_zero
 
-#: Metrics of which less is better; of all others more is.
-LESS_IS_BETTER = ["RecErr", "Frechet", "Redundancy", "LPIPS_PerceptualGap", "MS_SWD_Color"]
+#: Metrics of which less is better when methods are compared; of all others more is.
+LESS_IS_BETTER = ["RecErr", "Frechet", "Noise_med", "RedundancyMeanCos", "MinPairwiseDist"]
+#: The metrics of a batch summary.
+SUMMARIZED = ["RecErr", "Frechet", "SceneCoverage", "TemporalCoverage@tau", "LPIPS_PerceptualGap", "LPIPS_DiversitySel", "MS_SWD_Color"]
 #: Weights of the scorecard, by family of metrics.
 SCORECARD = {"representativeness": 0.3, "coverage": 0.3, "diversity": 0.2, "quality": 0.2}
 
@@ -103,9 +105,43 @@ def epoch_statistics(rows: DataFrame, by: list[str]) -> DataFrame:
         F.stddev_pop("reward").alias("std_reward"),
         F.min("reward").alias("min_reward"),
         F.max("reward").alias("max_reward"),
+        *([F.avg(F.abs(F.col("selected") - F.col("budget"))).alias("mean_budget_gap")] if "budget" in rows.columns else []),
     )
 
 
+def histogram(rows: DataFrame, by: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
+    """(by, bin, n): counts of a value in ``bins`` equal parts of low to high; the last part has its upper end, and what lies outside is left out."""
+    x = known(F.col(value).cast("double"))
+    at = F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1))
+    return rows.where((x >= low) & (x <= high)).groupBy(*by, at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def checked(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``error``: the name of the first condition that isn't met, null if all are. A video that fails is a row, not the end of the batch."""
+    failed = [F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in conditions.items()]
+    return rows.withColumn("error", F.coalesce(*failed))
+
+
+def summary_document(rows: DataFrame, video: str, metrics: list[str] | None = None, error: str = "error") -> DataFrame:
+    """One row: counts of videos that were processed and that failed, the mean of each metric over the former, and all as JSON."""
+    metrics = metrics or SUMMARIZED
+    ok = F.col(error).isNull()
+    means = F.struct(*[F.avg(F.when(ok, known(F.col(m).cast("double")))).alias(f"{m}_mean") for m in metrics])
+    out = rows.agg(F.count_distinct(F.when(ok, F.col(video))).alias("total_processed"), F.count_distinct(F.when(~ok, F.col(video))).alias("total_failed"), means.alias("aggregate_metrics"))
+    return out.withColumn("json", F.to_json(F.struct(F.struct("total_processed", "total_failed").alias("statistics"), "aggregate_metrics")))
+
+
+def total_detections(rows: DataFrame, by: list[str], boxes: str) -> DataFrame:
+    """(by, n_boxes): how many boxes the frames have; a frame without a list has none."""
+    return rows.groupBy(*by).agg(F.sum(F.coalesce(F.size(F.when(F.col(boxes).isNotNull(), F.col(boxes))), F.lit(0))).alias("n_boxes"))
+
+
+def hit_rate(rows: DataFrame, by: list[str], hit: Column) -> DataFrame:
+    """(by, hits, misses, rate) of lookups."""
+    h, n = F.count_if(hit), F.count(F.lit(1))
+    return rows.groupBy(*by).agg(h.alias("hits"), (n - h).alias("misses"), (h / n).alias("rate"))
+
+
 def selection_statistics(keys: DataFrame, by: list[str], frame: str, prob: str) -> DataFrame:
     """Of chosen frames: count, mean probability, mean distance to the next, range."""
     gap = F.col(frame) - F.lag(frame).over(Window.partitionBy(*by).orderBy(frame))

@@ -8,42 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import vectors as V
+from reelspark.functions.names import Named
 
-Metric = Callable[[Column, Column], Column]
-_METRICS: dict[str, Metric] = {}
+Measure = Callable[[Column, Column], Column]
 
 
-def register_metric(name: str) -> Callable[[Metric], Metric]:
-    """Adds a measure of two vector columns under a name, any case."""
-    key = name.strip().lower()
-    if key in _METRICS:
-        raise ValueError(f"metric {name!r} is registered already")
-
-    def put(f: Metric) -> Metric:
-        _METRICS[key] = f
-        return f
-
-    return put
-
-
-def metric(name: str) -> Metric:
-    key = name.strip().lower()
-    if key not in _METRICS:
-        raise KeyError(f"no metric {name!r}; there are {', '.join(available_metrics())}")
-    return _METRICS[key]
-
-
-def available_metrics() -> list[str]:
-    return sorted(_METRICS)
-
-
-@register_metric("cosine")
 def _cosine(a: Column, b: Column) -> Column:
     return 1 - V.dot(a, b)
 
 
-for _name, _f in (("l2", V.l2), ("l1", V.l1), ("psnr", V.psnr), ("half_square", V.half_square), ("dssim", V.dissimilarity)):
-    register_metric(_name)(_f)
+#: Measures of two vector columns.
+MEASURES: Named[Measure] = Named("measure", cosine=_cosine, l1=V.l1, l2=V.l2, psnr=V.psnr, half_square=V.half_square, dssim=V.dissimilarity)
 
 
 def pairs(rows: DataFrame, keys: list[str], order: str, name: str = "cosine", vector: str | None = None) -> DataFrame:
@@ -52,7 +27,7 @@ def pairs(rows: DataFrame, keys: list[str], order: str, name: str = "cosine", ve
     a = rows.select(*keys, F.col(order).alias("i"), *[V.doubles(c).alias("__a") for c in cols])
     b = rows.select(*keys, F.col(order).alias("j"), *[V.doubles(c).alias("__b") for c in cols])
     joined = a.join(b, keys).where("i < j")
-    return joined.select(*keys, "i", "j", *([metric(name)(F.col("__a"), F.col("__b")).alias("d")] if vector else []))
+    return joined.select(*keys, "i", "j", *([MEASURES[name](F.col("__a"), F.col("__b")).alias("d")] if vector else []))
 
 
 def symmetric(p: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,14 +39,21 @@ def adjacent(rows: DataFrame, keys: list[str], order: str, vector: str, name: st
     """Distance of each row to the next in order; a window, not a join."""
     following = F.lead(V.doubles(vector)).over(Window.partitionBy(*keys).orderBy(order))
     r = rows.select(*keys, order, V.doubles(vector).alias("__a"), following.alias("__b")).where("__b IS NOT NULL")
-    return r.select(*keys, order, metric(name)(F.col("__a"), F.col("__b")).alias("d"))
+    return r.select(*keys, order, MEASURES[name](F.col("__a"), F.col("__b")).alias("d"))
 
 
 def to_first(rows: DataFrame, keys: list[str], order: str, vector: str, name: str = "cosine") -> DataFrame:
     """Distance of each row to the first of its group."""
     first = F.first(V.doubles(vector)).over(Window.partitionBy(*keys).orderBy(order))
     r = rows.select(*keys, order, V.doubles(vector).alias("__a"), first.alias("__b"))
-    return r.select(*keys, order, metric(name)(F.col("__a"), F.col("__b")).alias("d"))
+    return r.select(*keys, order, MEASURES[name](F.col("__a"), F.col("__b")).alias("d"))
+
+
+def vector_sums(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(keys, n, total, squares): count, sum of the vectors and sum of their squared lengths; added up before the exchange, so groups may be of any size."""
+    parts = rows.select(*keys, F.posexplode(V.doubles(vector)).alias("__i", "__x"))
+    sums = parts.groupBy(*keys, "__i").agg(F.sum("__x").alias("s"), F.sum(F.col("__x") * F.col("__x")).alias("q"), F.count(F.lit(1)).alias("n"))
+    return sums.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("__i", "s"))), lambda x: x["s"]).alias("total"), F.sum("q").alias("squares"))
 
 
 def nearest_key(frames: DataFrame, keyframes: DataFrame, keys: list[str], order: str, vector: str, key_order: str = "key_idx", also: tuple[str, ...] = ()) -> DataFrame:

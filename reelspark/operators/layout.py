@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelspark.functions.names import Named
 from reelspark.functions.scalars import vector_angle
+from reelspark.operators import sampling
 
 
-def _scaled(x: Column, by: Window) -> Column:
-    finite = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-    low, high = F.min(finite).over(by), F.max(finite).over(by)
-    return F.coalesce(F.when(high - low < 1e-6, F.lit(0.5)).otherwise((finite - low) / (high - low)), F.lit(0.5))
+def _finite(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def _scaled(x: Column, low: Column, high: Column) -> Column:
+    return F.coalesce(F.when(high - low < 1e-6, F.lit(0.5)).otherwise((x - low) / (high - low)), F.lit(0.5))
 
 
 def priorities(items: DataFrame, keys: list[str], scores: dict[str, float], order: str) -> DataFrame:
-    """Weighted sum of min-max scores (constant columns and unknown values 0.5), and its 0-based rank; ties by order."""
-    by = Window.partitionBy(*keys)
-    value = reduce(lambda a, b: a + b, [w * _scaled(F.col(c).cast("double"), by) for c, w in scores.items()])
+    """Weighted mean of min-max scores (constant columns and unknown values 0.5), and its 0-based rank; ties by order.
+
+    Without keys the items are one group: its bounds are one row, and ranks are counted by ranges of
+    priorities, so no task has all items.
+    """
+    total = max(sum(scores.values()), 1e-6)
+    if keys:
+        by = Window.partitionBy(*keys)
+        bounds = {c: (F.min(_finite(c)).over(by), F.max(_finite(c)).over(by)) for c in scores}
+    else:
+        row = items.agg(*[f(_finite(c)).alias(f"{f.__name__}_{i}") for i, c in enumerate(scores) for f in (F.min, F.max)]).first()
+        bounds = {c: (F.lit(row[f"min_{i}"]).cast("double"), F.lit(row[f"max_{i}"]).cast("double")) for i, c in enumerate(scores)}
+    value = reduce(lambda a, b: a + b, [w * _scaled(_finite(c), *bounds[c]) for c, w in scores.items()]) / total
     out = items.withColumn("priority", value)
-    return out.withColumn("priority_rank", F.row_number().over(by.orderBy(F.col("priority").desc(), order)) - 1)
+    if keys:
+        return out.withColumn("priority_rank", F.row_number().over(by.orderBy(F.col("priority").desc(), order)) - 1)
+    return sampling.global_position(out.withColumn("__p", -F.col("priority")), "__p", [order], "priority_rank").drop("__p")
 
 
 def matched_by_rank(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[Column], right_order: list[Column]) -> DataFrame:
@@ -30,16 +49,43 @@ def matched_by_rank(left: DataFrame, right: DataFrame, keys: list[str], left_ord
     return rank(left, left_order).join(rank(right, right_order), [*keys, "rank"])
 
 
-def tree_depths(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """(tree_id, node_id, depth, path) of (tree_id, node_id, parent_id, side): from the roots down; path orders leaves left to right."""
-    nodes.createOrReplaceTempView("__layout_nodes")
-    return spark.sql("""
-        WITH RECURSIVE t(tree_id, node_id, depth, path) AS (
-            SELECT tree_id, node_id, 0, CAST('' AS STRING) FROM __layout_nodes WHERE parent_id IS NULL
-            UNION ALL
-            SELECT n.tree_id, n.node_id, t.depth + 1, concat(t.path, CAST(n.side AS STRING))
-            FROM __layout_nodes n JOIN t ON n.tree_id = t.tree_id AND n.parent_id = t.node_id
-        ) SELECT * FROM t""")
+def tree_depths(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, depth, path) of (tree_id, node_id, parent_id, side): from the roots down; path orders leaves left to right.
+
+    One join a level, over the nodes of the level above; trees may have any number of nodes.
+    """
+    level = nodes.where("parent_id IS NULL").select("tree_id", "node_id", F.lit(0).alias("depth"), F.lit("").alias("path")).persist()
+    levels = [level]
+    while not level.isEmpty():
+        above = level.select("tree_id", F.col("node_id").alias("parent_id"), "depth", "path")
+        level = nodes.join(above, ["tree_id", "parent_id"]).select("tree_id", "node_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.col("side").cast("string")).alias("path")).persist()
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
+
+
+#: Which side of a node grows, by the heights of both: the shallower one; equal ones by a draw.
+GROWTH: Named[Callable[[int, int, random.Random], int]] = Named(
+    "strategy",
+    balanced=lambda left, right, draw: draw.randrange(2) if left == right else int(left > right),
+    unbalanced=lambda left, right, draw: draw.randrange(2) if left == right else int(left > right),
+)
+
+
+def grown_tree(spark: SparkSession, n_leaves: int, strategy: str = "balanced", seed: int = 10, tree_id: int = 0) -> DataFrame:
+    """(tree_id, node_id, parent_id, side) of a tree with ``n_leaves`` leaves: again and again the leaf to which the strategy leads is split in two.
+
+    Trees are small (``leaf_budget``), so they are grown on the driver; node_id is the path from the root.
+    """
+    draw, grows, height = random.Random(seed), GROWTH[strategy], {"": 0}
+    for _ in range(n_leaves - 1):
+        at = ""
+        while f"{at}0" in height:
+            at += str(grows(height[f"{at}0"], height[f"{at}1"], draw))
+        height |= {f"{at}0": 0, f"{at}1": 0}
+        for k in range(len(at), -1, -1):
+            height[at[:k]] = 1 + max(height[f"{at[:k]}0"], height[f"{at[:k]}1"])
+    rows = [(tree_id, f"n{p}", f"n{p[:-1]}" if p else None, p[-1:]) for p in sorted(height)]
+    return spark.createDataFrame(rows, "tree_id int, node_id string, parent_id string, side string")
 
 
 def leaves(depths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -68,7 +114,7 @@ def fill_depths(items: DataFrame, capacity: DataFrame, order: str) -> DataFrame:
     c = capacity.withColumn("__to", F.sum("n").over(Window.orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, 0)))
     c = c.withColumn("__from", F.col("__to") - F.col("n")).where("n > 0")
     place = c.select("depth", F.explode(F.sequence(F.col("__from"), F.col("__to") - 1)).alias("__i"))
-    i = items.withColumn("__i", F.row_number().over(Window.orderBy(order)) - 1)
+    i = sampling.global_position(items, order, [], "__i")
     return i.join(place, "__i").drop("__i")
 
 
@@ -131,14 +177,23 @@ def geometry(leaf_rows: DataFrame, assigned: DataFrame, on: list[str]) -> DataFr
 
 
 def matched_by_name(files: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
-    """The first image of each file by equal names, else by equal stems, else by equal (scene, frame) in the names.
+    """The first image of each file by equal names, else by equal stems, else by equal (scene, frame) in the
+    names, else one whose name contains the file's path or its name.
 
-    Each rule is an equi-join; rules are tried in this order and images in the order of their names.
+    Each rule is an equi-join - containment is one with all parts of an image's name that are as long as
+    some file's - and rules are tried in this order, images in the order of their names.
     """
     from reelspark.functions.scalars import basename, scene_and_frame, stem
 
     numbers = lambda c: F.when(c.rlike(r"scene_\d+_frame_\d+"), scene_and_frame(c).cast("string"))
     rules = [lambda c: c, basename, stem, numbers]
     found = [files.select(*keys, "file", f(F.col("file")).alias("__m")).join(images.select(*keys, "image", f(F.col("image")).alias("__m")), [*keys, "__m"]).select(*keys, "file", "image", F.lit(i).alias("rule")) for i, f in enumerate(rules)]
+    for f in (lambda c: c, basename):
+        wanted = files.select(*keys, "file", f(F.col("file")).alias("__m")).where("__m <> ''").withColumn("__l", F.char_length("__m"))
+        lengths = wanted.select(*keys, "__l").distinct()
+        starts = F.sequence(F.lit(1), F.char_length("image") - F.col("__l") + 1)
+        parts = images.select(*keys, "image").join(lengths, keys).where(F.char_length("image") >= F.col("__l")).select(*keys, "image", "__l", F.explode(starts).alias("__s"))
+        parts = parts.select(*keys, "image", F.substring("image", F.col("__s"), F.col("__l")).alias("__m")).distinct()
+        found.append(wanted.join(parts, [*keys, "__m"]).select(*keys, "file", "image", F.lit(len(found)).alias("rule")))
     every = reduce(DataFrame.unionByName, found)
     return every.groupBy(*keys, "file").agg(F.min_by("image", F.struct("rule", "image")).alias("image"))

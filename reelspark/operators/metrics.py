@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.scalars import known
 from reelspark.operators import sampling, scenes
-from reelspark.operators.distance import nearest_key, pairs
+from reelspark.functions import vectors as V
+from reelspark.operators.distance import MEASURES, nearest_key, pairs, vector_sums
 
 
 def nearest_key_metrics(frames: DataFrame, keyframes: DataFrame, keys: list[str], order: str, vector: str, tau: float = 0.3, also: tuple[str, ...] = ()) -> DataFrame:
@@ -32,6 +33,33 @@ def redundancy(keyframes: DataFrame, keys: list[str], pos: str, vector: str) ->
     return p.groupBy(*keys).agg(F.avg(1 - F.col("d")).alias("redundancy"), F.min("d").alias("min_distance"), F.avg("d").alias("diversity"))
 
 
+def diversity(keyframes: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(keys, diversity, redundancy): mean of 1 - cosine and mean cosine of pairs of keys, from sums of vectors; 0 and null below two keys."""
+    s = vector_sums(keyframes, keys, vector)
+    mean = (V.dot(F.col("total"), F.col("total")) - F.col("squares")) / (F.col("n") * (F.col("n") - 1))
+    return s.select(*keys, F.when(F.col("n") > 1, 1 - mean).otherwise(0.0).alias("diversity"), F.when(F.col("n") > 1, mean).alias("redundancy"))
+
+
+def perceptual_gap(frames: DataFrame, keyframes: DataFrame, keys: list[str], order: str, vector: str, measure: str = "l2", key_order: str = "key_idx") -> DataFrame:
+    """(keys, gap): mean over the frames of the least distance to a key, by any measure; null without keys."""
+    k = keyframes.select(*keys, key_order, V.doubles(vector).alias("__k"))
+    d = frames.select(*keys, order, V.doubles(vector).alias("__f")).join(k, keys, "left").select(*keys, order, MEASURES[measure](F.col("__f"), F.col("__k")).alias("d"))
+    return d.groupBy(*keys, order).agg(F.min("d").alias("d")).groupBy(*keys).agg(F.avg("d").alias("gap"))
+
+
+def perceptual_diversity(keyframes: DataFrame, keys: list[str], order: str, vector: str, measure: str = "l2", most: int = 2000, seed: int = 123) -> DataFrame:
+    """(keys, diversity): mean distance of pairs of keys by any measure, 0 below two keys; over ``most`` pairs by the order of a hash where there are more."""
+    p = sampling.hashed_sample(pairs(keyframes, keys, order, measure, vector), keys, ["i", "j"], most, seed)
+    mean = p.groupBy(*keys).agg(F.avg("d").alias("__d"))
+    return keyframes.select(*keys).distinct().join(mean, keys, "left").select(*keys, F.coalesce("__d", F.lit(0.0)).alias("diversity"))
+
+
+def mean_motion(frames: DataFrame, keyframes: DataFrame, keys: list[str], order: str, motion: str) -> DataFrame:
+    """(keys, mean_motion) of the chosen frames; groups without a chosen frame are absent."""
+    chosen = keyframes.select(*keys, order).distinct()
+    return frames.join(chosen, [*keys, order], "left_semi").groupBy(*keys).agg(F.avg(known(F.col(motion).cast("double"))).alias("mean_motion"))
+
+
 def snapped_keys(keyframes: DataFrame, sampled: DataFrame, keys: list[str], frame: str = "frame_idx") -> DataFrame:
     """Distinct keys that are sampled frames; in groups without any, each key's nearest sampled frame, the earlier on ties.
 
@@ -137,6 +165,15 @@ def sliced_wasserstein(frames: DataFrame, keyframes: DataFrame, keys: list[str],
     return proj.groupBy(*keys, "d", "rank").agg(gap.alias("__gap")).groupBy(*keys, "d").agg(F.avg("__gap").alias("w")).groupBy(*keys).agg(F.avg("w").alias("swd"))
 
 
+def multi_scale_wasserstein(frames: DataFrame, keyframes: DataFrame, keys: list[str], ident: str, vector: str, size: int, scales: int = 3, n_directions: int = 16, most: int = 200_000, seed: int = 42) -> DataFrame:
+    """(keys, swd): mean of the sliced distance over scales; scale s has every 2**s-th point of each side in the order of ``ident``."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(ident)) - 1
+    at = F.filter(F.sequence(F.lit(0), F.lit(scales - 1)), lambda s: F.pmod("__place", F.pow(F.lit(2), s).cast("int")) == 0)
+    sides = [s.withColumn("__place", place).select("*", F.explode(at).alias("__scale")) for s in (frames, keyframes)]
+    each = sliced_wasserstein(*sides, [*keys, "__scale"], ident, vector, size, n_directions, most, seed)
+    return each.groupBy(*keys).agg(F.avg("swd").alias("swd"))
+
+
 def reward(weights: dict[str, float], diversity: Column, rec_error: Column, frechet_: Column, swd: Column, motion: Column, chosen: Column) -> Column:
     """Weighted sum of diversity, 1 - error, motion less error, Fréchet and Wasserstein terms; 0 for an empty choice."""
     w = lambda k: F.lit(float(weights.get(k, 0.0)))

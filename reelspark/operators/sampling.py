@@ -61,9 +61,14 @@ def top(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
+def hashed(*parts: Column | str | int) -> Column:
+    """A hash of the parts as text."""
+    return F.md5(F.concat_ws(":", *[F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+
+
 def hashed_sample(rows: DataFrame, keys: list[str], by: list[str], n: int, seed: int) -> DataFrame:
-    """``n`` rows of each group without replacement, by the order of a hash: the same on each run."""
-    return top(rows, keys, [F.xxhash64(F.lit(seed), *by), *[F.col(c) for c in by]], n)
+    """``n`` rows of each group without replacement, by the order of a hash: the same on each run and in other engines."""
+    return top(rows, keys, [hashed(seed, *by), *[F.col(c) for c in by]], n)
 
 
 def hashed_pairs(rows: DataFrame, keys: list[str], order: str, n: int, seed: int) -> DataFrame:
@@ -72,3 +77,34 @@ def hashed_pairs(rows: DataFrame, keys: list[str], order: str, n: int, seed: int
 
     p = pairs(rows, keys, order)
     return hashed_sample(p, keys, ["i", "j"], n, seed)
+
+
+def shuffled(rows: DataFrame, by: list[str], epoch: int, seed: int = 0) -> DataFrame:
+    """``rows`` with a place to be visited at in this epoch: the order of a hash, another one for each epoch and seed."""
+    return rows.withColumn("visit", hashed(seed, epoch, *by))
+
+
+def limited(frames: DataFrame, keys: list[str], order: str, most: int | None) -> DataFrame:
+    """The first ``most`` frames of each group in order; all without a limit."""
+    return frames if most is None else top(frames, keys, [F.col(order)], most)
+
+
+#: Ranges of values by which rows are counted.
+RANGES = 512
+
+
+def global_position(rows: DataFrame, value: str, ties: list[str], out: str) -> DataFrame:
+    """0-based place of each row in the order of a number, then ``ties``; nulls first.
+
+    Rows are numbered within ranges of the value, whose bounds are percentiles, and ranges are counted:
+    no window has all rows, unless all are of one value.
+    """
+    x = F.col(value).cast("double")
+    bounds = rows.agg(F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0] or []
+    edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>")
+    held = rows.withColumn("__range", F.when(x.isNull(), -1).otherwise(F.size(F.filter(edges, lambda b: b < x))))
+    counts = held.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.select("__range", before.alias("__before"))  # RANGES + 1 rows at most
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(value, *ties)) - 1
+    return held.withColumn("__place", place).join(F.broadcast(firsts), "__range").withColumn(out, F.col("__before") + F.col("__place")).drop("__range", "__place", "__before")

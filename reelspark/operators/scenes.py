@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspark.functions.names import Named
 from reelspark.functions.scalars import duration_frames, duration_seconds, frames_to_timecode
 
 
@@ -104,40 +105,23 @@ def covered(scenes: DataFrame, keys: DataFrame, by: list[str], frame: str = "fra
     return rows.withColumn("__next", following).where("__k = 0").withColumn("covered", F.coalesce(F.col("__next") <= F.col("end_frame"), F.lit(False))).drop("__k", "__at", "__next")
 
 
-#: A detector turns (video, total_frames) and boundary probabilities (video, frame_idx, p) into scenes.
-Detector = Callable[..., DataFrame]
-_DETECTORS: dict[str, Detector] = {}
-
-
-def register_detector(name: str) -> Callable[[Detector], Detector]:
-    """Adds a detector under a name, any case; a name is taken once."""
-    key = name.strip().lower()
-    if key in _DETECTORS:
-        raise ValueError(f"detector {name!r} is registered already")
-
-    def put(f: Detector) -> Detector:
-        _DETECTORS[key] = f
-        return f
-
-    return put
+def with_keyframes(scenes: DataFrame, keyframes: DataFrame, keys: list[str], frame: str = "frame_idx") -> DataFrame:
+    """A row for each scene and key in it, and one with a null key for a scene that has none; with the number of the scene's keys."""
+    k = keyframes.select(*keys, frame).distinct()
+    out = scenes.join(k, keys, "left")
+    return out.withColumn("n_keys", F.count(frame).over(Window.partitionBy(*keys)))
 
 
-def detector(name: str) -> Detector:
-    key = name.strip().lower()
-    if key not in _DETECTORS:
-        raise KeyError(f"no detector {name!r}; there are {', '.join(available_detectors())}")
-    return _DETECTORS[key]
-
-
-def available_detectors() -> list[str]:
-    return sorted(_DETECTORS)
+#: A detector turns (video, total_frames) and boundary probabilities (video, frame_idx, p) into scenes.
+Detector = Callable[..., DataFrame]
 
 
-@register_detector("threshold")
-def _threshold(videos: DataFrame, probabilities: DataFrame, threshold: float = 0.5, video: str = "video_id") -> DataFrame:
+def by_threshold(videos: DataFrame, probabilities: DataFrame, threshold: float = 0.5, video: str = "video_id") -> DataFrame:
     return from_boundaries(cuts_above(probabilities, threshold), videos, video)
 
 
-@register_detector("fixed")
-def _fixed(videos: DataFrame, probabilities: DataFrame | None = None, length: int = 100, video: str = "video_id") -> DataFrame:
+def by_length(videos: DataFrame, probabilities: DataFrame | None = None, length: int = 100, video: str = "video_id") -> DataFrame:
     return fixed_length(videos.select(video, "total_frames"), length)
+
+
+DETECTORS: Named[Detector] = Named("detector", threshold=by_threshold, fixed=by_length)

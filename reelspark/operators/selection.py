@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import vectors as V
 from reelspark.operators import sampling
-from reelspark.operators.distance import pairs, symmetric
+from reelspark.operators.distance import pairs, symmetric, vector_sums
 
 _PICKS = "array<struct<score:double,pos:bigint>>"
 
 
-def suppressed(candidates: Column, k: int, radius: int) -> Column:
+def suppressed(candidates: Column, k: int | Column, radius: int) -> Column:
     """Greedy choice from an array of (score, pos) in order: at most ``k``, no two within ``radius`` positions."""
     start = F.array().cast(_PICKS)
     free = lambda acc, x: ~F.exists(acc, lambda y: F.abs(y["pos"] - x["pos"]) <= radius)
@@ -26,7 +26,15 @@ def _greedy(rows: DataFrame, keys: list[str], score: Column, pos: str, k: int, r
 
 
 def medoid_costs(rows: DataFrame, keys: list[str], pos: str, vector: str, name: str = "cosine") -> DataFrame:
-    """Sum of each row's distances to the others of its group; 0 for a lone row."""
+    """Sum of each row's distances to the others of its group; 0 for a lone row.
+
+    By cosine this needs no pairs: with S the sum of the group's n vectors, v's similarities to the
+    others add up to v S - v v. Other measures form the pairs; thin the groups first.
+    """
+    if name == "cosine":
+        v = V.doubles(vector)
+        r = rows.select(*keys, pos, v.alias("__v")).join(vector_sums(rows, keys, vector), keys)
+        return r.select(*keys, pos, ((F.col("n") - 1) - (V.dot(F.col("__v"), F.col("total")) - V.dot(F.col("__v"), F.col("__v")))).alias("cost"))
     d = symmetric(pairs(rows, keys, pos, name, vector), keys).groupBy(*keys, F.col("i").alias(pos)).agg(F.sum("d").alias("cost"))
     return rows.select(*keys, pos).join(d, [*keys, pos], "left").select(*keys, pos, F.coalesce("cost", F.lit(0.0)).alias("cost"))
 
@@ -44,7 +52,7 @@ def medoids(rows: DataFrame, keys: list[str], pos: str, vector: str, k: int = 1,
 
 def random_picks(rows: DataFrame, keys: list[str], pos: str, k: int, radius: int, seed: int) -> DataFrame:
     """As above, in the order of a hash instead of costs."""
-    order = F.pmod(F.xxhash64(F.lit(seed), *keys, pos), F.lit(1 << 52))
+    order = F.conv(F.substring(sampling.hashed(seed, *keys, pos), 1, 13), 16, 10).cast("long")  # 52 bits: whole in a double
     return _greedy(rows, keys, order, pos, k, radius).drop("score")
 
 

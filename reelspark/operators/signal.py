@@ -1,12 +1,12 @@
 """One-dimensional signals over ordered rows: changes, filters, boundary scores, peaks, pooling, averages.
 
-Long form (keys, t, value) with t = 0, 1, ...; a padded window gathers by index from the group's
-ordered array, so edges behave exactly as stated.
+Long form (keys, t, value) with t = 0, 1, ...; a padded window is a window over rows to which the
+copies at both ends are added, so no sequence is gathered into one array.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -40,27 +40,30 @@ def robust_delta(rows: DataFrame, keys: list[str], order: str, value: str) -> Da
     return r.select(*keys, order, V.clip((F.col("__d") - F.col("__m")) / (1.4826 * F.col("__mad") + 1e-8), 0.0, 6.0).alias("delta"))
 
 
-def _gathered(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct(order, value)))
-    return rows.groupBy(*keys).agg(F.transform(ordered, lambda s: s[order]).alias("__t"), F.transform(ordered, lambda s: s[value].cast("double")).alias("__x"))
-
-
-def _scattered(df: DataFrame, keys: list[str], order: str, out: Column, value: str) -> DataFrame:
-    return df.select(*keys, F.explode(F.arrays_zip(F.col("__t").alias("t"), out.alias("x"))).alias("z")).select(*keys, F.col("z.t").alias(order), F.col("z.x").alias(value))
-
-
-def _median(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+def _padded(rows: DataFrame, keys: list[str], order: str, value: str, half: int, reflect: bool) -> DataFrame:
+    """(keys, order, x, n, i, own): the rows numbered by i from 0, and ``half`` copies beyond each end: of the end row, or reflected at it."""
+    by = Window.partitionBy(*keys)
+    r = rows.select(*keys, order, F.col(value).cast("double").alias("__x"), F.count(F.lit(1)).over(by).alias("__n"), (F.row_number().over(by.orderBy(order)) - 1).alias("__i"))
+    i, last = F.col("__i"), F.col("__n") - 1
+    steps = F.array(*[F.lit(k) for k in range(1, half + 1)])
+    if reflect:
+        before, after = F.filter(F.array(-i), lambda p: (i >= 1) & (i <= half)), F.filter(F.array(2 * last - i), lambda p: (i < last) & (i >= last - half))
+    else:
+        before, after = F.when(i == 0, F.transform(steps, lambda k: -k)), F.when(i == last, F.transform(steps, lambda k: last + k))
+    none = F.array().cast("array<bigint>")
+    places = F.concat(F.array(i.cast("bigint")), F.coalesce(before.cast("array<bigint>"), none), F.coalesce(after.cast("array<bigint>"), none))
+    return r.select(*keys, order, "__x", "__n", "__i", F.explode(places).alias("__at")).withColumn("__own", F.col("__at") == F.col("__i"))
 
 
 def median_filter(rows: DataFrame, keys: list[str], order: str, value: str, k: int = 5) -> DataFrame:
     """Median of ``k`` neighbours, the ends repeated; unchanged where the sequence is shorter than ``k``, or k is 1."""
-    g = _gathered(rows, keys, order, value)
-    x, n, half = F.col("__x"), F.size("__x"), k // 2
-    near = lambda i: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.get(x, F.least(F.greatest(i - half + j, F.lit(0)), n - 1)))
-    out = F.when((n < k) | F.lit(k <= 1), x).otherwise(F.transform(x, lambda _, i: _median(near(i))))
-    return _scattered(g, keys, order, out, value)
+    half = k // 2
+    r = _padded(rows, keys, order, value, half, False)
+    near = F.array_sort(F.collect_list("__x").over(Window.partitionBy(*keys).orderBy("__at").rowsBetween(-half, half)))
+    n = F.size("__near")
+    middle = (F.get("__near", F.floor((n - 1) / 2).cast("int")) + F.get("__near", F.floor(n / 2).cast("int"))) / 2
+    out = F.when((F.col("__n") < k) | F.lit(k <= 1), F.col("__x")).otherwise(middle)
+    return r.withColumn("__near", near).where("__own").select(*keys, order, out.alias(value))
 
 
 def local_zscore(rows: DataFrame, keys: list[str], order: str, value: str, window: int = 11) -> DataFrame:
@@ -68,14 +71,12 @@ def local_zscore(rows: DataFrame, keys: list[str], order: str, value: str, windo
 
     Unchanged where the sequence is shorter than the window, or the window is 3 or less.
     """
-    g = _gathered(rows, keys, order, value)
-    x, n, half = F.col("__x"), F.size("__x"), window // 2
-    reflected = lambda i: F.when(i < 0, -i).when(i >= n, 2 * (n - 1) - i).otherwise(i)
-    near = lambda i: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda j: F.get(x, reflected(i - half + j)))
-    mean = lambda a: V.total(a) / window
-    spread = lambda a: F.sqrt(V.total(F.transform(a, lambda y: (y - mean(a)) * (y - mean(a)))) / window)
-    out = F.when((n < window) | F.lit(window <= 3), x).otherwise(F.transform(x, lambda y, i: F.greatest((y - mean(near(i))) / (spread(near(i)) + 1e-8), F.lit(0.0))))
-    return _scattered(g, keys, order, out, value)
+    half = window // 2
+    r = _padded(rows, keys, order, value, half, True)
+    near = Window.partitionBy(*keys).orderBy("__at").rowsBetween(-half, half)
+    z = F.greatest((F.col("__x") - F.col("__mean")) / (F.col("__spread") + 1e-8), F.lit(0.0))
+    out = F.when((F.col("__n") < window) | F.lit(window <= 3), F.col("__x")).otherwise(z)
+    return r.select("*", F.avg("__x").over(near).alias("__mean"), F.stddev_pop("__x").over(near).alias("__spread")).where("__own").select(*keys, order, out.alias(value))
 
 
 def min_max(rows: DataFrame, keys: list[str], value: str, out: str, eps: float = 1e-8) -> DataFrame:
@@ -123,8 +124,8 @@ def local_extrema(rows: DataFrame, keys: list[str], order: str, value: str) -> D
     return rows.select(*keys, order, value, kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def _prominent(x: np.ndarray, least: float, distance: int) -> list[int]:
-    """Local maxima (the middle of a flat top), thinned to ``distance`` from the highest down, with ``least`` prominence."""
+def _prominent(x: np.ndarray, least: float, distance: int) -> list[tuple[int, float]]:
+    """(place, prominence) of local maxima (the middle of a flat top), thinned to ``distance`` from the highest down, with ``least`` prominence."""
     edges = np.flatnonzero(np.diff(x)) + 1
     starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(x)]])
     tops = [int((s + e - 1) // 2) for k, (s, e) in enumerate(zip(starts, ends, strict=True)) if 0 < k < len(starts) - 1 and x[starts[k - 1]] < x[s] > x[starts[k + 1]]]
@@ -138,22 +139,37 @@ def _prominent(x: np.ndarray, least: float, distance: int) -> list[int]:
         left, right = higher[higher < p], higher[higher > p]
         base = max(x[(left[-1] if len(left) else 0) : p + 1].min(), x[p : (right[0] if len(right) else len(x)) + 1].min())
         if x[p] - base >= least:
-            out.append(p)
+            out.append((p, float(x[p] - base)))
     return out
 
 
+#: Fixed value: a score stands for the frame so many after its place: the first compares frame 2 with frame 1.
+FRAME_OF_SCORE = 2
+
+
 def peaks_and_valleys(rows: DataFrame, keys: list[str], order: str, value: str, prominence: float = 0.05, distance: int = 5, most: int = 100) -> DataFrame:
-    """(keys, order, value, kind): prominent peaks and valleys, the ``most`` most extreme of both, in time order. One sequence is one task."""
+    """(keys, order, frame, value, kind, prominence): prominent peaks and valleys in time order, the ``most`` most prominent of both.
+
+    Of equally prominent ones the earlier goes first; a peak before a valley. One sequence is one task.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, order).schema.fields)
 
     def find(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order, ignore_index=True)
         x = g[value].to_numpy(float)
-        found = [(i, "peak") for i in _prominent(x, prominence, distance)] + [(i, "valley") for i in _prominent(-x, prominence, distance)]
-        found = sorted(sorted(found, key=lambda f: -abs(x[f[0]] - x.mean()))[:most])
-        return g.loc[[i for i, _ in found], [*keys, order]].assign(value=[x[i] for i, _ in found], kind=[k for _, k in found])
+        found = [(i, kind, p) for kind, y in (("peak", x), ("valley", -x)) for i, p in _prominent(y, prominence, distance)]
+        found = sorted(sorted(sorted(found), key=lambda f: -f[2])[:most])
+        at = [i for i, _, _ in found]
+        return g.loc[at, [*keys, order]].assign(frame=[i + FRAME_OF_SCORE for i in at], value=x[at], kind=[k for _, k, _ in found], prominence=[p for _, _, p in found])
+
+    return rows.select(*keys, order, value).groupBy(*keys).applyInPandas(find, f"{fields}, frame long, value double, kind string, prominence double")
+
 
-    return rows.select(*keys, order, value).groupBy(*keys).applyInPandas(find, f"{fields}, value double, kind string")
+def analyzer_summary(rows: DataFrame, found: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, mean, min, max, n_keyframes, n_peaks, n_valleys) of scores and the extrema found in them."""
+    scores = rows.groupBy(*keys).agg(F.avg(value).alias("mean_score"), F.min(value).alias("min_score"), F.max(value).alias("max_score"))
+    kinds = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_keyframes"), F.count_if(F.col("kind") == "peak").alias("n_peaks"), F.count_if(F.col("kind") == "valley").alias("n_valleys"))
+    return scores.join(kinds, keys, "left").na.fill(0, ["n_keyframes", "n_peaks", "n_valleys"])
 
 
 def block_pool(rows: DataFrame, keys: list[str], order: str, value: str, scale: int) -> DataFrame:
@@ -177,21 +193,24 @@ def upsampled(pooled: DataFrame, keys: list[str], n: Column | int, out: str = "v
 
 
 def ema(rows: DataFrame, keys: list[str], order: str, value: str, beta: float = 0.9) -> DataFrame:
-    """b = beta * b + (1 - beta) * x, from the first x on. A running fold in closed form would overflow; groups go through one task in order."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, order).schema.fields)
+    """b = beta * b + (1 - beta) * x, from the first x on.
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, b = object(), 0.0
-        for batch in batches:
-            out = []
-            for *k, _, x in batch.itertuples(index=False, name=None):
-                b = beta * b + (1 - beta) * x if k == key else x
-                key = k
-                out.append(b)
-            yield batch[[*keys, order]].assign(ema=out)
-
-    ordered = rows.select(*keys, order, F.col(value).cast("double").alias("__x")).repartition(*keys).sortWithinPartitions(*keys, order)
-    return ordered.mapInPandas(fold, f"{fields}, ema double")
+    In closed form by blocks, in windows: within a block the sum of x over powers of beta; of the past,
+    only the block before counts, since a block is as long as beta takes to fall below 1e-18.
+    """
+    if not 0 < beta < 1:
+        return rows.select(*keys, order, (F.col(value) if beta == 0 else F.first(value).over(Window.partitionBy(*keys).orderBy(order))).cast("double").alias("ema"))
+    size = math.ceil(math.log(1e-18) / math.log(beta))
+    t = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    r = rows.select(*keys, order, F.col(value).cast("double").alias("__x"), t.alias("__t"))
+    r = r.withColumns({"__b": F.floor(F.col("__t") / size), "__j": F.pmod("__t", F.lit(size))})
+    weight = F.when(F.col("__t") == 0, 1.0).otherwise(1 - beta)
+    block = Window.partitionBy(*keys, "__b").orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.pow(F.lit(beta), F.col("__j")) * F.sum(weight * F.col("__x") * F.pow(F.lit(beta), -F.col("__j"))).over(block)
+    r = r.withColumn("__own", own)
+    ends = F.when(F.col("__j") == size - 1, F.col("__own"))
+    last = F.last(ends, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1))
+    return r.select(*keys, order, (F.col("__own") + F.coalesce(F.pow(F.lit(beta), F.col("__j") + 1) * last, F.lit(0.0))).alias("ema"))
 
 
 def running_best(rows: DataFrame, keys: list[str], order: str, value: str, patience: int) -> DataFrame:

@@ -229,10 +229,11 @@ def boundary_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT *, min(p_retailprice) OVER () AS a, max(p_retailprice) OVER () AS b, min(p_size) OVER () AS c, max(p_size) OVER () AS d FROM part),
-q AS (SELECT p_partkey, 0.6::DOUBLE * (p_retailprice - a) / (b - a) + 0.4::DOUBLE * (p_size - c) / (d - c) AS priority FROM p) SELECT p_partkey, round(priority, 6) AS priority FROM q""")
+q AS (SELECT p_partkey, (0.9::DOUBLE * (p_retailprice - a) / (b - a) + 0.6::DOUBLE * (p_size - c) / (d - c)) / 1.5 AS priority FROM p)
+SELECT p_partkey, round(priority, 6) AS priority FROM q""")
 def minmax_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size").withColumn("every", F.lit(1))
-    return layout.priorities(p, ["every"], {"p_retailprice": 0.6, "p_size": 0.4}, "p_partkey").select("p_partkey", _r("priority").alias("priority"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
+    return layout.priorities(p, [], {"p_retailprice": 0.9, "p_size": 0.6}, "p_partkey").select("p_partkey", _r("priority").alias("priority"))
 
 
 @query("""WITH a AS (SELECT s_nationkey AS k, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) - 1 AS rank FROM supplier),
@@ -263,10 +264,14 @@ def _by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.tall(g, ["day", "method"], ["RecErr", "Coverage"])
 
 
-@query("""WITH g AS (SELECT l_shipdate::DATE AS day, l_returnflag AS method, avg(l_discount) AS RecErr, -avg(l_quantity) AS Coverage FROM lineitem GROUP BY ALL), t AS (SELECT day, method, metric, round(value, 9) AS value FROM g UNPIVOT (value FOR metric IN (RecErr, Coverage))),
+_COMPARED = {"RecErr": "l_discount", "SceneCoverage": "l_quantity", "Noise_med": "l_tax", "RedundancyMeanCos": "l_extendedprice", "MinPairwiseDist": "l_linenumber", "Sharpness_med": "l_suppkey"}
+
+
+@query(f"""WITH g AS (SELECT l_shipdate::DATE AS day, l_returnflag AS method, {", ".join(f"{'-' if m in ('SceneCoverage', 'Sharpness_med') else ''}avg({c}) AS {m}" for m, c in _COMPARED.items())} FROM lineitem GROUP BY ALL), t AS (SELECT day, method, metric, round(value, 9) AS value FROM g UNPIVOT (value FOR metric IN ({", ".join(_COMPARED)}))),
 b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY day, metric ORDER BY value, method) = 1) SELECT method, count(*) AS n_best FROM b GROUP BY method""")
 def method_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.wins(_by_method(spark, sf_dir).withColumn("value", F.round("value", 9)), "day")
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("day"), F.col("l_returnflag").alias("method")).agg(*[F.avg(c).alias(m) for m, c in _COMPARED.items()])
+    return batch.wins(batch.tall(g, ["day", "method"], list(_COMPARED)).withColumn("value", F.round("value", 9)), "day")
 
 
 @query("""WITH p AS (SELECT (i * 3 + j) AS iter, w, cut FROM (VALUES (0, 0.5), (1, 1.0)) a(i, w), (VALUES (0, 1000.0), (1, 100000.0), (2, 200000.0)) b(j, cut)),
@@ -277,11 +282,11 @@ def combined_score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = batch.grid(spark, {"w": [0.5, 1.0], "cut": [1000.0, 100000.0, 200000.0]})
-    # The settings ride with each order as an array of fixed size: no join.
-    rows = settings.collect()
-    each = F.explode(F.array(*[F.struct(F.lit(r["iter"]).alias("iter"), F.lit(r["w"]).alias("w"), F.lit(r["cut"]).alias("cut")) for r in rows])).alias("g")
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", each)
-    r = o.groupBy("g.iter", "o_custkey").agg(F.avg(F.col("g.w") * 0.1).alias("e"), F.avg((F.col("o_totalprice") >= F.col("g.cut")).cast("double")).alias("c"))
+    # Every order is read once: a sum for each cut, and the few settings meet the sums of each customer.
+    cuts = [r["cut"] for r in settings.select("cut").distinct().orderBy("cut").collect()]
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.map_from_arrays(F.array(*[F.lit(c) for c in cuts]), F.array(*[F.avg((F.col("o_totalprice") >= c).cast("double")) for c in cuts])).alias("covered"))
+    each = F.explode(F.array(*[F.struct(F.lit(r["iter"]).alias("iter"), F.lit(r["w"]).alias("w"), F.lit(r["cut"]).alias("cut")) for r in settings.collect()])).alias("g")
+    r = o.select("o_custkey", "covered", each).select("g.iter", (F.col("g.w") * 0.1).alias("e"), F.element_at("covered", F.col("g.cut")).alias("c"))
     return batch.grid_scores(r, ["iter"], "e", "c")
 
 
@@ -291,9 +296,9 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.stop_at(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey", "o_totalprice", 3)
 
 
-@query(f"""WITH RECURSIVE {_SIGNAL}, e AS (SELECT user_id, t, value AS ema FROM s WHERE t = 0 UNION ALL SELECT s.user_id, s.t, 0.875::DOUBLE * e.ema + 0.125::DOUBLE * s.value FROM e JOIN s ON s.user_id = e.user_id AND s.t = e.t + 1) SELECT user_id, t, ema FROM e""")
+@query(f"""WITH RECURSIVE {_SIGNAL}, e AS (SELECT user_id, t, value AS ema FROM s WHERE t = 0 UNION ALL SELECT s.user_id, s.t, 0.875::DOUBLE * e.ema + 0.125::DOUBLE * s.value FROM e JOIN s ON s.user_id = e.user_id AND s.t = e.t + 1) SELECT user_id, t, round(ema, 6) AS ema FROM e""")
 def ema_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.ema(signal_rows(spark, sf_dir), ["user_id"], "t", "value", 0.875)
+    return signal.ema(signal_rows(spark, sf_dir), ["user_id"], "t", "value", 0.875).withColumn("ema", _r("ema"))
 
 
 @query("""WITH r AS (SELECT lang, n_chars, doc_id, quality, sum(quality) OVER w AS tp, row_number() OVER w AS n, sum(quality) OVER (PARTITION BY lang) AS p FROM documents JOIN labels USING (doc_id) WINDOW w AS (PARTITION BY lang ORDER BY n_chars, doc_id)),
@@ -358,7 +363,7 @@ def leaf_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.lit("root").alias("parent_id"), F.lit("0").alias("side"))
     customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node_id"), F.concat(F.lit("n"), "c_nationkey").alias("parent_id"), F.lit("0").alias("side"))
     nodes = root.unionByName(nations).unionByName(customers).withColumn("tree_id", F.lit(0))
-    return layout.depth_histogram(layout.leaves(layout.tree_depths(spark, nodes), nodes))
+    return layout.depth_histogram(layout.leaves(layout.tree_depths(nodes), nodes))
 
 
 @query(f"""WITH RECURSIVE {_FRAMES}, n AS (SELECT *, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS u FROM f), d(label, pos, kept, us) AS (
@@ -397,16 +402,6 @@ def peaks_and_valleys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.peaks_and_valleys(signal_rows(spark, sf_dir), ["user_id"], "t", "value")
 
 
-@query()
-def random_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.random_picks(frames(spark, sf_dir), ["label"], "pos", 3, 2, 7)
-
-
-@query()
-def signal_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.peaks(signal_rows(spark, sf_dir), ["user_id"], "t", "value", 2, 3)
-
-
 @query()
 def methods_against_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen keys of every scene against uniform and random ones, in one plan."""

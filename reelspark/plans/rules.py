@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import scalars
 from reelspark.functions import vectors as V
-from reelspark.operators import batch, distance, layout, metrics, sampling, scenes, signal
+from reelspark.operators import batch, distance, layout, metrics, scenes, signal
 from reelspark.plans.catalog import _FRAMES, _SIGNAL, _TIME, _r, query
 from reelspark.plans.tables import frames, table
 from reelspark.plans.tables import signal as signal_rows
@@ -35,11 +35,12 @@ def distance_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.to_first(frames(spark, sf_dir), ["label"], "pos", "embedding").where("pos > 0").select("label", "pos", _r("d").alias("d"))
 
 
-@query(f"WITH {_FRAMES}, h AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 6) SELECT a.label, a.pos AS i, b.pos AS j, round(list_distance(a.v, b.v), 6) AS l2, round(list_sum(list_transform(range(1, 65), lambda k: abs(a.v[k] - b.v[k]))), 6) AS l1 FROM h a JOIN h b ON a.label = b.label AND a.pos < b.pos")
+@query(f"WITH {_FRAMES}, n AS (SELECT label, pos, v, lead(v) OVER (PARTITION BY label ORDER BY pos) AS w FROM f) SELECT label, pos, round(list_distance(v, w), 6) AS l2, round(list_sum(list_transform(range(1, 65), lambda k: abs(v[k] - w[k]))), 6) AS l1 FROM n WHERE w IS NOT NULL")
 def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = sampling.top(frames(spark, sf_dir), ["label"], [F.col("pos")], 6)
-    both = [distance.pairs(f, ["label"], "pos", m, "embedding").withColumnRenamed("d", m) for m in ("l2", "l1")]
-    return both[0].join(both[1], ["label", "i", "j"]).withColumns({"l2": _r("l2"), "l1": _r("l1")})
+    """Every vector against the next of its label."""
+    f = frames(spark, sf_dir)
+    both = [distance.adjacent(f, ["label"], "pos", "embedding", m).withColumnRenamed("d", m) for m in ("l2", "l1")]
+    return both[0].join(both[1], ["label", "pos"]).withColumns({"l2": _r("l2"), "l1": _r("l1")})
 
 
 @query(f"WITH {_SIGNAL} SELECT user_id, t, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w + 1e-8), 6) AS scaled, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END, 5) AS standard FROM s WINDOW w AS (PARTITION BY user_id)")
@@ -164,16 +165,6 @@ def scenes_from_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.from_seconds(r).select("l_orderkey", "l_linenumber", "start_frame", "end_frame")
 
 
-@query()
-def caption_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", scalars.caption_phrases(F.concat_ws(" ", "p_name", "p_type")).alias("phrases"))
-
-
 @query()
 def feature_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", scalars.feature_hash(V.doubles("embedding")).alias("hash"))
-
-
-@query()
-def hashed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.hashed_sample(table(spark, sf_dir, "embeddings").select("label", "vec_id"), ["label"], ["vec_id"], 5, 123)

@@ -3,40 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-Provider = Callable[[pd.DataFrame], pd.DataFrame]
-_PROVIDERS: dict[str, tuple[Provider, str]] = {}
+from reelspark.functions.names import Named
 
 
-def register(name: str, schema: str) -> Callable[[Provider], Provider]:
-    """Adds a provider that maps a batch of rows to rows of ``schema``; names are taken once, in any case."""
-    key = name.strip().lower()
-    if key in _PROVIDERS:
-        raise ValueError(f"provider {name!r} is registered already")
+@dataclass(frozen=True)
+class Provider:
+    """``run`` maps a batch of rows to rows of ``schema``; errors of a batch are its to turn into rows."""
 
-    def put(f: Provider) -> Provider:
-        _PROVIDERS[key] = f, schema
-        return f
+    run: Callable[[pd.DataFrame], pd.DataFrame]
+    schema: str
 
-    return put
 
-
-def available() -> list[str]:
-    return sorted(_PROVIDERS)
+PROVIDERS: Named[Provider] = Named("provider")
 
 
 def apply(rows: DataFrame, name: str) -> DataFrame:
-    """Runs a provider over batches of rows; errors of a batch are the provider's to turn into rows."""
-    key = name.strip().lower()
-    if key not in _PROVIDERS:
-        raise KeyError(f"no provider {name!r}; there are {', '.join(available())}")
-    f, schema = _PROVIDERS[key]
+    """Runs a provider over batches of rows."""
+    provider = PROVIDERS[name]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield f(batch)
+            yield provider.run(batch)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, provider.schema)

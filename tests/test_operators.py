@@ -199,14 +199,132 @@ def test_change_points_are_optimal():
         assert got == pytest.approx(brute_change_points(x, penalty, least)[0], abs=1e-7)
 
 
-def test_segments_cover_the_sequence():
+def brute_segments(b, wanted, least, most, radius):
+    """The rules of the segments in plain Python, from the boundary scores of one sequence."""
+    n = len(b) + 1
+    steps = np.geomspace(0.05, max(5.0, 10 * (b.mean() + 1e-3)), 20) if len(b) else []
+    found = [segment.change_points(b, p, least) if n > least else [n - 1] for p in steps] or [[0]]
+    gaps = [abs(len(f) - wanted) for f in found]
+    near = [i for i, g in enumerate(gaps) if g == min(gaps)]
+    more = [i for i in near if len(found[i]) >= wanted]
+    ends = found[near[0] if min(gaps) == 0 or not more else more[-1]]
+    kept, last = [], -1
+    for e in ends:
+        if e - last >= least:
+            kept.append(min(e, n - 1))
+            last = e
+    kept = [*kept[:-1], n - 1]
+    out, s = [], 0
+    for e in kept:
+        pieces = -(-(e - s + 1) // most)
+        cuts = []
+        for i in sorted(range(s, e), key=lambda i: (-b[i], -i)):
+            if len(cuts) < pieces - 1 and all(abs(i - c) > radius for c in cuts):
+                cuts.append(i)
+        cuts = sorted({*cuts, *[c for c in (s + k * most - 1 for k in range(1, pieces - len(cuts))) if c < e]}) if pieces > 1 else []
+        parts, a = [], s
+        for c in [*cuts, e]:
+            if parts and c - a + 1 < least:
+                parts[-1] = parts[-1][0], c
+            else:
+                parts.append((a, c))
+            a = c + 1
+        out += [(x, min(x + most - 1, q)) for p, q in parts for x in range(p, q + 1, most)]
+        s = e + 1
+    return out
+
+
+@pytest.mark.parametrize("least,most", [(3, 8), (2, 5)])
+def test_segments_against_plain_rules(spark, least, most):
     rng = np.random.default_rng(2)
-    for n in (1, 2, 3, 7, 30):
-        b = rng.uniform(size=n - 1)
-        found = segment.to_segments(segment.search_penalty(b, 3, 3), n, 3) if n > 1 else [(0, 0)]
-        parts = [p for f in found for p in segment.split_long(f, b, 2, 5)]
-        assert [i for a, z in parts for i in range(a, z + 1)] == list(range(n))
-        assert all(z - a + 1 <= 5 for a, z in parts)
+    scores = [rng.uniform(size=n) ** 3 for n in (1, 2, 5, 20, 41, 60)] + [np.zeros(30), np.repeat([0.0, 1.0, 0.0], 12)]
+    rows = spark.createDataFrame([(g, i, float(x)) for g, b in enumerate(scores) for i, x in enumerate(b)], "g int, pos long, score double")
+    got = {}
+    for r in segment.segmented(rows, ["g"], "pos", "score", least, most, 2, 10).collect():
+        got.setdefault(r["g"], {})[r["segment_id"]] = (r["start_pos"], r["end_pos"])
+    for g, b in enumerate(scores):
+        wanted = int(np.clip(np.round((len(b) + 1) / most), 2, 10))
+        assert [got[g][i] for i in range(len(got[g]))] == brute_segments(b, wanted, least, most, 2), g
+
+
+def test_kernel_change_points():
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(0, 0.1, (20, 3)), rng.normal(2, 0.1, (15, 3)), rng.normal(-1, 0.1, (25, 3))])
+    assert segment.kernel_change_points(x, 3.0, 3) == [20, 35, 60]
+    # The running sums against the full kernel.
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    gram = np.exp(-np.clip(d / np.median(d[np.triu_indices(60, 1)]), 1e-2, 1e2))
+    cost = lambda ends: sum(np.trace(gram[a:b, a:b]) - gram[a:b, a:b].sum() / (b - a) for a, b in itertools.pairwise([0, *ends]))
+    best = min((cost([*c, 60]) + 3.0 * len(c), [*c, 60]) for r in range(3) for c in itertools.combinations(range(5, 60, 5), r))
+    assert best[1] == [20, 35, 60]
+
+
+def test_kernel_segments_cover(spark):
+    _, df = vectors(spark, 2, 30, 4)
+    rows = df.withColumn("q", F.element_at("v", 1))
+    got = segment.kernel_segmented(rows, ["g"], "pos", "v", "q", 3, 8).orderBy("g", "segment_id").collect()
+    for g in (0, 1):
+        assert [i for r in got if r["g"] == g for i in range(r["start_pos"], r["end_pos"] + 1)] == list(range(30))
+    assert all(r["end_pos"] - r["start_pos"] < 8 for r in got)
+
+
+def test_peaks_and_valleys_by_prominence(spark):
+    x = [0.0, 1.0, 0.9, 0.95, 0.2, 0.6, 0.5, 2.0, 0.0, 0.3, 0.1]
+    rows = spark.createDataFrame([(0, i, v) for i, v in enumerate(x)], "g int, t long, x double")
+    got = [(r["t"], r["frame"], r["kind"], round(r["prominence"], 6)) for r in signal.peaks_and_valleys(rows, ["g"], "t", "x", 0.05, 1).collect()]
+    assert got == [(1, 3, "peak", 0.8), (4, 6, "valley", 0.8), (5, 7, "peak", 0.1), (6, 8, "valley", 0.1), (7, 9, "peak", 2.0), (8, 10, "valley", 0.3), (9, 11, "peak", 0.2)]
+    kept = [r["t"] for r in signal.peaks_and_valleys(rows, ["g"], "t", "x", 0.05, 1, 3).collect()]
+    assert kept == [1, 4, 7]  # the most prominent, not the farthest from the mean
+    assert [r["t"] for r in signal.peaks_and_valleys(rows, ["g"], "t", "x", 0.5, 5).where("kind = 'peak'").collect()] == [1, 7]
+    s = signal.analyzer_summary(rows, signal.peaks_and_valleys(rows, ["g"], "t", "x", 0.5, 5), ["g"], "x").first()
+    assert (s["n_peaks"], s["max_score"]) == (2, 2.0)
+
+
+@pytest.mark.parametrize("beta", [0.0, 0.3, 0.9, 1.0])
+def test_ema(spark, beta):
+    rng = np.random.default_rng(4)
+    rows = [(g, i, float(v)) for g, n in ((0, 700), (1, 1), (None, 30)) for i, v in enumerate(rng.normal(size=n) * 10.0 ** rng.integers(0, 4))]
+    got = {(r["g"], r["t"]): r["ema"] for r in signal.ema(spark.createDataFrame(rows, "g int, t long, x double"), ["g"], "t", "x", beta).collect()}
+    b = {}
+    for g, t, x in rows:
+        b[g] = beta * b[g] + (1 - beta) * x if g in b else x
+        assert got[g, t] == pytest.approx(b[g], rel=1e-9, abs=1e-9), (g, t)
+
+
+def test_positions_in_the_order_of_all(spark):
+    rng = random.Random(2)
+    values = [rng.choice([None, 1.0, 2.5, rng.uniform(-5, 5)]) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(values)), "i long, x double").repartition(5)
+    got = {r["i"]: r["at"] for r in sampling.global_position(rows, "x", ["i"], "at").collect()}
+    order = sorted(range(3000), key=lambda i: (values[i] is not None, values[i] or 0.0, i))
+    assert [got[i] for i in order] == list(range(3000))
+    assert sampling.global_position(rows.where("false"), "x", ["i"], "at").collect() == []
+
+
+def test_grown_trees(spark):
+    for n in (1, 2, 5, 12):
+        nodes = layout.grown_tree(spark, n)
+        shape = layout.tree_shape(layout.tree_depths(nodes), nodes).first()
+        assert shape["n_leaves"] == n and shape["height"] <= n
+    with pytest.raises(KeyError):
+        layout.grown_tree(spark, 2, "sideways")
+
+
+def test_diversity_without_pairs(spark):
+    x, df = vectors(spark)
+    got = {r["g"]: (r["diversity"], r["redundancy"]) for r in metrics.diversity(df, ["g"], "v").collect()}
+    for g, (d, r) in got.items():
+        sims = (x[g] @ x[g].T)[np.triu_indices(12, 1)]
+        assert d == pytest.approx(1 - sims.mean()) and r == pytest.approx(sims.mean())
+    lone = metrics.diversity(df.where("pos = 0"), ["g"], "v").first()
+    assert lone["diversity"] == 0.0 and lone["redundancy"] is None
+
+
+def test_multi_scale_wasserstein(spark):
+    _, df = vectors(spark, 2, 20, 3)
+    assert all(r["swd"] < 1e-12 for r in metrics.multi_scale_wasserstein(df, df, ["g"], "pos", "v", 3).collect())
+    moved = df.withColumn("v", F.transform("v", lambda e: e + 1))
+    assert all(r["swd"] > 0.1 for r in metrics.multi_scale_wasserstein(df, moved, ["g"], "pos", "v", 3).collect())
 
 
 def test_metrics_of_all_frames_as_keys(spark):
@@ -248,11 +366,11 @@ def test_similar_keys_go(spark):
 
 
 def test_registry():
-    assert {"cosine", "l1", "l2", "psnr", "dssim"} <= set(distance.available_metrics())
+    assert {"cosine", "l1", "l2", "psnr", "dssim"} <= set(distance.MEASURES) and "COSINE " in distance.MEASURES
     with pytest.raises(KeyError):
-        distance.metric("none")
+        distance.MEASURES["none"]
     with pytest.raises(ValueError):
-        distance.register_metric(" Cosine ")(V.l1)
+        distance.MEASURES.put(" Cosine ", V.l1)
 
 
 def test_batch_metrics(spark):
@@ -272,7 +390,7 @@ def test_layout(spark):
     got = {r["i"]: (r["priority"], r["priority_rank"]) for r in layout.priorities(items, ["g"], {"s": 0.6, "q": 0.4}, "i").collect()}
     assert got[1][1] == 0 and got[0] == (pytest.approx(0.2), 3) and got[2][0] == pytest.approx(0.5)
     nodes = spark.createDataFrame([(0, "r", None, ""), (0, "a", "r", "0"), (0, "b", "r", "1"), (0, "c", "b", "0"), (0, "d", "b", "1")], "tree_id int, node_id string, parent_id string, side string")
-    depths = layout.tree_depths(spark, nodes)
+    depths = layout.tree_depths(nodes)
     assert [r["node_id"] for r in layout.leaves(depths, nodes).orderBy("leaf").collect()] == ["a", "c", "d"]
     assert layout.tree_shape(depths, nodes).first()[1:] == (2, 3)
     filled = layout.fill_depths(spark.range(3).withColumnRenamed("id", "item"), layout.depth_histogram(layout.leaves(depths, nodes)), "item")
@@ -326,8 +444,8 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_providers(spark):
     name = "brightness-test"
-    if name not in providers.available():
-        providers.register(name, "i long, twice long")(lambda b: b.assign(twice=b["i"] * 2)[["i", "twice"]])
+    if name not in providers.PROVIDERS:
+        providers.PROVIDERS.put(name, providers.Provider(lambda b: b.assign(twice=b["i"] * 2)[["i", "twice"]], "i long, twice long"))
     assert providers.apply(spark.range(3).withColumnRenamed("id", "i"), name).agg(F.sum("twice")).first()[0] == 6
     with pytest.raises(KeyError):
         providers.apply(spark.range(1), "none")
@@ -345,12 +463,12 @@ def test_scores(spark):
 def test_detectors(spark):
     v = spark.createDataFrame([("a", 10)], "video_id string, total_frames long")
     p = spark.createDataFrame([("a", 3, 0.5), ("a", 6, 0.51)], "video_id string, frame_idx long, p double")
-    assert sorted(scenes.detector(" Threshold ")(v, p).collect()) == [("a", 0, 6), ("a", 7, 9)]
-    assert scenes.detector("fixed")(v, length=6).count() == 2
+    assert sorted(scenes.DETECTORS[" Threshold "](v, p).collect()) == [("a", 0, 6), ("a", 7, 9)]
+    assert scenes.DETECTORS["fixed"](v, length=6).count() == 2
     with pytest.raises(KeyError):
-        scenes.detector("none")
+        scenes.DETECTORS["none"]
     with pytest.raises(ValueError):
-        scenes.register_detector("FIXED")(lambda v: v)
+        scenes.DETECTORS.put("FIXED", lambda v: v)
 
 
 def test_nan_frames_are_left_out(spark):
