@@ -107,36 +107,45 @@ def neighbours(ids: DataFrame) -> DataFrame:
     return dealt.select("key", "part", inside.alias("inside")).join(after, "part").select("key", F.coalesce("inside", "after").alias("following"))
 
 
+def _printed(rows: DataFrame) -> DataFrame:
+    return with_fingerprints(rows, {"text": "fingerprint"})
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, fingerprint) of each row; a null text is empty; repeated rows each get a row."""
-    rows = texts(docs, id_col, text_col)
-    return with_fingerprints(rows.select("key", "text", F.char_length("text").cast("long").alias("n_chars")), {"text": "fingerprint"}).select(id_value("key").alias(id_col), "n_chars", "fingerprint")
+    """(id, n_chars, fingerprint) of each row, from its text alone; a null text is empty, and has an empty
+    fingerprint; null ids stay null; repeated rows each get a row; an empty table gives an empty table."""
+    return _printed(texts(docs, id_col, text_col)).select(id_value("key").alias(id_col), F.char_length("text").cast("long").alias("n_chars"), "fingerprint")
 
 
 def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row against an edited text and the next document: id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    edited_fingerprint, near_edited, near_next, text_hash.
 
     The last quarter of the characters is replaced by as many of the next document in the order of
     ids (null first; after the last the first). Rows that share an id have the same next document;
-    where the next id has several texts, it is the smallest of them. A lone document is its own next.
+    where the next id has several texts, it is the one of least hash. A lone document is its own next.
+    Null texts are empty, repeated rows each get a row, and an empty table gives an empty table.
+
+    Texts and their fingerprints are exchanged once, by id: both the heads that are given and the rows
+    that take them are read from that exchange, so both must ask for the same columns of it.
     """
     rows = texts(docs, id_col, text_col)
-    lengths = materialize(rows.groupBy("key").agg(F.max(F.floor(F.char_length("text") / 4)).cast("int").alias("need")), "lengths")
-    order = lengths.join(neighbours(lengths), "key")
-    wanted = materialize(order.select(F.col("following").alias("key"), F.col("key").alias("before"), "need"), "edit-order")
-    donors = rows.join(wanted, "key").select("before", F.left("text", F.col("need")).alias("tail"), "key")
-    donors = donors.groupBy("before").agg(F.min("tail").alias("tail"), F.first("key").alias("following"))
+    ids = rows.groupBy("key").agg(F.max(F.floor(F.char_length("text") / 4)).cast("int").alias("need"), F.min("body").alias("least"))
+    ids = materialize(ids, "lengths")
+    order = neighbours(ids).join(ids.select("key", "need"), "key").select(F.col("key").alias("before"), F.col("following").alias("key"), "need")
+    order = materialize(order.join(ids.select("key", "least"), "key"), "edit-order")
+    printed = _printed(rows)
+    # As a condition of values, not of rows: a condition of rows would become part of the join's keys.
+    given = lambda c: F.first(F.when(F.col("body") == F.col("least"), c), ignorenulls=True)
+    heads = printed.join(order, "key").groupBy("before").agg(given(F.left("text", F.col("need"))).alias("head"), given(F.col("fingerprint")).alias("next_fingerprint"))
     n = F.char_length("text")
-    both = rows.join(donors, rows["key"] == donors["before"])
     part = F.floor(n / 4).cast("int")
-    both = both.select("key", "following", n.cast("long").alias("n_chars"), "text", F.concat(F.left("text", n - part), F.left("tail", part)).alias("edited"))
+    both = printed.join(heads, printed["key"] == heads["before"])
+    both = both.select("key", "body", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", F.concat(F.left("text", n - part), F.left("head", part)).alias("edited"))
     both = both.select("*", F.sha2("edited", 256).alias("edited_sha256"))
-    done = with_fingerprints(both, {"text": "fingerprint", "edited": "edited_fingerprint"}).drop("text", "edited")
-    done = materialize(done, "fingerprints")
-    after = done.groupBy("key").agg(F.min("fingerprint").alias("next_fingerprint")).withColumnRenamed("key", "following")
-    out = done.join(after, "following")
-    return out.select(
+    done = with_fingerprints(both, {"edited": "edited_fingerprint"}).drop("edited")
+    return done.select(
         id_value("key").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.col("body").alias("text_hash"),
     )

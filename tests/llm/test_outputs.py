@@ -173,6 +173,13 @@ def test_fingerprints(spark, corpus, texts_):
     assert got[0] == got[45 * 3]
 
 
+def alike(a, b):
+    if not a or not b:
+        return float(a == b)
+    x, y = ({t[:2]: t for t in f.split(".")} for f in (a, b))
+    return sum(x[k] == y.get(k) for k in x) / len(x.keys() | y.keys())
+
+
 def test_edit_probe(corpus, texts_):
     got = order_minhash.edit_probe(corpus).orderBy("doc_id").collect()
     whole = [t or "" for t in texts_]
@@ -180,7 +187,8 @@ def test_edit_probe(corpus, texts_):
         m = len(whole[i]) // 4
         edited = whole[i][: len(whole[i]) - m] + whole[(i + 1) % len(whole)][:m]
         assert (r["n_chars"], r["edited_sha256"]) == (len(whole[i]), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        following = got[(i + 1) % len(got)]
+        assert (r["near_edited"], r["near_next"]) == (alike(r["fingerprint"], r["edited_fingerprint"]), alike(r["fingerprint"], following["fingerprint"]))
     long = [r for r in got if r["n_chars"] > 200 and r["doc_id"] < 75]
     assert np.mean([r["near_edited"] for r in long]) > 0.25 > 0.05 > np.mean([r["near_next"] for r in long])
 
