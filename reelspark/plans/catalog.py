@@ -405,7 +405,7 @@ def peaks_and_valleys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def methods_against_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen keys of every scene against uniform and random ones, in one plan."""
-    f = frames(spark, sf_dir)
+    f = frames(spark, sf_dir).persist()  # numbered once for all that read it
     n = f.groupBy("label").agg(F.count(F.lit(1)).alias("total_frames"))
     chosen = {
         "medoid": keyframes.choose(f, ["label"], "pos", "embedding", cap=30, k=3, radius=2),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions import scalars
+from reelspark.operators import batch
 
 #: Names under which a key's frame may be stored, in order.
 FRAME_COLUMNS = ["frame_idx", "frame_global", "frame"]
@@ -82,6 +87,33 @@ def evaluation_results(spark: SparkSession, pattern: str, method: str | None = N
     return out.where(F.col("method") == method) if method else out
 
 
+def _document(spark: SparkSession, path: str) -> dict:
+    """A small JSON file, such as a configuration: read whole on the driver."""
+    return json.loads(spark.read.option("wholetext", "true").text(path).first()[0])
+
+
+def grid(spark: SparkSession, path: str) -> DataFrame:
+    """The settings of a JSON file of lists, one a parameter: every combination, as ``batch.grid`` numbers them. A lone value is a list of one."""
+    return batch.grid(spark, {k: v if isinstance(v, list) else [v] for k, v in _document(spark, path).items()})
+
+
+def summary(spark: SparkSession, path: str, method: str = "method") -> DataFrame:
+    """(video_id, metric, value) of a batch summary: its results' metrics, those of ``method`` where they are by method."""
+    results = F.from_json(F.get_json_object("value", "$.results"), "map<string,struct<metrics:string>>")
+    rows = spark.read.option("wholetext", "true").text(path).select(F.explode(results).alias("video_id", "r"))
+    chosen = F.coalesce(F.get_json_object("r.metrics", f"$.{method}"), F.col("r.metrics"))
+    return rows.select("video_id", F.explode(F.from_json(chosen, "map<string,string>")).alias("metric", "v")).select("video_id", "metric", F.expr("try_cast(v AS DOUBLE)").alias("value"))
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept at ``path``; made and written there if there is none yet, so embeddings are computed once."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.parquet(path)
+        return spark.read.parquet(path)
+
+
 def with_epoch(df: DataFrame, path: str = "path") -> DataFrame:
     """The epoch from ``ep<n>`` in the path."""
     return df.withColumn("epoch", F.nullif(F.regexp_extract(path, r"ep(\d+)", 1), F.lit("")).cast("int"))

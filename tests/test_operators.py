@@ -442,6 +442,25 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.scenes(spark, f"{tmp_path}/s/scenes.json").first()["end_frame"] == 4
 
 
+def test_grids_summaries_and_caches(spark, tmp_path):
+    (tmp_path / "grid.json").write_text('{"tau": [0.1, 0.3], "k": 4, "mode": ["a", "b", "c"]}')
+    g = readers.grid(spark, f"{tmp_path}/grid.json").orderBy("iter").collect()
+    assert len(g) == 6 and tuple(g[4]) == (4, 0.3, 4, "b")
+    (tmp_path / "summary.json").write_text('{"results": {"v1": {"metrics": {"method": {"RecErr": 0.5, "Frechet": null}}}, "v2": {"metrics": {"RecErr": 1}}}, "errors": {}}')
+    assert sorted(tuple(r) for r in readers.summary(spark, f"{tmp_path}/summary.json").where("value IS NOT NULL").collect()) == [("v1", "RecErr", 0.5), ("v2", "RecErr", 1.0)]
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    assert [readers.cached(spark, f"{tmp_path}/c", make).count() for _ in range(2)] == [3, 3] and made == [1]
+
+
+def test_checked_batches(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", None), ("c", float("nan")), ("d", 3.0)], "video_id string, RecErr double")
+    c = batch.checked(rows, {"missing": F.col("RecErr").isNotNull(), "unknown": ~F.isnan("RecErr")})
+    assert {r["video_id"]: r["error"] for r in c.collect()} == {"a": None, "b": "missing", "c": "unknown", "d": None}
+    s = batch.summary_document(c, "video_id", ["RecErr"]).first()
+    assert (s["total_processed"], s["total_failed"], s["aggregate_metrics"]["RecErr_mean"]) == (2, 2, 2.0) and '"total_failed":2' in s["json"]
+
+
 def test_providers(spark):
     name = "brightness-test"
     if name not in providers.PROVIDERS:
