@@ -17,9 +17,14 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder of our own only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset and Spark runs in one process.
+
+    What the operators write there is read when their results are; the folder may be emptied after that.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="reelspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

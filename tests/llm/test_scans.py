@@ -170,6 +170,32 @@ def test_segments_against_brute_force():
         assert np.allclose([x[2] for x in got], [x[2] for x in brute_segments(v)])
 
 
+def test_log_odds_against_plain_sums():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 50, 30).astype(float)
+    toxic, clean = np.floor(n * rng.uniform(0, 0.3, 30)), np.floor(n * rng.uniform(0, 0.5, 30))
+    scores = toxicity.log_odds(n, toxic, clean)
+    labelled, all_ = sum(toxic) + sum(clean), sum(n) + 1e-3 * 30
+    prior = [toxicity.PRIOR * labelled * (x + 1e-3) / all_ for x in n]
+    a, b = [t + p for t, p in zip(toxic, prior)], [c + p for c, p in zip(clean, prior)]
+    for k in range(30):
+        odds = np.log(a[k] / (sum(a) - a[k])) - np.log(b[k] / (sum(b) - b[k]))
+        z2 = odds**2 / (1 / a[k] + 1 / b[k])
+        assert scores.value[k] == pytest.approx(max(odds * z2 / (z2 + toxicity.HALF_Z**2), -1.0) - toxicity.DRIFT)
+    p = np.array(b) / sum(b)
+    if (scores.value > 0).any():  # the scale of the extreme-value law solves its equation
+        assert (p * np.exp(scores.scale * scores.value)).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_logistic_fit_is_at_its_optimum():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([np.ones(400), rng.normal(size=(400, 2))])
+    y = (rng.uniform(size=400) < 1 / (1 + np.exp(-(x @ [0.3, 1.5, -0.7])))).astype(float)
+    w = toxicity._logistic(x, y)
+    loss = lambda v: -(y * (x @ v) - np.log1p(np.exp(x @ v))).sum() + 5e-4 * (v @ v)
+    assert all(loss(w) <= loss(w + d) + 1e-9 for d in rng.normal(scale=0.01, size=(50, 3)))
+
+
 def toxic_corpus(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -207,5 +233,6 @@ def test_toxicity_on_held_out_rows(spark, corpus):
 
 def test_without_labels(spark, corpus, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
+    none = none.withColumns({"text": F.lit("clash"), "key": F.lit(1), "body": F.lit(2)})
     assert {r["score"] for r in toxicity.score(corpus, none).collect()} == {0.0}
     assert toxicity.score(nothing, none).collect() == []
