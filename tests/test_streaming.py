@@ -39,3 +39,8 @@ def test_running(spark, tmp_path):
     run(windows.running(stream(spark), "user_id", "event_id", "value"), "running", tmp_path, "update")
     want = spark.read.parquet(f"{SF}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("best"))
     assert spark.table("running").select("user_id", "n", "best").exceptAll(want).count() == 0
+    rows, b = spark.read.parquet(f"{SF}/events.parquet").orderBy("event_id").collect(), {}
+    for r in rows:  # one batch holds all events, so the state is the average over each user's events in order
+        b[r["user_id"]] = 0.9 * b[r["user_id"]] + 0.1 * r["value"] if r["user_id"] in b else r["value"]
+    got = {r["user_id"]: r["ema"] for r in spark.table("running").collect()}
+    assert got == pytest.approx(b)
