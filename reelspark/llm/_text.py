@@ -75,18 +75,22 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def chosen(hashes: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` positions, the one with the least hash, the leftmost on ties."""
+    bits = max(1, int(len(hashes)).bit_length())
+    keys = (hashes >> _U(bits)) << _U(bits) | np.arange(len(hashes), dtype=_U)
+    keys[~valid] = ~_U(0)
+    return sliding_min(keys, width) & _U((1 << bits) - 1)
+
+
 def minimizers(hashes: np.ndarray, valid: np.ndarray, width: int, windows: np.ndarray) -> np.ndarray:
-    """Positions that hold the least hash (the leftmost on ties) of some window.
+    """Positions that some window chooses.
 
     hashes: one per position; valid: which positions may be chosen; windows: which starts have a
     whole window of ``width`` positions. Equal windows choose the same offset, wherever they are.
     """
-    bits = max(1, int(len(hashes)).bit_length())
-    position = np.arange(len(hashes), dtype=_U)
-    keys = (hashes >> _U(bits)) << _U(bits) | position
-    keys[~valid] = ~_U(0)
-    least = sliding_min(keys, width)
-    least = least[windows[: len(least)]] & _U((1 << bits) - 1)
+    least = chosen(hashes, valid, width)
+    least = least[windows[: len(least)]]
     if not len(least):
         return np.zeros(0, np.int64)
     keep = np.ones(len(least), bool)
@@ -94,6 +98,11 @@ def minimizers(hashes: np.ndarray, valid: np.ndarray, width: int, windows: np.nd
     return np.unique(least[keep]).astype(np.int64)
 
 
+def own_windows(seeds: np.ndarray, at: int, width: int) -> np.ndarray:
+    """Starts of the windows that choose position ``at``."""
+    return np.flatnonzero(chosen(seeds, np.ones(len(seeds), bool), width) == at)
+
+
 def blocks(batch: pa.RecordBatch, column: str = "text", size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets) of runs of rows with about ``size`` bytes."""
     array = batch.column(column)
@@ -109,6 +118,16 @@ def blocks(batch: pa.RecordBatch, column: str = "text", size: int = BLOCK) -> It
         row = last
 
 
+def runs(sizes: list[int], size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of items with about ``size`` bytes."""
+    upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.array(sizes, np.int64))])
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + size, "right")) - 1)
+        yield first, last
+        first = last
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 #: All but ASCII letters and the bytes of other characters.

@@ -13,15 +13,14 @@ Each document is then parsed from left to right: the factor that begins here or
 farthest is taken, and parsing goes on where it ends; words under no factor are literals. Factors
 are parts of stretches of ``window`` words or more, and are the duplicate spans.
 
-A block of more than ``most`` different phrases isn't parsed in one task: its phrases are dealt
-again by the words further to the left and to the right of the seed (``split_groups``).
+A block of more than ``most`` different phrases isn't parsed in one task: its phrases are dealt out by
+the windows that choose the seed, and each window's first document is its reference.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +29,14 @@ from pyspark.sql import functions as F
 
 from reelspark.llm._anchors import FOUND, occurrences, packed, repeated, unpack
 from reelspark.llm._store import id_value, materialize, texts
-from reelspark.llm._text import Bytes, Words, blocks, minimizers, mix, ngrams, slice_hashes, within_rows
-from reelspark.llm.suffix_dedup import split_groups
+from reelspark.llm._text import Bytes, Words, blocks, chosen, minimizers, mix, ngrams, runs, signed, slice_hashes, within_rows
+from reelspark.llm.suffix_dedup import few_and_many
 
 #: Words of a window.
 WINDOW = 13
 #: Words of a seed.
 SEED = 4
-#: Different phrases of a block that are parsed in one task; larger blocks are split.
+#: Different phrases of a block that are parsed in one task; larger blocks are split by windows.
 MOST = 500
 
 _U = np.uint64
@@ -80,18 +79,33 @@ def _cut(window: int, seed: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(unpack(batch.column("packed")[i].as_py()), np.uint8)
-                _, hashes = _word_hashes(data, np.array([0, len(data)]))
-                asked = batch.column("wanted")[i].values
-                at = asked.field("pos").to_numpy().astype(np.int64)
-                start, end = np.maximum(at - back, 0), np.minimum(at + ahead, len(hashes))
-                cuts = [pa.array((at - start).astype(np.int32)), pa.array([hashes[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(asked.field(c) for c in numbers), *cuts], [*numbers, "behind", "words"])
+            bodies = [unpack(x) for x in batch.column("packed").to_pylist()]
+            for i, j in runs([*map(len, bodies)]):
+                words, hashes = _word_hashes(np.frombuffer(b"".join(bodies[i:j]), np.uint8), np.cumsum([0, *map(len, bodies[i:j])]).astype(np.int64))
+                lists = batch.column("wanted").slice(i, j - i)
+                asked = lists.flatten()
+                row = np.repeat(np.arange(j - i), np.diff(lists.offsets.to_numpy()))
+                first, last = words.first[row], words.first[row + 1]
+                at = np.minimum(first + asked.field("pos").to_numpy(), last)
+                start, end = np.maximum(at - back, first), np.minimum(at + ahead, last)
+                raw, cuts = hashes.tobytes(), zip((start * 8).tolist(), (end * 8).tolist(), strict=True)
+                columns = [pa.array((at - start).astype(np.int32)), pa.array([raw[a:b] for a, b in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(asked.field(c) for c in numbers), *columns], [*numbers, "behind", "words"])
 
     return cut
 
 
+def _shared(one: np.ndarray, before: int, other: np.ndarray, other_before: int) -> tuple[int, int]:
+    """How many words two phrases share to the left and right of their seeds."""
+    left = right = 0
+    a, b = one.tolist(), other.tolist()
+    while left < min(before, other_before) and a[before - 1 - left] == b[other_before - 1 - left]:
+        left += 1
+    while right < min(len(a) - before, len(b) - other_before) and a[before + right] == b[other_before + right]:
+        right += 1
+    return left, right
+
+
 def parse(first: list[int], behind: list[int], phrases: list[np.ndarray], window: int, seed: int) -> list[list[tuple[int, int, int]]]:
     """Factors through the seed of each phrase: words to its left, words to its right, first document of the reference.
 
@@ -99,6 +113,11 @@ def parse(first: list[int], behind: list[int], phrases: list[np.ndarray], window
     smaller first documents.
     """
     back, ahead, n = window - seed, window, len(phrases)
+    if first[0] == first[-1]:
+        return [[] for _ in range(n)]
+    if n == 2:
+        left, right = _shared(phrases[0], behind[0], phrases[1], behind[1])
+        return [[], [(left, right, first[0])] if left + right >= window else []]
     words = np.zeros((n, back + ahead), _U)
     there = np.zeros((n, back + ahead), bool)
     for i, (b, p) in enumerate(zip(behind, phrases, strict=True)):
@@ -128,11 +147,11 @@ def parse(first: list[int], behind: list[int], phrases: list[np.ndarray], window
 
 
 def _sorted_blocks(window: int, seed: int):
-    """Parses the blocks of a partition that is sorted by block and first document; a block may go on in the next batch."""
+    """Parses the blocks of a partition that is sorted by seed and first document; a block may go on in the next batch."""
 
     def settle(rows: list[tuple]) -> list[tuple]:
-        found = parse([r[3] for r in rows], [r[4] for r in rows], [np.frombuffer(r[5], _U) for r in rows], window, seed)
-        return [(r[1], r[2], *x) for r, factors in zip(rows, found, strict=True) for x in factors]
+        found = parse([r[2] for r in rows], [r[3] for r in rows], [np.frombuffer(r[4], _U) for r in rows], window, seed)
+        return [(*r[:2], *x) for r, factors in zip(rows, found, strict=True) for x in factors]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -142,11 +161,11 @@ def _sorted_blocks(window: int, seed: int):
         group: list[tuple] = []
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "seed", "context", "low", "behind", "words")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("seed", "context", "low", "behind", "words")), strict=True):
                 if group and group[0][0] != row[0]:
                     out += settle(group)
                     group = []
-                if not group or group[-1][2] != row[2]:  # repeated rows lend a phrase twice
+                if not group or group[-1][1] != row[1]:  # repeated rows lend a phrase twice
                     group.append(row)
             yield batch_of(out)
         if group:
@@ -155,10 +174,26 @@ def _sorted_blocks(window: int, seed: int):
     return run
 
 
-def _words_of(side: str, n: Column) -> Column:
-    behind, all_ = F.col("behind"), (F.octet_length("words") / 8).cast("int")
-    start = behind - n if side == "l" else behind
-    return F.when((behind if side == "l" else all_ - behind) >= n, F.substring("words", start * 8 + 1, n * 8))
+def _windows(window: int, seed: int):
+    """The windows that choose each phrase's seed: (window, seed, context, back, low)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column("words").to_pylist()
+            for i, j in runs([*map(len, every)]):
+                phrases, part = every[i:j], batch.slice(i, j - i)
+                sizes = np.array([len(x) // 8 for x in phrases], np.int64)
+                words, ends = np.frombuffer(b"".join(phrases), _U), np.cumsum(sizes)
+                at = ends - sizes + part.column("behind").to_numpy()
+                seeds = ngrams(words, seed)
+                place = chosen(seeds, np.ones(len(seeds), bool), window - seed + 1).astype(np.int64)
+                row = np.repeat(np.arange(j - i), sizes)[: len(place)]
+                start = np.flatnonzero((np.arange(len(place)) + window <= ends[row]) & (place == at[row]))
+                row = row[start]
+                columns = [signed(ngrams(words, window)[start]), *(part.column(c).to_numpy()[row] for c in ("seed", "context")), (at[row] - start).astype(np.int32), part.column("low").to_numpy()[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["window", "seed", "context", "back", "low"])
+
+    return hashed
 
 
 def _factors(rows: DataFrame, window: int, seed: int, most: int) -> DataFrame:
@@ -171,13 +206,15 @@ def _factors(rows: DataFrame, window: int, seed: int, most: int) -> DataFrame:
     asked = F.struct("seed", "context", F.col("at.key").alias("low"), "at.pos")
     wanted = lent.groupBy("at.key", "at.body").agg(F.collect_list(asked).alias("wanted"))
     phrases = packed(rows).join(wanted, ["key", "body"]).mapInArrow(_cut(window, seed), "seed long, context long, low long, behind int, words binary")
-    phrases = materialize(phrases.select(F.col("seed").alias("grp"), "*"), "rlz-blocks")
-    fit, whole = split_groups(phrases, window, most, (0, seed), _words_of, "rlz")
-    parsed = [f.repartition("grp").sortWithinPartitions("grp", "low", "context").mapInArrow(_sorted_blocks(window, seed), "seed long, context long, left long, right long, ref long") for f in fit]
-    settled = reduce(DataFrame.unionByName, parsed)
-    if whole is not None:  # all phrases of such a block have one window; the earliest document's is the reference
-        refs = whole.groupBy("grp").agg(F.min("low").alias("ref"))
-        settled = settled.unionByName(whole.join(refs, "grp").where("ref < low").select("seed", "context", F.col("l").cast("long").alias("left"), F.col("r").cast("long").alias("right"), "ref"))
+    few, many = few_and_many(materialize(phrases, "rlz-blocks"), most, "rlz")
+    settled = few.repartition("seed").sortWithinPartitions("seed", "low", "context").mapInArrow(_sorted_blocks(window, seed), "seed long, context long, left long, right long, ref long")
+    every = materialize(many.mapInArrow(_windows(window, seed), "window long, seed long, context long, back int, low long"), "rlz-windows")
+    place = ["window", "seed", "back"]
+    shared = every.join(every.groupBy(place).agg(F.min("low").alias("ref")), place).where("ref < low")
+    # All windows hold the seed, so the outermost two cover what all cover.
+    ends = shared.groupBy("seed", "context").agg(F.array(F.min(F.struct("back", "ref")), F.max(F.struct("back", "ref"))).alias("ends"))
+    ends = ends.select("seed", "context", F.explode(F.array_distinct("ends")).alias("e"))
+    settled = settled.unionByName(ends.select("seed", "context", F.col("e.back").cast("long").alias("left"), (F.lit(window) - F.col("e.back")).cast("long").alias("right"), "e.ref"))
 
     def stretch(left: Column, right: Column, ref: str) -> Column:
         return F.struct(F.greatest(F.col("pos") - left, F.lit(0)).cast("int").alias("start"), (F.col("last") + right).cast("int").alias("end"), F.col(ref).alias("ref")).alias("x")

@@ -10,16 +10,15 @@ Within an interval the left contexts, sorted the same way, are scanned likewise:
 interval whose members agree as far as they can to both sides, and differ beyond, is a maximal
 repeat, and all its members are occurrences. A context that occurs twice is a group with itself.
 
-A seed with more than ``most`` different contexts is not sorted in one task. A repeat reaches so far
-to the left of the shared part or so far to its right, so the contexts are dealt again by the bytes
-there, and again, until every group fits or shares a whole window; no repeat is in none of the parts.
+A seed with more than ``most`` different contexts isn't sorted in one task: its contexts are dealt out
+by the windows that choose the seed, and those that share a window are a group, a repeat with all its
+occurrences. A window chooses one seed, so this is linear in the text around such seeds.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +27,13 @@ from pyspark.sql import functions as F
 
 from reelspark.llm._anchors import FOUND, occurrences, packed, repeated, unpack
 from reelspark.llm._store import id_value, materialize, texts
-from reelspark.llm._text import Bytes, blocks, minimizers, mix, signed
+from reelspark.llm._text import Bytes, blocks, chosen, minimizers, mix, own_windows, runs, signed
 
 #: Bytes of the shortest repeat.
 LEAST = 200
 #: Bytes of a seed.
 SEED = 32
-#: Different contexts of a group that are sorted in one task; larger groups are split.
+#: Different contexts of a seed that are sorted in one task; larger groups are split by windows.
 MOST = 2000
 
 
@@ -162,22 +161,22 @@ def repeats(behind: list[bytes], ahead: list[bytes], least: int) -> list[tuple[i
     return list(zip(*reach.tolist(), strict=True))
 
 
-def _by_group(settle, names: list[str], types: list[pa.DataType]):
-    """Runs ``settle`` on the rows of each group of a partition that is sorted by group; a group may go on in the next batch."""
+def _by_seed(settle, names: list[str]):
+    """Runs ``settle`` on the contexts of each seed of a partition that is sorted by seed; a seed may go on in the next batch."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "seed", "context", "n", "behind", "ahead")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("seed", "context", "n", "behind", "ahead")), strict=True):
                 if group and group[0][0] != row[0]:
                     out += settle(group)
                     group = []
-                if not group or group[-1][2] != row[2]:  # repeated rows lend a context twice
+                if not group or group[-1][1] != row[1]:  # repeated rows lend a context twice
                     group.append(row)
             yield batch_of(out)
         if group:
@@ -188,10 +187,10 @@ def _by_group(settle, names: list[str], types: list[pa.DataType]):
 
 def _reaches(least: int):
     def settle(rows: list[tuple]) -> list[tuple]:
-        found = repeats([r[4] for r in rows], [r[5] for r in rows], least) if len(rows) > 1 else [(0, 0)]
-        return [(r[1], r[2], *x) for r, x in zip(rows, found, strict=True) if sum(x) >= least]
+        found = repeats([r[3] for r in rows], [r[4] for r in rows], least) if len(rows) > 1 else [(0, 0)]
+        return [(*r[:2], *x) for r, x in zip(rows, found, strict=True) if sum(x) >= least]
 
-    return _by_group(settle, ["seed", "context", "left", "right"], [pa.int64()] * 4)
+    return _by_seed(settle, ["seed", "context", "left", "right"])
 
 
 class _Repeat:
@@ -201,13 +200,11 @@ class _Repeat:
         self.least, self.seed = least, seed
 
     def name(self, behind: bytes, ahead: bytes, left: int, right: int) -> int | None:
-        data = behind[:left][::-1] + ahead[:right]
-        n = len(data)
-        seeds = Bytes(np.frombuffer(data, np.uint8)).windows(self.seed)
-        chosen = minimizers(seeds, np.ones(len(seeds), bool), self.least - self.seed + 1, np.ones(n, bool))
-        if left not in chosen:
+        data = np.frombuffer(behind[:left][::-1] + ahead[:right], np.uint8)
+        hashes = Bytes(data)
+        if not len(own_windows(hashes.windows(self.seed), left, self.least - self.seed + 1)):
             return None
-        return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+        return int(signed(hashes.slices(np.array([0]), np.array([len(data)])))[0])
 
 
 def _groups(least: int, seed: int):
@@ -215,62 +212,37 @@ def _groups(least: int, seed: int):
 
     def settle(rows: list[tuple]) -> list[tuple]:
         out = []
-        for left, right, members in maximal_repeats([r[4] for r in rows], [r[5] for r in rows], least) if len(rows) > 1 else ():
-            name = repeat.name(*rows[members[0]][4:], left, right)
+        for left, right, members in maximal_repeats([r[3] for r in rows], [r[4] for r in rows], least) if len(rows) > 1 else ():
+            name = repeat.name(*rows[members[0]][3:], left, right)
             if name is not None:
-                out += [(name, rows[m][1], rows[m][2], left, right) for m in members.tolist()]
-        out += [(repeat.name(r[4], r[5], len(r[4]), len(r[5])), r[1], r[2], len(r[4]), len(r[5])) for r in rows if r[3] > 1]  # with itself
-        return out
-
-    return _by_group(settle, _GROUP, [pa.int64()] * 5)
+                out += [(name, *rows[m][:2], left, right) for m in members.tolist()]
+        return out + [(repeat.name(*r[3:], len(r[3]), len(r[4])), *r[:2], len(r[3]), len(r[4])) for r in rows if r[2] > 1]  # with itself
 
+    return _by_seed(settle, ["repeat", "seed", "context", "left", "right"])
 
-_GROUP = ["repeat", "seed", "context", "left", "right"]
 
+def _windows(least: int, seed: int):
+    """The windows of ``least`` bytes that choose each context's seed: (repeat, seed, context, back, n)."""
 
-def _whole_windows(least: int, seed: int):
-    """The groups of contexts that share a whole window, and are too many to sort."""
-    repeat = _Repeat(least, seed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            names = [repeat.name(r["behind"], r["ahead"], r["l"], r["r"]) for r in rows]
-            out = [(n, r["seed"], r["context"], r["l"], r["r"]) for n, r in zip(names, rows, strict=True) if n is not None]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 5], _GROUP)
-
-    return run
-
+            both = [*zip(batch.column("behind").to_pylist(), batch.column("ahead").to_pylist(), strict=True)]
+            for i, j in runs([len(x) + len(y) for x, y in both]):
+                part = batch.slice(i, j - i)
+                data = np.frombuffer(b"".join([x[::-1] + y for x, y in both[i:j]]), np.uint8)
+                sizes, before = (np.array(n, np.int64) for n in zip(*((len(x) + len(y), len(x)) for x, y in both[i:j]), strict=True))
+                ends = np.cumsum(sizes)
+                at = ends - sizes + before
+                hashes = Bytes(data)
+                seeds = hashes.windows(seed)
+                place = chosen(seeds, np.ones(len(seeds), bool), least - seed + 1).astype(np.int64)
+                row = np.repeat(np.arange(j - i), sizes)[: len(place)]
+                start = np.flatnonzero((np.arange(len(place)) + least <= ends[row]) & (place == at[row]))
+                row = row[start]
+                columns = [signed(hashes.slices(start, start + least)), *(part.column(c).to_numpy()[row] for c in ("seed", "context")), (at[row] - start).astype(np.int32), part.column("n").to_numpy()[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["repeat", "seed", "context", "back", "n"])
 
-def split_groups(contexts: DataFrame, least: int, most: int, shared: tuple[int, int], part, tag: str) -> tuple[list[DataFrame], DataFrame | None]:
-    """Groups of at most ``most`` rows, and the rows of larger ones whose shared part is a whole window.
-
-    contexts: (grp, ...) of groups whose rows agree in ``shared`` units to the left and right of one
-    place. part(side, n): the ``n`` units to that side, null where there are fewer. What reaches
-    ``least`` units in all reaches half of the rest to the left, or the other half to the right.
-    """
-    fit, whole = [], []
-    frontier = contexts.withColumns({"l": F.lit(shared[0]), "r": F.lit(shared[1])})
-    while True:
-        sizes = materialize(frontier.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"{tag}-sizes")
-        sized = frontier.join(sizes, "grp")
-        fit.append(sized.where(F.col("members") <= most).drop("members", "l", "r"))
-        if not sizes.where(F.col("members") > most).limit(1).count():
-            return fit, reduce(DataFrame.unionByName, whole) if whole else None
-        rest = F.lit(least) - F.col("l") - F.col("r")
-        large = sized.where(F.col("members") > most).drop("members")
-        whole.append(large.where(rest <= 0))
-        to_left = F.col("l") + F.ceil(rest / 2).cast("int")
-        to_right = F.col("r") + rest - F.ceil(rest / 2).cast("int") + 1
-        name = lambda side, n: F.when(part(side, n).isNotNull(), F.struct(F.xxhash64("grp", F.lit(side), n, part(side, n)).alias("grp"), *([n.alias("l"), F.col("r")] if side == "l" else [F.col("l"), n.alias("r")])))
-        both = F.explode(F.array_compact(F.array(name("l", to_left), name("r", to_right)))).alias("g")
-        others = [c for c in contexts.columns if c != "grp"]
-        frontier = materialize(large.where(rest > 0).select(*others, both).select(*others, "g.grp", "g.l", "g.r"), f"{tag}-split")
-
-
-def _bytes_of(side: str, n: Column) -> Column:
-    data = F.col("behind" if side == "l" else "ahead")
-    return F.when(F.octet_length(data) >= n, F.substring(data, F.lit(1), n))
+    return hashed
 
 
 def _found(rows: DataFrame, least: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -281,13 +253,19 @@ def _found(rows: DataFrame, least: int, seed: int) -> tuple[DataFrame, DataFrame
     asked = F.struct("seed", "context", F.when(F.col("twice"), 2).otherwise(1).cast("long").alias("n"), "at.pos")
     wanted = lent.groupBy("at.key", "at.body").agg(F.collect_list(asked).alias("wanted"))
     contexts = packed(rows).join(wanted, ["key", "body"]).mapInArrow(_contexts(least, seed), "seed long, context long, n long, behind binary, ahead binary")
-    return again, materialize(contexts.select(F.col("seed").alias("grp"), "*"), "suffix-contexts")
+    return again, materialize(contexts, "suffix-contexts")
+
+
+def few_and_many(rows: DataFrame, most: int, tag: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of seeds with ``most`` different contexts at most, and those of the others."""
+    sizes = materialize(rows.groupBy("seed").agg(F.count_distinct("context").alias("different")).where(F.col("different") > most), f"{tag}-large")
+    return rows.join(sizes, "seed", "left_anti"), rows.join(sizes, "seed", "left_semi").dropDuplicates(["seed", "context"])
 
 
-def _settled(contexts: DataFrame, least: int, seed: int, most: int, settle, schema: str) -> tuple[DataFrame, DataFrame | None]:
-    fit, whole = split_groups(contexts, least, most, (0, seed), _bytes_of, "suffix")
-    done = [f.repartition("grp").sortWithinPartitions("grp", "context").mapInArrow(settle, schema) for f in fit]
-    return reduce(DataFrame.unionByName, done), whole
+def _shared_windows(many: DataFrame, least: int, seed: int) -> DataFrame:
+    windows = materialize(many.mapInArrow(_windows(least, seed), "repeat long, seed long, context long, back int, n long"), "suffix-windows")
+    window = ["repeat", "seed", "back"]
+    return windows.join(windows.groupBy(window).agg(F.sum("n").alias("total")).where("total > 1").drop("total"), window)
 
 
 def _span(left: Column | str, right: Column | str) -> list[Column]:
@@ -299,9 +277,11 @@ def _span(left: Column | str, right: Column | str) -> list[Column]:
 def _repeated_spans(rows: DataFrame, least: int, seed: int, most: int) -> DataFrame:
     """(key, body, spans)"""
     again, contexts = _found(rows, least, seed)
-    settled, whole = _settled(contexts, least, seed, most, _reaches(least), "seed long, context long, left long, right long")
-    if whole is not None:
-        settled = settled.unionByName(whole.select("seed", "context", F.col("l").cast("long").alias("left"), F.col("r").cast("long").alias("right")))
+    few, many = few_and_many(contexts, most, "suffix")
+    reach = "seed long, context long, left long, right long"
+    settled = few.repartition("seed").sortWithinPartitions("seed", "context").mapInArrow(_reaches(least), reach)
+    large = _shared_windows(many, least, seed).groupBy("seed", "context").agg(F.max("back").cast("long").alias("left"), (F.lit(least) - F.min("back")).cast("long").alias("right"))
+    settled = settled.unionByName(large)
     same = again.where("twice").select("key", "body", *_span(F.lit(least - seed), F.lit(least)))
     mixed = again.where("multi AND NOT twice").join(settled, ["seed", "context"]).select("key", "body", *_span("left", "right"))
     spans = same.unionByName(mixed).groupBy("key", "body").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
@@ -315,14 +295,14 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``least - seed`` bytes before and ``least`` after each seed in it, so a longer one is a chain of
     groups that overlap. Repeats are listed from the shortest to the longest that hold: one inside
     another has more occurrences. Null texts are empty, null ids stay null, repeated rows are one
-    occurrence each. Where more than ``most`` contexts share a whole window, that window is the repeat.
+    occurrence each. Around seeds with more than ``most`` contexts each repeated window is a group.
     """
     rows = texts(docs, id_col, text_col)
     again, contexts = _found(rows, least, seed)
+    few, many = few_and_many(contexts, most, "suffix")
     schema = "repeat long, seed long, context long, left long, right long"
-    found, whole = _settled(contexts, least, seed, most, _groups(least, seed), schema)
-    if whole is not None:
-        found = found.unionByName(whole.mapInArrow(_whole_windows(least, seed), schema))
+    found = few.repartition("seed").sortWithinPartitions("seed", "context").mapInArrow(_groups(least, seed), schema)
+    found = found.unionByName(_shared_windows(many, least, seed).select("repeat", "seed", "context", F.col("back").cast("long").alias("left"), (F.lit(least) - F.col("back")).cast("long").alias("right")))
     # A repeated context without others has no array to be in: it is a group as it stands.
     lone = again.where("NOT multi").select(F.xxhash64("seed", "context").alias("repeat"), "seed", "context", F.lit(least - seed).cast("long").alias("left"), F.lit(least).cast("long").alias("right")).distinct()
     hits = again.join(found.unionByName(lone).distinct(), ["seed", "context"])
