@@ -12,7 +12,8 @@ repeat, and all its members are occurrences. A context that occurs twice is a gr
 
 A seed with more than ``most`` different contexts isn't sorted in one task: its contexts are dealt out
 by the windows that choose the seed, and those that share a window are a group, a repeat with all its
-occurrences. A window chooses one seed, so this is linear in the text around such seeds.
+occurrences. A window chooses one seed, so this is linear in the text around such seeds. Copies of one
+text are first held against one of them, and only windows beyond what both share are looked up.
 """
 
 from __future__ import annotations
@@ -221,8 +222,11 @@ def _groups(least: int, seed: int):
     return _by_seed(settle, ["repeat", "seed", "context", "left", "right"])
 
 
-def _windows(least: int, seed: int):
-    """The windows of ``least`` bytes that choose each context's seed: (repeat, seed, context, back, n)."""
+def _windows(least: int, seed: int, which: str = "all"):
+    """The windows of ``least`` bytes that choose each context's seed: (repeat, seed, context, back, n).
+
+    which: all; edges, only the outermost two; or beyond, those outside ``left`` and ``right`` of the row.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,12 +243,35 @@ def _windows(least: int, seed: int):
                 row = np.repeat(np.arange(j - i), sizes)[: len(place)]
                 start = np.flatnonzero((np.arange(len(place)) + least <= ends[row]) & (place == at[row]))
                 row = row[start]
-                columns = [signed(hashes.slices(start, start + least)), *(part.column(c).to_numpy()[row] for c in ("seed", "context")), (at[row] - start).astype(np.int32), part.column("n").to_numpy()[row]]
+                back = at[row] - start
+                keep = np.ones(len(row), bool)
+                if which == "edges":
+                    keep[1:-1] = (row[1:-1] != row[:-2]) | (row[1:-1] != row[2:])
+                if which == "beyond":
+                    keep = (back > part.column("left").to_numpy()[row]) | (least - back > part.column("right").to_numpy()[row])
+                row, start, back = row[keep], start[keep], back[keep]
+                columns = [signed(hashes.slices(start, start + least)), *(part.column(c).to_numpy()[row] for c in ("seed", "context")), back.astype(np.int32), part.column("n").to_numpy()[row]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["repeat", "seed", "context", "back", "n"])
 
     return hashed
 
 
+def _against(least: int):
+    """How far each context is covered by what it shares with its seed's pivot; 0, 0 if that is no repeat, or it is the pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for context, pivot, a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("context", "pivot", "behind", "ahead", "pivot_behind", "pivot_ahead")), strict=True):
+                left, right = common_prefix(a, x), common_prefix(b, y)
+                out.append((left, right) if context != pivot and left + right >= least else (0, 0))
+            reach = list(zip(*out, strict=True)) or [(), ()]
+            names = ["seed", "context", "n", "behind", "ahead"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(r, pa.int64()) for r in reach)], [*names, "left", "right"])
+
+    return run
+
+
 def _found(rows: DataFrame, least: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The occurrences of repeated seeds, and the bytes of their different contexts."""
     again = repeated(rows.mapInArrow(_anchors(least, seed), FOUND), "suffix")
@@ -262,10 +289,32 @@ def few_and_many(rows: DataFrame, most: int, tag: str) -> tuple[DataFrame, DataF
     return rows.join(sizes, "seed", "left_anti"), rows.join(sizes, "seed", "left_semi").dropDuplicates(["seed", "context"])
 
 
-def _shared_windows(many: DataFrame, least: int, seed: int) -> DataFrame:
-    windows = materialize(many.mapInArrow(_windows(least, seed), "repeat long, seed long, context long, back int, n long"), "suffix-windows")
-    window = ["repeat", "seed", "back"]
-    return windows.join(windows.groupBy(window).agg(F.sum("n").alias("total")).where("total > 1").drop("total"), window)
+_WINDOW = "repeat long, seed long, context long, back int, n long"
+_ONE_WINDOW = ["repeat", "seed", "back"]
+
+
+def _repeated_windows(many: DataFrame, least: int, seed: int) -> DataFrame:
+    """(repeat, seed, back, total) of the windows that occur more than once; written down, so that joins with it are plain ones."""
+    windows = many.mapInArrow(_windows(least, seed), _WINDOW)
+    return materialize(windows.groupBy(_ONE_WINDOW).agg(F.sum("n").alias("total")).where("total > 1"), "suffix-windows")
+
+
+def _large_reaches(many: DataFrame, least: int, seed: int) -> DataFrame:
+    """(seed, context, left, right) for seeds with many contexts: by the pivot, and by windows beyond what is shared with it."""
+    many = materialize(many, "suffix-many")
+    common = _repeated_windows(many, least, seed)
+    edges = many.mapInArrow(_windows(least, seed, "edges"), _WINDOW).join(common, _ONE_WINDOW)
+    # The pivot of a seed: the context whose outermost windows are the most common; any choice is right.
+    edges = edges.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("edges"), F.min("total").alias("total"))
+    pivots = edges.groupBy("seed").agg(F.max(F.struct("edges", "total", "context")).alias("p")).select("seed", F.col("p.context").alias("context"))
+    pivots = many.join(pivots, ["seed", "context"]).select("seed", F.col("context").alias("pivot"), F.col("behind").alias("pivot_behind"), F.col("ahead").alias("pivot_ahead"))
+    pivots = materialize(pivots, "suffix-pivots")
+    none = F.lit(b"")
+    held = many.join(pivots, "seed", "left").withColumns({"pivot": F.coalesce("pivot", "context"), "pivot_behind": F.coalesce("pivot_behind", none), "pivot_ahead": F.coalesce("pivot_ahead", none)})
+    held = materialize(held.mapInArrow(_against(least), "seed long, context long, n long, behind binary, ahead binary, left long, right long"), "suffix-reaches")
+    beyond = held.mapInArrow(_windows(least, seed, "beyond"), _WINDOW).join(common.select(_ONE_WINDOW), _ONE_WINDOW)
+    beyond = beyond.groupBy("seed", "context").agg(F.max("back").cast("long").alias("left"), (F.lit(least) - F.min("back")).cast("long").alias("right"))
+    return held.where("left + right > 0").select("seed", "context", "left", "right").unionByName(beyond)
 
 
 def _span(left: Column | str, right: Column | str) -> list[Column]:
@@ -280,8 +329,7 @@ def _repeated_spans(rows: DataFrame, least: int, seed: int, most: int) -> DataFr
     few, many = few_and_many(contexts, most, "suffix")
     reach = "seed long, context long, left long, right long"
     settled = few.repartition("seed").sortWithinPartitions("seed", "context").mapInArrow(_reaches(least), reach)
-    large = _shared_windows(many, least, seed).groupBy("seed", "context").agg(F.max("back").cast("long").alias("left"), (F.lit(least) - F.min("back")).cast("long").alias("right"))
-    settled = settled.unionByName(large)
+    settled = settled.unionByName(_large_reaches(many, least, seed))
     same = again.where("twice").select("key", "body", *_span(F.lit(least - seed), F.lit(least)))
     mixed = again.where("multi AND NOT twice").join(settled, ["seed", "context"]).select("key", "body", *_span("left", "right"))
     spans = same.unionByName(mixed).groupBy("key", "body").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
@@ -302,7 +350,8 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     few, many = few_and_many(contexts, most, "suffix")
     schema = "repeat long, seed long, context long, left long, right long"
     found = few.repartition("seed").sortWithinPartitions("seed", "context").mapInArrow(_groups(least, seed), schema)
-    found = found.unionByName(_shared_windows(many, least, seed).select("repeat", "seed", "context", F.col("back").cast("long").alias("left"), (F.lit(least) - F.col("back")).cast("long").alias("right")))
+    shared = many.mapInArrow(_windows(least, seed), _WINDOW).join(_repeated_windows(many, least, seed), _ONE_WINDOW)
+    found = found.unionByName(shared.select("repeat", "seed", "context", F.col("back").cast("long").alias("left"), (F.lit(least) - F.col("back")).cast("long").alias("right")))
     # A repeated context without others has no array to be in: it is a group as it stands.
     lone = again.where("NOT multi").select(F.xxhash64("seed", "context").alias("repeat"), "seed", "context", F.lit(least - seed).cast("long").alias("left"), F.lit(least).cast("long").alias("right")).distinct()
     hits = again.join(found.unionByName(lone).distinct(), ["seed", "context"])
