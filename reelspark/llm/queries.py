@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import chat_format, credential_scan, cube_mix, ngram_join, order_minhash, rlz_dedup, suffix_dedup, tiling_decontam, token_output, toxicity
+from reelspark.llm import chat_format, collocations, credential_scan, cube_mix, fill_middle, kd_shards, ngram_join, order_minhash, rlz_dedup, suffix_dedup, tiling_decontam, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -71,6 +71,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chats)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.transform(_table(spark, sf_dir, "documents")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shards(_table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"], n_shards=40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_output": op2_token_output,
@@ -82,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tiling_decontam": op8_tiling_decontam,
     "op9_order_minhash": op9_order_minhash,
     "op10_chat_format": op10_chat_format,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_collocations": op12_collocations,
+    "op13_kd_shards": op13_kd_shards,
 }
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 ORACLE_SQL: dict[str, str] = {
@@ -122,5 +137,37 @@ SELECT conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(n_role + n_text + length('<|im_start|>') + 1 + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM said GROUP BY conv_id
+""",
+    "op11_fill_middle": r"""
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), d AS (
+    SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM t
+), c AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces
+), f AS MATERIALIZED (
+    SELECT lang, p, k, count(*) AS a FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) AS r(k))) GROUP BY ALL HAVING count(*) >= 30
+), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), c AS (SELECT lang, string_split(p, ' ') AS p, a FROM f WHERE k > 1
+), cuts AS (
+    SELECT c.lang, c.p, c.a, c.k, x.a AS l, y.a AS r, 2000000::HUGEINT * c.a // (x.a + y.a) AS score
+    FROM (SELECT *, unnest(range(1, len(p))) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.p = array_to_string(c.p[1:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.p = array_to_string(c.p[c.k + 1:], ' ')
+), s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, p[i:i + k - 1] AS p, max(a) AS around FROM (SELECT *, unnest(range(1, len(p) - k + 2)) AS i FROM c, range(2, 4) AS r(k) WHERE k < len(p)) GROUP BY ALL
+), kept AS (
+    SELECT s.*, array_to_string(s.p, ' ') AS phrase FROM s LEFT JOIN inside USING (lang, p) WHERE around IS NULL OR 100 * around < 80 * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """,
 }
