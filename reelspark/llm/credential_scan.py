@@ -28,9 +28,9 @@ REACH = 200
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_WEAK = re.compile(r"""(?:\b(?:pwd|pass|pin|auth|bearer|credential|private_key)["']?\x20*[:=]?\x20+["']?[A-Za-z0-9+/_.=-]{4,})|(?<![A-Za-z0-9+/])(?=[a-z+/0-9]*[A-Z])(?=[A-Z+/0-9]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])""", re.A)
+_WEAK = re.compile(r"""(?:\b(?:pwd|pass|pin|auth|bearer|credential|private_key)["']?(?:\x20*+[:=]\x20++|\x20++)["']?[A-Za-z0-9+/_.=-]{4,})|(?<![A-Za-z0-9+/])(?=[a-z+/0-9]*[A-Z])(?=[A-Z+/0-9]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])""", re.A)
 _IDENTIFIER = re.compile(r"""\b(?:user|username|login|account|client_id|access_key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{2,}""", re.I | re.A)
-_ENDPOINT = re.compile(r"""(?:https?|ftp|ssh|jdbc|postgres|mysql|mongodb|redis|s3)[a-z:]*://[^\s"'<>]+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?(?![\d.])""", re.A)
+_ENDPOINT = re.compile(r"""(?:https?|ftp|ssh|jdbc|postgres|mysql|mongodb|redis|s3)[a-z:]{0,32}://[^\s"'<>]+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?(?![\d.])""", re.A)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("scope", pa.int64())]))
@@ -80,7 +80,7 @@ def _scopes(breaks: list[int]):
 
 
 def _linked(found: DataFrame, reach: int) -> DataFrame:
-    """(row, start, kind, end) of the weak parts with a complementary part within reach in their own row."""
+    """(row, start, kind, end, with_kind, with_start, with_end) of the weak parts with a complementary part within reach in their own row: the nearest, of equally near ones the one before."""
     part = F.explode(F.concat("base", "parts")).alias("p")
     rows = found.where(F.size("parts") > 0).select("row", part).select("row", "p.*")
     # 0: something secret, 1: who, 2: where
@@ -88,24 +88,30 @@ def _linked(found: DataFrame, reach: int) -> DataFrame:
     scope = Window.partitionBy("row", "scope").orderBy("start", "kind", "end")
     before, after = scope.rowsBetween(Window.unboundedPreceding, -1), scope.rowsBetween(1, Window.unboundedFollowing)
 
-    def near(cls: int) -> Column:
-        last = F.max(F.when(F.col("cls") == cls, F.col("end"))).over(before)
-        first = F.min(F.when(F.col("cls") == cls, F.col("start"))).over(after)
-        return F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(first - F.col("end") <= reach, F.lit(False))
+    def near(cls: int) -> tuple[Column, Column]:
+        own = F.col("cls") == cls
+        last = F.max(F.when(own, F.struct("end", "start", "kind"))).over(before)
+        first = F.min(F.when(own, F.struct("start", "end", "kind"))).over(after)
+        gaps = F.greatest(F.col("start") - last["end"], F.lit(0)), F.greatest(first["start"] - F.col("end"), F.lit(0))
+        return tuple(F.when(gap <= reach, F.struct(gap.alias("gap"), F.lit(i).alias("side"), x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))) for i, (gap, x) in enumerate(zip(gaps, (last, first), strict=True)))
 
-    rows = rows.select("*", near(0).alias("near0"), near(1).alias("near1"), near(2).alias("near2"))
-    together = F.when(F.col("cls") == 0, F.col("near1") | F.col("near2")).otherwise(F.col("near0"))
-    return rows.where((F.col("kind") >= STRONG) & together).select("row", "start", "kind", "end")
+    secret, who, where = (near(cls) for cls in (0, 1, 2))
+    rows = rows.withColumn("partner", F.when(F.col("cls") == 0, F.least(*who, *where)).otherwise(F.least(*secret)))
+    rows = rows.where((F.col("kind") >= STRONG) & F.col("partner").isNotNull())
+    return rows.select("row", "start", "kind", "end", F.col("partner.kind").alias("with_kind"), F.col("partner.start").alias("with_start"), F.col("partner.end").alias("with_end"))
+
+
+def _shown(kind: Column, start: Column, end: Column) -> Column:
+    return F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), kind + 1), start.cast("string"), end.cast("string"))
 
 
 def _listed(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
-    shown = F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string")))
-    return F.array_join(shown, ",")
+    return F.array_join(F.transform(F.array_sort(spans), lambda s: _shown(s["kind"], s["start"], s["end"])), ",")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """One row per input row: id, ``base`` and ``linked`` (arrays of start, kind, end in code points).
+    """One row per input row: id, ``base`` and ``linked`` (arrays of start, kind, end in code points), and
+    ``links``: each linked span again, with the kind, start and end of the part that completes it.
 
     A null text is empty and has no spans; a null id stays null. Rows are numbered when their spans
     are written, and parts link within their row only, so rows that share an id, or repeat, each have
@@ -114,14 +120,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     """
     found = texts(docs, id_col, text_col).mapInArrow(_scan, _SCHEMA)
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "credentials")
-    linked = _linked(found, reach).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
+    linked = _linked(found, reach).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "with_kind", "with_start", "with_end"))).alias("links"))
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
-    return found.join(linked, "row", "left").select(id_value("key").alias(id_col), plain.alias("base"), F.coalesce("linked", none).alias("linked"))
+    none = F.array().cast("array<struct<start:long,kind:int,end:long,with_kind:int,with_start:long,with_end:long>>")
+    out = found.join(linked, "row", "left").select(id_value("key").alias(id_col), plain.alias("base"), F.coalesce("links", none).alias("links"))
+    return out.select(id_col, "base", F.transform("links", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("linked"), "links")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of ``scan``'s rows: counts of each base kind, a hash of the base spans, and all spans as text; no spans give an empty text."""
+    """Of ``scan``'s rows: counts of each base kind, a hash of the base spans, all spans as text, and what completes
+    which, as span>span; no spans give empty texts."""
+    completed = F.transform("links", lambda s: F.concat_ws(">", _shown(s["kind"], s["start"], s["end"]), _shown(s["with_kind"], s["with_start"], s["with_end"])))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         id_col,
@@ -130,4 +139,5 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         count(2).alias("n_hex"),
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.concat("base", "linked")).alias("spans"),
+        F.array_join(completed, ",").alias("links"),
     )
