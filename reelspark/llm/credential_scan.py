@@ -92,8 +92,8 @@ def _linked(found: DataFrame, reach: int) -> DataFrame:
         own = F.col("cls") == cls
         last = F.max(F.when(own, F.struct("end", "start", "kind"))).over(before)
         first = F.min(F.when(own, F.struct("start", "end", "kind"))).over(after)
-        gaps = F.greatest(F.col("start") - last["end"], F.lit(0)), F.greatest(first["start"] - F.col("end"), F.lit(0))
-        return tuple(F.when(gap <= reach, F.struct(gap.alias("gap"), F.lit(i).alias("side"), x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))) for i, (gap, x) in enumerate(zip(gaps, (last, first), strict=True)))
+        gaps = F.col("start") - last["end"], first["start"] - F.col("end")
+        return tuple(F.when(gap <= reach, F.struct(F.when(gap > 0, gap).otherwise(0).alias("gap"), F.lit(i).alias("side"), x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))) for i, (gap, x) in enumerate(zip(gaps, (last, first), strict=True)))
 
     secret, who, where = (near(cls) for cls in (0, 1, 2))
     rows = rows.withColumn("partner", F.when(F.col("cls") == 0, F.least(*who, *where)).otherwise(F.least(*secret)))
