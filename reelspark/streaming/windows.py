@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_time(events: DataFrame, ts: str = "ts") -> DataFrame:
@@ -27,18 +23,3 @@ def pooled(events: DataFrame, keys: list[str], length: str, late: str, value: st
     e = event_time(events, ts).withWatermark(ts, late)
     out = e.groupBy(F.window(ts, length, slide).alias("w"), *keys).agg(((F.max(value) + F.avg(value)) / 2).alias("pooled"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     return out.select(*keys, F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "pooled", "mean", "std")
-
-
-def running(events: DataFrame, key: str, order: str, value: str, beta: float = 0.9) -> DataFrame:
-    """(key, n, ema, best): exponential average and best value so far of each key, after each batch; state is three numbers a key."""
-    key_type = events.schema[key].dataType.simpleString()
-
-    def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, ema, best = state.get if state.exists else (0, 0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(order)
-        for x in rows[value]:
-            ema, best, n = (x, x, 1) if n == 0 else (beta * ema + (1 - beta) * x, max(best, x), n + 1)
-        state.update((n, ema, best))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "ema": [ema], "best": [best]})
-
-    return events.select(key, order, value).groupBy(key).applyInPandasWithState(fold, f"`{key}` {key_type}, n long, ema double, best double", "n long, ema double, best double", "update", GroupStateTimeout.NoTimeout)
