@@ -6,6 +6,7 @@ copies at both ends are added, so no sequence is gathered into one array.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -124,45 +125,128 @@ def local_extrema(rows: DataFrame, keys: list[str], order: str, value: str) -> D
     return rows.select(*keys, order, value, kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def _prominent(x: np.ndarray, least: float, distance: int) -> list[tuple[int, float]]:
-    """(place, prominence) of local maxima (the middle of a flat top), thinned to ``distance`` from the highest down, with ``least`` prominence."""
-    edges = np.flatnonzero(np.diff(x)) + 1
-    starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(x)]])
-    tops = [int((s + e - 1) // 2) for k, (s, e) in enumerate(zip(starts, ends, strict=True)) if 0 < k < len(starts) - 1 and x[starts[k - 1]] < x[s] > x[starts[k + 1]]]
-    kept: list[int] = []
-    for p in sorted(tops, key=lambda p: (x[p], p), reverse=True):
-        if all(abs(p - q) >= distance for q in kept):
-            kept.append(p)
-    out = []
-    for p in sorted(kept):
-        higher = np.flatnonzero(x > x[p])
-        left, right = higher[higher < p], higher[higher > p]
-        base = max(x[(left[-1] if len(left) else 0) : p + 1].min(), x[p : (right[0] if len(right) else len(x)) + 1].min())
-        if x[p] - base >= least:
-            out.append((p, float(x[p] - base)))
-    return out
+#: Rows of a block of a sequence, in the search for higher rows.
+BLOCK_ROWS = 1024
 
 
-#: Fixed value: a score stands for the frame so many after its place: the first compares frame 2 with frame 1.
-FRAME_OF_SCORE = 2
+def _tops(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, p, y) of numbered rows (keys, i, x): the middles of runs above (y = x) or, for valleys (y = -x), below both neighbouring runs."""
+    by = Window.partitionBy(*keys).orderBy("i")
+    r = rows.withColumn("new", F.coalesce((F.col("x") != F.lag("x").over(by)).cast("int"), F.lit(0)))
+    r = r.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    r = r.groupBy(*keys, "run").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.first("x").alias("x"))
+    runs = Window.partitionBy(*keys).orderBy("run")
+    before, after = F.lag("x").over(runs), F.lead("x").over(runs)
+    kind = F.when((before < F.col("x")) & (after < F.col("x")), "peak").when((before > F.col("x")) & (after > F.col("x")), "valley")
+    r = r.withColumn("kind", kind).where("kind IS NOT NULL")
+    return r.select(*keys, "kind", F.floor((F.col("a") + F.col("b")) / 2).alias("p"), F.when(F.col("kind") == "peak", F.col("x")).otherwise(-F.col("x")).alias("y"))
 
 
-def peaks_and_valleys(rows: DataFrame, keys: list[str], order: str, value: str, prominence: float = 0.05, distance: int = 5, most: int = 100) -> DataFrame:
-    """(keys, order, frame, value, kind, prominence): prominent peaks and valleys in time order, the ``most`` most prominent of both.
+def _thinned(tops: DataFrame, keys: list[str], distance: int) -> DataFrame:
+    """``tops`` without those nearer than ``distance`` to one that is kept, from the highest down, later ones first on ties.
 
-    Of equally prominent ones the earlier goes first; a peak before a valley. One sequence is one task.
+    What is kept depends on a chain of near ones alone, so each chain is a row, and a task has many.
+    """
+    if distance <= 1:
+        return tops
+    by = Window.partitionBy(*keys, "kind").orderBy("p")
+    apart = F.coalesce((F.col("p") - F.lag("p").over(by) >= distance).cast("int"), F.lit(0))
+    chains = tops.withColumn("apart", apart).withColumn("chain", F.sum("apart").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = chains.groupBy(*keys, "kind", "chain").agg(F.sort_array(F.collect_list(F.struct("y", "p")), asc=False).alias("tops"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chains.drop("tops", "chain").schema.fields)
+
+    def keep(batches):
+        for batch in batches:
+            out = []
+            for tops_ in batch["tops"]:
+                kept: list[int] = []
+                for t in tops_:
+                    at = bisect.bisect(kept, t["p"])
+                    if (at == 0 or t["p"] - kept[at - 1] >= distance) and (at == len(kept) or kept[at] - t["p"] >= distance):
+                        kept.insert(at, t["p"])
+                out.append([t for t in tops_ if t["p"] in set(kept)])
+            yield batch[[*keys, "kind"]].assign(tops=out)
+
+    return chains.drop("chain").mapInPandas(keep, f"{fields}, tops array<struct<y:double,p:long>>").select(*keys, "kind", F.inline("tops")).select(*keys, "kind", "p", "y")
+
+
+def _sides(x: np.ndarray, at: int, y: float) -> tuple[float, float, bool, bool]:
+    """Of a block's values: the least between a place and the nearest higher one on its left and right, and whether there is one."""
+    left, right = np.flatnonzero(x[:at] > y), np.flatnonzero(x[at + 1 :] > y)
+    low = lambda part: float(part.min()) if len(part) else math.inf
+    return low(x[left[-1] + 1 if len(left) else 0 : at]), low(x[at + 1 : at + 1 + right[0] if len(right) else len(x)]), bool(len(left)), bool(len(right))
+
+
+def _prominences(rows: DataFrame, tops: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``tops`` with ``prominence``: how far each stands above the higher of the least values between it and the next higher row on either side.
+
+    A sequence is cut into blocks. Each block looks for higher rows in itself, then in the other blocks' highest and
+    lowest values; the block where the next higher row must be is asked in a second step.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, order).schema.fields)
+    blocks = rows.withColumn("block", F.floor(F.col("i") / size)).groupBy(*keys, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("xs"))
+    ends = blocks.select(*keys, F.struct("block", F.array_max("xs").alias("high"), F.array_min("xs").alias("low")).alias("end")).groupBy(*keys).agg(F.array_sort(F.collect_list("end")).alias("ends"))
+    asked = tops.withColumn("block", F.floor(F.col("p") / size)).groupBy(*keys, "block").agg(F.collect_list(F.struct("kind", "p", "y")).alias("tops"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tops.select(*keys).schema.fields)
+
+    def own(batches):
+        for batch in batches:
+            out = []
+            for *key, block, xs, ends_, tops_ in zip(*(batch[c] for c in (*keys, "block", "xs", "ends", "tops")), strict=True):
+                values, high, low = np.asarray(xs, float), np.array([e["high"] for e in ends_]), np.array([e["low"] for e in ends_])
+                for t in tops_:
+                    peak = t["kind"] == "peak"
+                    tall, deep = (high, low) if peak else (-low, -high)
+                    left, right, l_done, r_done = _sides(values if peak else -values, t["p"] - block * size, t["y"])
+                    targets = [None, None]
+                    if not l_done:
+                        over = np.flatnonzero(tall[:block] > t["y"])
+                        targets[0] = int(over[-1]) if len(over) else None
+                        left = min(left, float(deep[(over[-1] + 1 if len(over) else 0) : block].min(initial=math.inf)))
+                    if not r_done:
+                        over = np.flatnonzero(tall[block + 1 :] > t["y"]) + block + 1
+                        targets[1] = int(over[0]) if len(over) else None
+                        right = min(right, float(deep[block + 1 : over[0] if len(over) else len(deep)].min(initial=math.inf)))
+                    out.append((*key, t["kind"], t["p"], t["y"], left, right, *targets))
+            yield pd.DataFrame(out, columns=[*keys, "kind", "p", "y", "left", "right", "to0", "to1"]).astype({"to0": "Int64", "to1": "Int64"})
+
+    found = blocks.join(ends, keys).join(asked, [*keys, "block"]).mapInPandas(own, f"{fields}, kind string, p long, y double, left double, right double, to0 long, to1 long")
+    on = [*keys, "kind", "p", "y"]
+    sides = found.select(*on, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(low).alias("low"), F.col(f"to{i}").alias("to")) for i, low in enumerate(("left", "right"))])).alias("s")).select(*on, "s.*")
+    there = sides.where("to IS NOT NULL").groupBy(*keys, F.col("to").alias("block")).agg(F.collect_list(F.struct("kind", "p", "y", "side", "low")).alias("tops"))
+
+    def other(batches):
+        for batch in batches:
+            out = []
+            for *key, xs, tops_ in zip(*(batch[c] for c in (*keys, "xs", "tops")), strict=True):
+                values = np.asarray(xs, float)
+                for t in tops_:
+                    x = values if t["kind"] == "peak" else -values
+                    part = _sides(x, len(x), t["y"])[0] if t["side"] == 0 else _sides(x, -1, t["y"])[1]
+                    out.append((*key, t["kind"], t["p"], t["y"], t["side"], min(t["low"], part)))
+            yield pd.DataFrame(out, columns=[*keys, "kind", "p", "y", "side", "low"])
+
+    settled = there.join(blocks, [*keys, "block"]).mapInPandas(other, f"{fields}, kind string, p long, y double, side int, low double")
+    every = sides.where("to IS NULL").select(*on, "side", "low").unionByName(settled.select(*on, "side", "low"))
+    low = every.groupBy(*on).agg(F.max(F.least("low", "y")).alias("base"))
+    return low.select(*on, (F.col("y") - F.col("base")).alias("prominence"))
 
-    def find(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, ignore_index=True)
-        x = g[value].to_numpy(float)
-        found = [(i, kind, p) for kind, y in (("peak", x), ("valley", -x)) for i, p in _prominent(y, prominence, distance)]
-        found = sorted(sorted(sorted(found), key=lambda f: -f[2])[:most])
-        at = [i for i, _, _ in found]
-        return g.loc[at, [*keys, order]].assign(frame=[i + FRAME_OF_SCORE for i in at], value=x[at], kind=[k for _, k, _ in found], prominence=[p for _, _, p in found])
 
-    return rows.select(*keys, order, value).groupBy(*keys).applyInPandas(find, f"{fields}, frame long, value double, kind string, prominence double")
+#: Fixed value: a score stands for the frame so many after its place: the first compares frame 2 with frame 1.
+FRAME_OF_SCORE = 2
+
+
+def peaks_and_valleys(rows: DataFrame, keys: list[str], order: str, value: str, prominence: float = 0.05, distance: int = 5, most: int = 100, block: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, order, frame, value, kind, prominence): prominent peaks and valleys, the ``most`` most prominent of both.
+
+    Of equally prominent ones the earlier goes first; a peak before a valley. Rows without a value are left out.
+    A sequence is spread over tasks by blocks of ``block`` rows.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    r = rows.where(F.col(value).isNotNull()).select(*keys, order, F.col(value).cast("double").alias("x"), place.cast("long").alias("i"))
+    found = _prominences(r.select(*keys, "i", "x"), _thinned(_tops(r.select(*keys, "i", "x"), keys), keys, distance), keys, block).where(F.col("prominence") >= prominence)
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("prominence"), "p", "kind"))
+    found = found.withColumn("best", best).where(F.col("best") <= most).select(*keys, F.col("p").alias("i"), "kind", "prominence")
+    return found.join(r, [*keys, "i"]).select(*keys, order, (F.col("i") + FRAME_OF_SCORE).alias("frame"), F.col("x").alias("value"), "kind", "prominence")
 
 
 def analyzer_summary(rows: DataFrame, found: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -397,9 +397,24 @@ def kernel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.kernel_segmented(f, ["label"], "pos", "embedding", "quality", 3, 8)
 
 
-@query()
+_PEAKS = f"""{_SIGNAL}, k AS (SELECT user_id, t, kind, value, CASE kind WHEN 'peak' THEN value ELSE -value END AS y FROM s, (VALUES ('peak'), ('valley')) AS v(kind)
+), g AS (SELECT *, coalesce((y <> lag(y) OVER (PARTITION BY user_id, kind ORDER BY t))::INT, 0) AS new FROM k
+), u AS (SELECT *, sum(new) OVER (PARTITION BY user_id, kind ORDER BY t) AS run FROM g
+), r AS (SELECT user_id, kind, run, min(t) AS a, max(t) AS b, any_value(y) AS y FROM u GROUP BY ALL
+), tops AS (SELECT user_id, kind, (a + b) // 2 AS p, y FROM (SELECT *, lag(y) OVER w AS l, lead(y) OVER w AS n FROM r WINDOW w AS (PARTITION BY user_id, kind ORDER BY run)) WHERE l < y AND n < y
+), q AS (SELECT user_id, kind, list({{'y': y, 'p': p}} ORDER BY y DESC, p DESC) AS rest FROM tops GROUP BY ALL
+), z AS (
+    SELECT user_id, kind, rest[1].p AS p, rest[1].y AS y, list_filter(rest, lambda v: abs(v.p - rest[1].p) >= 5) AS rest FROM q
+    UNION ALL SELECT user_id, kind, rest[1].p, rest[1].y, list_filter(rest, lambda v: abs(v.p - rest[1].p) >= 5) FROM z WHERE len(rest) > 0
+), h AS (SELECT z.user_id, z.kind, z.p, z.y, coalesce(max(k.t) FILTER (k.t < z.p AND k.y > z.y), 0) AS a, coalesce(min(k.t) FILTER (k.t > z.p AND k.y > z.y), max(k.t)) AS b FROM z JOIN k USING (user_id, kind) GROUP BY ALL
+), m AS (SELECT h.user_id, h.kind, h.p, h.y, h.y - greatest(min(k.y) FILTER (k.t BETWEEN h.a AND h.p), min(k.y) FILTER (k.t BETWEEN h.p AND h.b)) AS prominence FROM h JOIN k USING (user_id, kind) GROUP BY h.user_id, h.kind, h.p, h.y, h.a, h.b
+), peaks AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prominence DESC, p, kind) AS best FROM m WHERE prominence >= 0.05 QUALIFY best <= 100)"""
+
+
+@query(f"WITH RECURSIVE {_PEAKS} SELECT user_id, p AS t, p + 2 AS frame, round(CASE kind WHEN 'peak' THEN y ELSE -y END, 6) AS value, kind, round(prominence, 6) AS prominence FROM peaks")
 def peaks_and_valleys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.peaks_and_valleys(signal_rows(spark, sf_dir), ["user_id"], "t", "value")
+    found = signal.peaks_and_valleys(signal_rows(spark, sf_dir), ["user_id"], "t", "value")
+    return found.select("user_id", "t", "frame", _r("value").alias("value"), "kind", _r("prominence").alias("prominence"))
 
 
 @query()

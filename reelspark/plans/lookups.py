@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import scalars
 from reelspark.functions import vectors as V
 from reelspark.operators import batch, distance, layout, metrics, sampling, scenes, selection, signal
-from reelspark.plans.catalog import _BLOCKS, _FRAMES, _KEYS3, _SIGNAL, _TIME, _VIDEOS, _r, _three_keys, query
+from reelspark.plans.catalog import _BLOCKS, _FRAMES, _KEYS3, _PEAKS, _SIGNAL, _TIME, _VIDEOS, _r, _three_keys, query
 from reelspark.plans.tables import frames, table, videos
 from reelspark.plans.tables import signal as signal_rows
 
@@ -262,11 +262,16 @@ def image_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "pos", _r("psnr", 5).alias("psnr"), _r("half_square").alias("half_square"), _r("dssim").alias("dssim"))
 
 
-@query(f"""WITH {_SIGNAL}, x AS (SELECT user_id, t, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT user_id, round(avg(value), 6) AS mean_score, min(value) AS min_score, max(value) AS max_score,
-count(*) FILTER ((value > a AND value > b) OR (value < a AND value < b)) AS n_keyframes, count(*) FILTER (value > a AND value > b) AS n_peaks, count(*) FILTER (value < a AND value < b) AS n_valleys FROM x GROUP BY user_id""")
+@query(f"""WITH RECURSIVE {_PEAKS}, c AS (SELECT user_id, count(*) AS n_keyframes, count(*) FILTER (kind = 'peak') AS n_peaks, count(*) FILTER (kind = 'valley') AS n_valleys FROM peaks GROUP BY user_id), means AS (SELECT user_id, round(avg(value), 6) AS mean_score, min(value) AS min_score, max(value) AS max_score FROM s GROUP BY user_id)
+SELECT means.*, coalesce(n_keyframes, 0) AS n_keyframes, coalesce(n_peaks, 0) AS n_peaks, coalesce(n_valleys, 0) AS n_valleys FROM means LEFT JOIN c USING (user_id)""")
 def analyzer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signal_rows(spark, sf_dir)
-    return signal.analyzer_summary(s, signal.local_extrema(s, ["user_id"], "t", "value"), ["user_id"], "value").withColumn("mean_score", _r("mean_score"))
+    return signal.analyzer_summary(s, signal.peaks_and_valleys(s, ["user_id"], "t", "value"), ["user_id"], "value").withColumn("mean_score", _r("mean_score"))
+
+
+@query(f"""WITH {_SIGNAL}, x AS (SELECT user_id, t, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT user_id, t, value, CASE WHEN value > a THEN 'peak' ELSE 'valley' END AS kind FROM x WHERE (value > a AND value > b) OR (value < a AND value < b)""")
+def local_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal.local_extrema(signal_rows(spark, sf_dir), ["user_id"], "t", "value")
 
 
 @query("""WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand), c AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1 AS priority_rank FROM part) SELECT p_partkey, priority_rank FROM c""")

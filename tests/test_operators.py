@@ -271,15 +271,56 @@ def test_kernel_segments_cover(spark):
 def test_peaks_and_valleys_by_prominence(spark):
     x = [0.0, 1.0, 0.9, 0.95, 0.2, 0.6, 0.5, 2.0, 0.0, 0.3, 0.1]
     rows = spark.createDataFrame([(0, i, v) for i, v in enumerate(x)], "g int, t long, x double")
-    got = [(r["t"], r["frame"], r["kind"], round(r["prominence"], 6)) for r in signal.peaks_and_valleys(rows, ["g"], "t", "x", 0.05, 1).collect()]
+    got = [(r["t"], r["frame"], r["kind"], round(r["prominence"], 6)) for r in signal.peaks_and_valleys(rows, ["g"], "t", "x", 0.05, 1).orderBy("t").collect()]
     assert got == [(1, 3, "peak", 0.8), (4, 6, "valley", 0.8), (5, 7, "peak", 0.1), (6, 8, "valley", 0.1), (7, 9, "peak", 2.0), (8, 10, "valley", 0.3), (9, 11, "peak", 0.2)]
-    kept = [r["t"] for r in signal.peaks_and_valleys(rows, ["g"], "t", "x", 0.05, 1, 3).collect()]
+    kept = [r["t"] for r in signal.peaks_and_valleys(rows, ["g"], "t", "x", 0.05, 1, 3).orderBy("t").collect()]
     assert kept == [1, 4, 7]  # the most prominent, not the farthest from the mean
-    assert [r["t"] for r in signal.peaks_and_valleys(rows, ["g"], "t", "x", 0.5, 5).where("kind = 'peak'").collect()] == [1, 7]
+    assert [r["t"] for r in signal.peaks_and_valleys(rows, ["g"], "t", "x", 0.5, 5).where("kind = 'peak'").orderBy("t").collect()] == [1, 7]
     s = signal.analyzer_summary(rows, signal.peaks_and_valleys(rows, ["g"], "t", "x", 0.5, 5), ["g"], "x").first()
     assert (s["n_peaks"], s["max_score"]) == (2, 2.0)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 57, 1500])
+def test_median_distance(n, monkeypatch):
+    if n < 100:
+        monkeypatch.setattr(segment, "TILE_ROWS", 7)
+    x = np.random.default_rng(n).normal(size=(n, 3)) + (np.arange(n) % 3)[:, None]
+    d = ((x[:, None] - x[None]) ** 2).sum(2)[np.triu_indices(n, 1)]
+    assert segment.median_distance(x) == pytest.approx(np.median(d) if n > 1 else 1.0)
+    assert segment.median_distance(np.ones((5, 2))) == pytest.approx(0.0, abs=1e-9)
+
+
+def plain_prominent(x, least, distance):
+    """(place, prominence) of the maxima of one sequence, by looking at every row."""
+    edges = [i for i in range(1, len(x)) if x[i] != x[i - 1]]
+    runs = list(zip([0, *edges], [*edges, len(x)], strict=True))
+    tops = [(s + e - 1) // 2 for (a, _), (s, e), (b, _) in zip(runs, runs[1:], runs[2:], strict=False) if x[a] < x[s] > x[b]]
+    kept = []
+    for p in sorted(tops, key=lambda p: (x[p], p), reverse=True):
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(p)
+    for p in sorted(kept):
+        left = max((i for i in range(p) if x[i] > x[p]), default=0)
+        right = min((i for i in range(p + 1, len(x)) if x[i] > x[p]), default=len(x) - 1)
+        height = x[p] - max(min(x[left : p + 1]), min(x[p : right + 1]))
+        if height >= least:
+            yield p, height
+
+
+@pytest.mark.parametrize(("block", "distance"), [(1, 3), (4, 1), (7, 5), (1024, 5)])
+def test_peaks_over_blocks(spark, block, distance):
+    rng = random.Random(block)
+    walk = [0.0]
+    for _ in range(210):
+        walk.append(round(walk[-1] + rng.choice([-1.0, -0.5, 0.0, 0.0, 0.5, 1.0]), 3))
+    sequences = {"walk": walk, "noise": [round(rng.random(), 1) for _ in range(90)], "flat": [1.0] * 20, "up": [float(i) for i in range(30)], "one": [2.0], "saw": [float(i % 7 - (i % 2) * 3) for i in range(60)]}
+    rows = spark.createDataFrame([(g, i, v) for g, x in sequences.items() for i, v in enumerate(x)], "g string, t long, x double").repartition(3)
+    got = {(r["g"], r["t"], r["kind"]): r["prominence"] for r in signal.peaks_and_valleys(rows, ["g"], "t", "x", 0.3, distance, 1000, block).collect()}
+    want = {(g, p, kind): h for g, x in sequences.items() for kind, y in (("peak", x), ("valley", [-v for v in x])) for p, h in plain_prominent(y, 0.3, distance)}
+    assert got == pytest.approx(want)
+    assert len(got) > 40
+
+
 @pytest.mark.parametrize("beta", [0.0, 0.3, 0.9, 1.0])
 def test_ema(spark, beta):
     rng = np.random.default_rng(4)
