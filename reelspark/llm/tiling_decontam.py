@@ -6,8 +6,9 @@ until none of ``least`` words is left; marked words are not used twice. The shar
 words under tiles decides: the tiles may come in any order, so reordered passages are caught too.
 
 The corpus is read once, however many items there are: a filter of fixed size over the items' seeds
-goes to every task, and only what passes it, stretches of seeds, takes part in the join. Pairs whose
-shared seeds can't cover enough of the item are left out before their words are looked at.
+goes to every task, and only what passes it, stretches of seeds, takes part in the join. An item is looked up by
+its rarer seeds alone: the most common ones, as long as they cover less of it than a contamination needs, are
+left out, so prompt lines that many items and documents share form no pairs.
 
 An item of fewer than ``least`` words is too short to tell where it stands in a text: it only
 contaminates documents that consist of it.
@@ -195,6 +196,42 @@ def _filter(items: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
+def _indexed(least: int, coverage: float):
+    """(item_row, seed): the seeds by which an item is looked up. Those left out, the most common first, cover too little
+    of the item for a contamination, so a document that contaminates has one of the others. An item whose
+    seeds that occur at all cover too little has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, seeds = [], []
+            for item, n, spots in zip(*(batch.column(c).to_pylist() for c in ("item_row", "n_words", "spots")), strict=True):
+                size, covered, left, kept = min(least, n), np.zeros(n, bool), 0, []
+                for s in sorted(spots, key=lambda s: (-s["cost"], s["place"])):
+                    part = covered[s["place"] : s["place"] + size]
+                    new = size - int(np.count_nonzero(part))
+                    if left + new < coverage * n:
+                        left += new
+                        part[:] = True
+                    else:
+                        kept.append(s["seed"])
+                rows += [item] * len(set(kept))
+                seeds += sorted(set(kept))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(seeds, pa.int64())], ["item_row", "seed"])
+
+    return run
+
+
+def _candidates(items: DataFrame, found: DataFrame, least: int, coverage: float) -> DataFrame:
+    """(row, item_row) of the pairs that share an indexed seed: a line that many items and documents have forms no pairs by itself."""
+    of_docs = found.select("row", F.explode("seeds").alias("seed"))
+    of_items = items.select("item_row", "n_words", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item_row", "n_words", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
+    in_items, in_docs = of_items.groupBy("seed").agg(F.count(F.lit(1)).alias("n_items")), of_docs.groupBy("seed").agg(F.count(F.lit(1)).alias("n_docs"))
+    cost = materialize(in_items.join(in_docs, "seed").select("seed", (F.col("n_items").cast("double") * F.col("n_docs")).alias("cost")), "tiling-seeds")
+    spots = of_items.join(cost, "seed").groupBy("item_row", "n_words").agg(F.collect_list(F.struct("cost", "place", "seed")).alias("spots"))
+    index = materialize(spots.mapInArrow(_indexed(least, coverage), "item_row long, seed long"), "tiling-index")
+    return of_docs.join(index, "seed").select("row", "item_row").distinct()
+
+
 def _contaminated(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, least: int, coverage: float) -> DataFrame:
     """(key, body, item, n_words, n_covered, n_tiles, tiles) of the contaminated pairs, for each row of (key, body, text)."""
     bench = benchmark.select(F.xxhash64(id_key(benchmark[item_col]), text_hash(benchmark[item_text_col])).alias("item_row"), id_key(benchmark[item_col]).alias("item"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("text"))
@@ -204,12 +241,7 @@ def _contaminated(rows: DataFrame, benchmark: DataFrame, item_col: str, item_tex
     found = rows.mapInArrow(_stretches(least, held), "key long, body long, seeds array<long>, starts array<int>, sizes array<int>, words binary")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "tiling-stretches")
 
-    of_items = items.select("item_row", "n_words", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item_row", "n_words", "s.seeds", "s.places").withColumnRenamed("seeds", "seed")
-    shared = found.select("row", F.explode("seeds").alias("seed")).join(of_items, "seed")
-    pairs = shared.groupBy("row", "item_row", "n_words").agg(F.sort_array(F.collect_set("places")).alias("at"))
-    # Words of the item under seeds that both have: no tiling covers more.
-    under = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda s, p: F.struct((s["n"] + p + least - F.greatest(p, s["to"])).alias("n"), (p + least).alias("to")))
-    pairs = pairs.where(F.least(under["n"].cast("long"), F.col("n_words")) >= coverage * F.col("n_words")).select("row", "item_row")
+    pairs = _candidates(items, found, least, coverage)
     pairs = pairs.join(items.select("item_row", "item", "n_words", F.col("words").alias("item_words")), "item_row").join(found.drop("seeds"), "row")
     return pairs.select("key", "body", "item", "n_words", "item_words", "starts", "sizes", "words").mapInArrow(_tiled(least, coverage), "key long, body long, item long, n_words long, n_covered long, n_tiles long, tiles array<struct<item_start:int,doc_start:int,length:int>>")
 

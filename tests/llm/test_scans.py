@@ -175,6 +175,22 @@ def test_pairs_against_brute_force(spark):
     assert sorted(left, key=str) == sorted([d for d in docs if d not in hit], key=str)
 
 
+def test_common_lines_form_no_pairs(spark, monkeypatch):
+    """A line that all items and many documents have isn't looked up; who has more of an item is found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = "answer the following question with one of these"
+    own = [" ".join(word() for _ in range(14)) for _ in range(40)]
+    items = [(i, f"{line} {x}") for i, x in enumerate(own)]
+    docs = [(i, f"{' '.join(word() for _ in range(20))} {line} {' '.join(word() for _ in range(9))}") for i in range(60)] + [(100, f"so {own[3]} {line}"), (101, f"{own[7]} x {line.upper()}"), (102, own[9])]
+    pairs = []
+    candidates = tiling_decontam._candidates
+    monkeypatch.setattr(tiling_decontam, "_candidates", lambda *a: pairs.append(candidates(*a)) or pairs[-1])
+    got = tiling_decontam.tiles_with(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(100, 3), (101, 7), (102, 9)]
+    assert pairs[0].count() == 3
+
+
 def test_reordered_passages(spark):
     words = [f"w{i}" for i in range(40)]
     bench = spark.createDataFrame([(1, " ".join(words)), (2, "other words that nobody has here at all"), (3, "tiny item"), (4, ""), (None, None)], "item_id long, text string")
