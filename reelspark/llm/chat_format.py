@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -44,8 +44,15 @@ LAYOUTS = [
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 
+#: The parser's own limit on a text's length, lifted.
+_LONG = {"maxStringLen": str(2**31 - 1)}
+#: Characters of a record from which on its texts are cut before their kinds are asked for, and those that stay of each.
+LONG_RECORD, SHOWN = 4_000_000, 256
+_TEXT = r'"((?:[^"\\]|\\u[0-9a-fA-F]{4}|\\[^u]){0,' + str(SHOWN) + r'}+)(?:[^"\\]++|\\.)*+"'
+
+
 def _top(record: Column) -> Column:
-    return F.from_json(record, "map<string,string>")
+    return F.from_json(record, "map<string,string>", _LONG)
 
 
 def field_paths(record: Column) -> Column:
@@ -55,7 +62,8 @@ def field_paths(record: Column) -> Column:
     are of several kinds, text in one place and a list in another, ends in ``?``. None for what isn't JSON
     or repeats a name in one object.
     """
-    kinds = F.schema_of_variant(F.try_parse_json(record))
+    short = F.when(F.char_length(record) > LONG_RECORD, F.regexp_replace(record, _TEXT, '"$1"')).otherwise(record)
+    kinds = F.schema_of_variant(F.try_parse_json(short))
     # Names other than plain ones stand in backticks there, so no name is taken for a kind.
     tokens = F.regexp_extract_all(kinds, F.lit(r"(?:`(?:[^`]|``)*`|\w+): |OBJECT<|ARRAY<|>|[A-Z]+(?:\(\d+,\d+\))?"), F.lit(0))
     start = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("at"), F.array().cast("array<string>").alias("paths"))
@@ -106,9 +114,9 @@ def canonical_turns(record: Column, layouts: list[Layout] = LAYOUTS) -> Column:
         out = F.lit(None).cast(TURNS)
         for layout in layouts:
             if layout.listed and layout.parts:
-                turns = F.transform(F.from_json(r["top"][layout.listed[0]], "array<map<string,variant>>"), _turn_in_parts(*layout.listed[1:]))
+                turns = F.transform(F.from_json(r["top"][layout.listed[0]], "array<map<string,variant>>", _LONG), _turn_in_parts(*layout.listed[1:]))
             elif layout.listed:
-                turns = F.transform(F.from_json(r["top"][layout.listed[0]], "array<map<string,string>>"), _plain_turn(*layout.listed[1:]))
+                turns = F.transform(F.from_json(r["top"][layout.listed[0]], "array<map<string,string>>", _LONG), _plain_turn(*layout.listed[1:]))
             else:
                 turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(r["top"][path], F.lit("")).alias("content")) for role, path in layout.fields])
             out = F.when(r["known"] == fingerprint(F.array(*[F.lit(p) for p in layout.paths])), turns).otherwise(out)
@@ -174,24 +182,54 @@ def records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
 def format_chats(recs: DataFrame) -> DataFrame:
     """(conv, formatted, loss): the template's text and the spans of the assistant's texts in it.
 
-    recs: (conv, record). loss: array of (start, length) in code points. Records in an unknown
-    layout keep their row, with null ``formatted`` and ``loss``; a record without turns has an empty
-    text. Null ids are one conversation; an empty table gives an empty table.
+    recs: (conv, record). loss: array of (start, length) in code points. Every record is worked on by
+    itself, whatever ids are null or repeated: there is no exchange. Records in an unknown layout keep their
+    row, with null ``formatted`` and ``loss``; a record without turns has an empty text; texts may be as long as
+    a column holds. An empty table gives an empty table.
     """
     turns = recs.select("conv", canonical_turns(F.col("record")).alias("turns"))
     head = lambda t: F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n"))
     parts = turns.select("conv", F.transform("turns", lambda t: F.struct(head(t).alias("head"), escape(t["content"]).alias("body"), (t["role"] == "assistant").alias("learn"))).alias("parts"))
     tail = F.lit(f"{END}\n")
     formatted = F.when(F.col("parts").isNotNull(), F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], tail)), ""))
-    # Running offsets: with positions known before the turns are gathered, no fold over an array that grows.
-    rows = parts.select("conv", F.posexplode("parts").alias("pos", "p"))
-    length = F.char_length("p.head") + F.char_length("p.body") + len(END) + 1
-    run = F.sum(length).over(Window.partitionBy("conv").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    spans = rows.select("conv", "pos", F.col("p.learn").alias("learn"), (F.coalesce(run, F.lit(0)) + F.char_length("p.head")).cast("long").alias("start"), F.char_length("p.body").cast("long").alias("length"))
-    spans = spans.where("learn").groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("loss"))
-    out = parts.select("conv", formatted.alias("formatted")).alias("a").join(spans.alias("b"), F.col("a.conv").eqNullSafe(F.col("b.conv")), "left")
-    empty = F.when(F.col("formatted").isNotNull(), F.array().cast("array<struct<start:long,length:long>>"))
-    return out.select("a.conv", "formatted", F.coalesce("loss", empty).alias("loss"))
+    sized = F.transform("parts", lambda p: F.struct(F.char_length(p["head"]).cast("long").alias("head"), F.char_length(p["body"]).cast("long").alias("body"), p["learn"].alias("learn")))
+    return parts.select("conv", formatted.alias("formatted"), _spans(sized).alias("loss"))
+
+
+#: Turns whose lengths are summed at once.
+_BLOCK = 64
+
+
+def _spans(sized: Column) -> Column:
+    """(start, length) of the bodies to learn, from (head, body, learn): running sums over blocks of turns, then within one."""
+    once = lambda value, of: F.get(F.transform(F.array(value), of), F.lit(0))  # noqa: E731  worked out once, however often it is used
+    total = lambda lengths: F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n)
+    some = lambda lengths, first, n: F.slice(lengths, first + 1, n)
+
+    def placed(turns: Column) -> Column:
+        lengths = F.transform(turns, lambda t: t["head"] + t["body"] + (len(END) + 1))
+
+        def by_block(all_: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(all_) / _BLOCK).cast("int")), lambda b: total(some(all_, b * _BLOCK, F.lit(_BLOCK))))
+
+            def upto(sums: Column) -> Column:
+                before = F.transform(sums, lambda _, b: total(some(sums, F.lit(0), b)))
+
+                def of(starts: Column) -> Column:
+                    def span(t: Column, i: Column) -> Column:
+                        b = F.floor(i / _BLOCK).cast("int")
+                        start = F.get(starts, b) + total(some(all_, b * _BLOCK, i - b * _BLOCK)) + t["head"]
+                        return F.when(t["learn"], F.struct(start.alias("start"), t["body"].alias("length")))
+
+                    return F.filter(F.transform(turns, span), lambda s: s.isNotNull())
+
+                return once(before, of)
+
+            return once(blocks, upto)
+
+        return once(lengths, by_block)
+
+    return F.when(sized.isNotNull(), once(sized, placed))
 
 
 def read_back(formatted: Column) -> Column:

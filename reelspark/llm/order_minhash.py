@@ -18,8 +18,10 @@ from reelspark.llm._store import id_value, materialize, texts
 K = 2
 #: log2 of the ranges of hashes.
 RANGE_BITS = 6
-#: Words are cut after so many characters.
+#: Characters of a word; a longer run without space counts as words of one character each, wherever it is edited.
 WORD = 24
+_S = r"[^ \t-\r]"
+_WORDS = rf"(?<!{_S}){_S}{{1,{WORD}}}+(?!{_S})|{_S}"
 
 
 def _with(df: DataFrame, suffixes: tuple[str, ...], make, name: str, drop: str = "") -> DataFrame:
@@ -50,7 +52,7 @@ def with_fingerprints(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     A fingerprint lists, by range, two hex digits of the range and eight of its tuple's hash.
     """
     names = tuple(columns)
-    df = _with(df, names, lambda c: F.concat(F.array(F.lit("")), F.regexp_extract_all(F.col(c), F.lit(f"[^ \\t-\\r]{{1,{WORD}}}"), F.lit(0))), "__words_")
+    df = _with(df, names, lambda c: F.concat(F.array(F.lit("")), F.regexp_extract_all(F.col(c), F.lit(_WORDS), F.lit(0))), "__words_")
 
     def kmers(c: str) -> Column:
         words = F.col(f"__words_{c}")

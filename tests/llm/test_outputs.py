@@ -298,3 +298,50 @@ def test_pipeline(spark):
         before = ids
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert tokens.count() == docs.count() and {r["doc_id"] for r in tokens.collect()} == before
+
+
+def test_repeated_and_null_ids_have_spans_of_their_own(spark):
+    """Records that share an id, or repeat, are each worked on alone; many turns too."""
+    said = lambda n: json.dumps({"messages": [{"role": ("user", "assistant")[i % 2], "content": f"t{i} <|im_end|>" * (i % 5)} for i in range(n)]})
+    recs = [(1, said(2)), (1, said(5)), (1, said(5)), (None, said(4)), (None, said(3)), (2, said(700)), (3, said(0)), (4, "{}")]
+    chats = chat_format.format_chats(spark.createDataFrame(recs, "conv long, record string"))
+    assert "Exchange" not in chats._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r["conv"] or 0), r["formatted"] or "", tuple(chat_format_text(r))) for r in chats.collect())
+    want = sorted(((c or 0), "".join(f"<|im_start|>{m['role']}\n{escaped(m['content'])}<|im_end|>\n" for m in turns), tuple(m["content"] for m in turns if m["role"] == "assistant")) for c, rec in recs for turns in [json.loads(rec).get("messages", [])])
+    assert got == want
+
+
+def escaped(text):
+    return text.replace("<|", "<\\|")
+
+
+def chat_format_text(r):
+    return [r["formatted"][s["start"] : s["start"] + s["length"]].replace("<\\|", "<|") for s in r["loss"] or []]
+
+
+def test_very_long_texts_of_conversations(spark):
+    """Over twenty million characters, in every layout; columns whose names clash stay out."""
+    long = spark.range(8).selectExpr("id AS conv_id", "explode(array(0, 1)) AS turn", "id AS conv").selectExpr("*", "IF(turn = 0, 'user', 'assistant') AS role", "IF(turn = 1, repeat('a\\\\b\"é', 4200000), 'q') AS text", "1 AS record", "'x' AS t")
+    out = chat_format.digest(chat_format.format_chats(chat_format.records(long.where("conv_id IN (0, 1, 2, 3)")))).collect()
+    assert len(out) == 4
+    assert {(r["n_turns"], r["loss_chars"]) for r in out} == {(2, 5 * 4_200_000)}
+    parts = spark.range(1).selectExpr("1L AS conv", "to_json(struct(array(struct('assistant' AS role, array(struct('text' AS type, repeat('ab', 12000000) AS text)) AS content)) AS messages)) AS record")
+    r = chat_format.digest(chat_format.format_chats(parts)).first()
+    assert (r["n_turns"], r["loss_chars"]) == (1, 24_000_000)
+
+
+@pytest.mark.parametrize("letters", ["日本語中文字韓國人大小上下左右前後", "abcdefghijklmnop"])
+def test_likeness_of_unspaced_texts(spark, letters):
+    """Likeness follows edits where there is no space: high after one, lower after many, 0 for another text."""
+    rng = np.random.default_rng(9)
+    text = "".join(rng.choice(list(letters), 4000))
+    cut = list(text)
+    for i in rng.integers(0, 4000, 400):
+        cut[i] = "z"
+    rows = [(0, text), (1, "y" + text), (2, text[:2000] + text[2001:]), (3, "".join(cut)), (4, "".join(rng.choice(list("ÀÉÎÕÜßñ"), 4000)))]
+    got = {r["doc_id"]: r["fingerprint"] for r in order_minhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [spark.range(1).select(order_minhash.likeness(F.lit(got[0]), F.lit(got[i]))).first()[0] for i in range(5)]
+    assert near[0] == 1.0
+    assert min(near[1], near[2]) > 0.9
+    assert 0.05 < near[3] < near[2]
+    assert near[4] < 0.05
