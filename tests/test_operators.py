@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import scalars
 from reelspark.functions import vectors as V
-from reelspark.operators import batch, distance, layout, metrics, sampling, scenes, segment, selection, signal
+from reelspark.operators import batch, distance, kernel_search, layout, metrics, sampling, scenes, segment, selection, signal
 from reelspark.plans import keyframes
 from reelspark.sources import providers, readers, writers
 
@@ -247,16 +247,59 @@ def test_segments_against_plain_rules(spark, least, most):
         assert [got[g][i] for i in range(len(got[g]))] == brute_segments(b, wanted, least, most, 2), g
 
 
-def test_kernel_change_points():
-    rng = np.random.default_rng(1)
-    x = np.vstack([rng.normal(0, 0.1, (20, 3)), rng.normal(2, 0.1, (15, 3)), rng.normal(-1, 0.1, (25, 3))])
-    assert segment.kernel_change_points(x, 3.0, 3) == [20, 35, 60]
-    # The running sums against the full kernel.
+def one_task_search(x, penalty, least):
+    """Ends of the segments by the kernel cost, from the whole kernel at once."""
+    n = len(x)
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
-    gram = np.exp(-np.clip(d / np.median(d[np.triu_indices(60, 1)]), 1e-2, 1e2))
-    cost = lambda ends: sum(np.trace(gram[a:b, a:b]) - gram[a:b, a:b].sum() / (b - a) for a, b in itertools.pairwise([0, *ends]))
-    best = min((cost([*c, 60]) + 3.0 * len(c), [*c, 60]) for r in range(3) for c in itertools.combinations(range(5, 60, 5), r))
-    assert best[1] == [20, 35, 60]
+    width = np.median(d[np.triu_indices(n, 1)]) if n > 1 else 1.0
+    k = np.exp(-np.clip(d / (width or 1.0), 1e-2, 1e2))
+    below = np.vstack([np.zeros(n + 1), np.hstack([np.zeros((n, 1)), k.cumsum(1)])]).cumsum(0)
+    inside = lambda a, b: below[b, b] - below[a, b] - below[b, a] + below[a, a]
+    total, came, open_ = [-penalty] + [math.inf] * n, [0] * (n + 1), []
+    for b in range(1, n + 1):
+        if b >= least and math.isfinite(total[b - least]):
+            open_.append(b - least)
+        if not open_:
+            continue
+        value = [total[a] + (b - a) * math.exp(-1e-2) - inside(a, b) / (b - a) for a in open_]
+        best = min(range(len(open_)), key=lambda i: value[i])
+        total[b], came[b] = value[best] + penalty, open_[best]
+        open_ = [a for a, v in zip(open_, value, strict=True) if v <= total[b]]
+    ends = [n]
+    while math.isfinite(total[n]) and came[ends[-1]] > 0:
+        ends.append(came[ends[-1]])
+    return ends[::-1]
+
+
+def stepped(rng, n, d=3):
+    x, level = [], rng.normal(size=d)
+    for _ in range(n):
+        if rng.random() < 0.04:
+            level = rng.normal(size=d) * 2
+        x.append(level + rng.normal(0, 0.3, d))
+    return np.array(x)
+
+
+@pytest.mark.parametrize(("block", "least", "sizes"), [(16, 3, (1, 2, 3, 15, 16, 17, 33, 160)), (7, 10, (9, 10, 50, 90)), (400, 3, (1500, 300, 1))])
+def test_kernel_search_over_blocks(spark, block, least, sizes):
+    """Blocks in several tasks against one search with the whole kernel."""
+    rng = np.random.default_rng(block)
+    data = [stepped(rng, n) for n in sizes]
+    rows = spark.createDataFrame([(s, i, v.tolist(), len(x), 3.0 + s) for s, x in enumerate(data) for i, v in enumerate(x)], "sid long, i long, x array<double>, n long, penalty double").repartition(5)
+    got = {r["sid"]: r["ends"] for r in kernel_search.change_points(rows, least, block).collect()}
+    assert got == {s: one_task_search(x, 3.0 + s, least) for s, x in enumerate(data)}
+    assert max(map(len, got.values())) > 1
+    assert kernel_search.change_points(rows.where("false"), least, block).count() == 0
+
+
+def test_kernel_widths(spark):
+    rng = np.random.default_rng(5)
+    data = [stepped(rng, n) for n in (1, 2, 3, 4, 50, 231)] + [np.ones((6, 3))]
+    blocks = [(s, b, x[b * 40 : b * 40 + 40].tolist(), float((x**2).sum(1).max())) for s, x in enumerate(data) for b in range(-(-len(x) // 40))]
+    got = {r["sid"]: r["width"] for r in kernel_search.widths(spark.createDataFrame(blocks, "sid long, block long, xs array<array<double>>, top double")).collect()}
+    for s, x in enumerate(data):
+        d = ((x[:, None] - x[None]) ** 2).sum(-1)[np.triu_indices(len(x), 1)]
+        assert got[s] == pytest.approx((np.median(d) if len(d) else 1.0) or 1.0)
 
 
 def test_kernel_segments_cover(spark):
@@ -280,16 +323,6 @@ def test_peaks_and_valleys_by_prominence(spark):
     assert (s["n_peaks"], s["max_score"]) == (2, 2.0)
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 57, 1500])
-def test_median_distance(n, monkeypatch):
-    if n < 100:
-        monkeypatch.setattr(segment, "TILE_ROWS", 7)
-    x = np.random.default_rng(n).normal(size=(n, 3)) + (np.arange(n) % 3)[:, None]
-    d = ((x[:, None] - x[None]) ** 2).sum(2)[np.triu_indices(n, 1)]
-    assert segment.median_distance(x) == pytest.approx(np.median(d) if n > 1 else 1.0)
-    assert segment.median_distance(np.ones((5, 2))) == pytest.approx(0.0, abs=1e-9)
-
-
 def plain_prominent(x, least, distance):
     """(place, prominence) of the maxima of one sequence, by looking at every row."""
     edges = [i for i in range(1, len(x)) if x[i] != x[i - 1]]
