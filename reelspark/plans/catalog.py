@@ -391,6 +391,28 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segmented(_scored(spark, sf_dir), ["label"], "pos", "score", 3, 8, 2, 10)
 
 
+@query(f"""WITH RECURSIVE {_SIGNAL}, x AS (SELECT user_id, t, (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w + 1e-8) AS b FROM s WINDOW w AS (PARTITION BY user_id)
+), c AS (SELECT user_id, t, b, sum(b) OVER w AS r, sum(b * b) OVER w AS q FROM x WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)
+), g AS (SELECT user_id, count(*)::INT AS m, avg(b) AS mean, list_prepend(0.0::DOUBLE, list(r ORDER BY t)) AS r, list_prepend(0.0::DOUBLE, list(q ORDER BY t)) AS q FROM c GROUP BY user_id
+), z AS (SELECT user_id, m, r, q, i AS step, 0.05 * exp(i / 19.0::DOUBLE * ln(greatest(5.0, 10 * (mean + 1e-3)) / 0.05)) AS penalty FROM g, range(20) AS p(i)
+), d AS (
+    SELECT user_id, step, m, penalty, 0 AS b, [-penalty] AS total, [0] AS came, []::INT[] AS open_ FROM z
+    UNION ALL
+    SELECT user_id, step, m, penalty, b, list_append(total, CASE WHEN len(starts) = 0 THEN 'inf'::DOUBLE ELSE list_min(v) + penalty END), list_append(came, CASE WHEN len(starts) = 0 THEN 0 ELSE starts[list_position(v, list_min(v))] END),
+        CASE WHEN len(starts) = 0 THEN starts ELSE list_filter(starts, lambda a, i: v[i] <= list_min(v) + penalty) END
+    FROM (SELECT *, list_transform(starts, lambda a: total[a + 1] + (q[b + 1] - q[a + 1] - (r[b + 1] - r[a + 1]) * (r[b + 1] - r[a + 1]) / (b - a))) AS v FROM (
+        SELECT d.user_id, d.step, d.m, d.penalty, d.b + 1 AS b, total, came, z.r, z.q, CASE WHEN d.b + 1 >= 3 AND isfinite(total[d.b - 1]) THEN list_append(open_, d.b - 2) ELSE open_ END AS starts FROM d JOIN z USING (user_id, step) WHERE d.b < d.m))
+), e AS (
+    SELECT user_id, step, came, [m] AS ends, m AS spot FROM d WHERE b = m
+    UNION ALL SELECT user_id, step, came, list_prepend(came[spot + 1], ends), came[spot + 1] FROM e WHERE came[spot + 1] > 0
+), f AS (SELECT user_id, ends, row_number() OVER (PARTITION BY user_id ORDER BY abs(len(ends) - 6), CASE WHEN len(ends) = 6 THEN step WHEN len(ends) >= 6 THEN step - 20 ELSE step END) AS best FROM e WHERE came[spot + 1] = 0)
+SELECT user_id, i - 1 AS segment_id, CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] + 1 END AS start_pos, ends[i]::BIGINT AS end_pos FROM (SELECT user_id, ends, unnest(range(1, len(ends) + 1)) AS i FROM f WHERE best = 1)""")
+def penalised_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's events cut into about six segments: the search over penalties, with the change points of each."""
+    s = signal.min_max(signal_rows(spark, sf_dir), ["user_id"], "value", "score")
+    return segment.segmented(s, ["user_id"], "t", "score", 3, 0, 6, 6)
+
+
 @query()
 def kernel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir).withColumn("quality", F.element_at(V.doubles("embedding"), 1))
