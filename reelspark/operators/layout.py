@@ -109,13 +109,20 @@ def shares(rows: DataFrame, keys: list[str], n: str) -> DataFrame:
     return rows.withColumn("share", F.col(n) / F.sum(n).over(Window.partitionBy(*keys)))
 
 
+#: Places of a block in which depths are looked up.
+_PLACES = 4096
+
+
 def fill_depths(items: DataFrame, capacity: DataFrame, order: str) -> DataFrame:
-    """Items in order into the depths' places, the deepest first. capacity: (depth, n)."""
+    """Items in order into the depths' places, the deepest first. capacity: (depth, n).
+
+    An item's depth is looked up by its place: depths are ranges of places, of which a row for each block of places is joined.
+    """
     c = capacity.withColumn("__to", F.sum("n").over(Window.orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, 0)))
     c = c.withColumn("__from", F.col("__to") - F.col("n")).where("n > 0")
-    place = c.select("depth", F.explode(F.sequence(F.col("__from"), F.col("__to") - 1)).alias("__i"))
-    i = sampling.global_position(items, order, [], "__i")
-    return i.join(place, "__i").drop("__i")
+    ranges = c.select("depth", "__from", "__to", F.explode(F.sequence(F.floor(F.col("__from") / _PLACES), F.floor((F.col("__to") - 1) / _PLACES))).alias("__block"))
+    i = sampling.global_position(items, order, [], "__i").withColumn("__block", F.floor(F.col("__i") / _PLACES))
+    return i.join(ranges, "__block").where("__i >= __from AND __i < __to").drop("__i", "__block", "__from", "__to")
 
 
 def leaf_budget(segments: DataFrame, n: str = "n", most: int = 12) -> DataFrame:

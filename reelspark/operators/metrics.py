@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspark.functions import vectors as V
 from reelspark.functions.scalars import known
 from reelspark.operators import sampling, scenes
-from reelspark.functions import vectors as V
 from reelspark.operators.distance import MEASURES, nearest_key, pairs, vector_sums
 
 
@@ -153,7 +153,7 @@ def sliced_wasserstein(frames: DataFrame, keyframes: DataFrame, keys: list[str],
     from reelspark.functions.vectors import dot, doubles
 
     dirs = F.array(*[F.struct(F.lit(i).alias("d"), F.array(*[F.lit(x) for x in v]).alias("v")) for i, v in enumerate(directions(size, n_directions, seed))])
-    hashed = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), ident), ident)
+    hashed = Window.partitionBy(*keys).orderBy(sampling.hashed(seed, ident), ident)
     sides = [s.select(*keys, ident, doubles(vector).alias("x"), F.row_number().over(hashed).alias("r"), F.lit(i).alias("side")) for i, s in enumerate((frames, keyframes))]
     counts = [s.groupBy(*keys).agg(F.max("r").alias(f"n{i}")) for i, s in enumerate(sides)]
     size_ = counts[0].join(counts[1], keys).select(*keys, F.least("n0", "n1", F.lit(most)).alias("n"))

@@ -380,10 +380,37 @@ def frechet_by_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.frechet_distance(f, k, ["label"], "embedding")
 
 
-@query()
+_DIRECTIONS = ", ".join(f"({i}, [{', '.join(map(repr, v))}]::DOUBLE[])" for i, v in enumerate(metrics.directions(64, 16)))
+_SLICED = f"""d(d, w) AS (VALUES {_DIRECTIONS}), r AS (SELECT label, scale, side, vec_id, v, row_number() OVER (PARTITION BY label, scale, side ORDER BY md5('42:' || vec_id), vec_id) AS r FROM sides
+), n AS (SELECT label, scale, least(max(r) FILTER (side = 0), max(r) FILTER (side = 1)) AS n FROM r GROUP BY label, scale HAVING count(DISTINCT side) = 2
+), p AS (SELECT r.label, r.scale, side, d, list_dot_product(v, w) AS p, vec_id FROM r JOIN n USING (label, scale), d WHERE r.r <= n.n
+), k AS (SELECT *, row_number() OVER (PARTITION BY label, scale, side, d ORDER BY p, vec_id) AS k FROM p
+), w AS (SELECT label, scale, d, avg(abs(a - b)) AS w FROM (SELECT label, scale, d, k, max(p) FILTER (side = 0) AS a, max(p) FILTER (side = 1) AS b FROM k GROUP BY ALL) GROUP BY ALL
+), swd AS (SELECT label, scale, avg(w) AS swd FROM w GROUP BY ALL)"""
+
+
+@query(f"WITH {_FRAMES}, sides AS (SELECT label, 0 AS scale, 0 AS side, vec_id, v FROM f UNION ALL SELECT label, 0, 1, vec_id, v FROM f WHERE pos % 3 = 0), {_SLICED} SELECT label, round(swd, 6) AS swd FROM swd")
 def sliced_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
-    return metrics.sliced_wasserstein(f, f.where("pos % 3 = 0"), ["label"], "vec_id", "embedding", 64)
+    return metrics.sliced_wasserstein(f, f.where("pos % 3 = 0"), ["label"], "vec_id", "embedding", 64).withColumn("swd", _r("swd"))
+
+
+@query(f"""WITH {_FRAMES}, o AS (SELECT label, 0 AS side, vec_id, v FROM f UNION ALL SELECT label, 1, vec_id, v FROM f WHERE pos % 2 = 1), t AS (SELECT *, row_number() OVER (PARTITION BY label, side ORDER BY vec_id) - 1 AS place FROM o),
+sides AS (SELECT label, scale, side, vec_id, v FROM t, range(3) AS x(scale) WHERE place % (1 << scale) = 0), {_SLICED} SELECT label, round(avg(swd), 6) AS swd FROM swd GROUP BY label""")
+def multi_scale_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    return metrics.multi_scale_wasserstein(f, f.where("pos % 2 = 1"), ["label"], "vec_id", "embedding", 64).withColumn("swd", _r("swd"))
+
+
+@query("""WITH r AS (SELECT l_returnflag, CASE WHEN l_linenumber = 7 AND l_returnflag = 'A' THEN 'nan'::DOUBLE WHEN l_linenumber = 6 THEN NULL ELSE l_quantity::DOUBLE END AS v FROM lineitem)
+SELECT l_returnflag, rule, CASE WHEN rule = 'all' AND l_returnflag = 'A' THEN 'nan' ELSE round(avg(v) FILTER (NOT isnan(v)), 4)::VARCHAR END AS mean, count(v) FILTER (rule = 'all' OR NOT isnan(v)) AS n FROM r, (VALUES ('all'), ('known')) AS x(rule) GROUP BY l_returnflag, rule""")
+def unknown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries that leave NaN out, and those that it spoils."""
+    unknown = F.when((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "A"), F.lit(float("nan"))).when(F.col("l_linenumber") != 6, F.col("l_quantity").cast("double"))
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", unknown.alias("value"))
+    both = [batch.metric_summary(rows, ["l_returnflag"], skip_nan=known).withColumn("rule", F.lit(name)) for known, name in ((False, "all"), (True, "known"))]
+    mean = F.when(F.isnan("mean"), F.lit("nan")).otherwise(_r("mean", 4).cast("string"))
+    return both[0].unionByName(both[1]).select("l_returnflag", "rule", mean.alias("mean"), "n")
 
 
 @query()

@@ -343,7 +343,10 @@ def summary_without_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("l_returnflag", _r("mean").alias("mean"), "n", _r("min").alias("min"))
 
 
-@query("SELECT iter, tau, stride FROM (SELECT (i * 3 + j) AS iter, tau, stride FROM (VALUES (0, 0.1), (1, 0.3)) a(i, tau), (VALUES (0, 1), (1, 2), (2, 5)) b(j, stride)) WHERE iter < (SELECT count(*) FROM region) + 1")
+@query(f"WITH {_SIGNAL}, x AS (SELECT t, (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w + 1e-8) AS b FROM s WINDOW w AS (PARTITION BY user_id)) SELECT (i * 3 + j)::BIGINT AS iter, tau, stride, count(*) FILTER (b > tau AND t % stride = 0) AS n FROM x, (VALUES (0, 0.1::DOUBLE), (1, 0.3::DOUBLE)) a(i, tau), (VALUES (0, 1), (1, 2), (2, 5)) c(j, stride) GROUP BY ALL")
 def setting_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = table(spark, sf_dir, "region").agg((F.count(F.lit(1)) + 1).alias("n"))
-    return batch.grid(spark, {"tau": [0.1, 0.3], "stride": [1, 2, 5]}).join(F.broadcast(regions), F.col("iter") < F.col("n")).drop("n")  # a single row
+    """How many of all events each setting of a grid would keep; settings are an array of fixed size in every row."""
+    grid = batch.grid(spark, {"tau": [0.1, 0.3], "stride": [1, 2, 5]}).collect()
+    settings = F.array(*[F.struct(F.lit(int(r["iter"])).cast("long").alias("iter"), F.lit(float(r["tau"])).alias("tau"), F.lit(int(r["stride"])).alias("stride")) for r in grid])
+    rows = signal.min_max(signal_rows(spark, sf_dir), ["user_id"], "value", "score").select("t", "score", F.explode(settings).alias("s")).select("t", "score", "s.*")
+    return rows.groupBy("iter", "tau", "stride").agg(F.count_if((F.col("score") > F.col("tau")) & (F.col("t") % F.col("stride") == 0)).alias("n"))
