@@ -433,7 +433,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, step, came, [m] AS ends, m AS spot FROM d WHERE b = m
     UNION ALL SELECT user_id, step, came, list_prepend(came[spot + 1], ends), came[spot + 1] FROM e WHERE came[spot + 1] > 0
 ), f AS (SELECT user_id, ends, row_number() OVER (PARTITION BY user_id ORDER BY abs(len(ends) - 6), CASE WHEN len(ends) = 6 THEN step WHEN len(ends) >= 6 THEN step - 20 ELSE step END) AS best FROM e WHERE came[spot + 1] = 0)
-SELECT user_id, i - 1 AS segment_id, CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] + 1 END AS start_pos, ends[i]::BIGINT AS end_pos FROM (SELECT user_id, ends, unnest(range(1, len(ends) + 1)) AS i FROM f WHERE best = 1)""")
+SELECT user_id, (i - 1)::INT AS segment_id, (CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] + 1 END)::BIGINT AS start_pos, ends[i]::BIGINT AS end_pos FROM (SELECT user_id, ends, unnest(range(1, len(ends) + 1)) AS i FROM f WHERE best = 1)""")
 def penalised_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user's events cut into about six segments: the search over penalties, with the change points of each."""
     s = signal.min_max(signal_rows(spark, sf_dir), ["user_id"], "value", "score")

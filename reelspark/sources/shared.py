@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` and read again; a folder of our own where that is unset and Spark runs in one process."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; in a folder of our own where that is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="reelspark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
