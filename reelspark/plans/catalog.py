@@ -466,7 +466,27 @@ def peaks_and_valleys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "t", "frame", _r("value").alias("value"), "kind", _r("prominence").alias("prominence"))
 
 
-@query()
+#: The first ``k`` of c (g, pos, score) by score, none within ``radius`` of one before.
+GREEDY = """p(g, step, picks) AS (SELECT DISTINCT g, 0, []::BIGINT[] FROM c UNION ALL
+    SELECT p.g, p.step + 1, list_append(p.picks, arg_min(c.pos, (c.score, {tie}))) FROM p JOIN c ON c.g = p.g
+    WHERE p.step < {k} AND len(list_filter(p.picks, lambda x: abs(x - c.pos) <= {radius})) = 0 GROUP BY p.g, p.step, p.picks),
+q AS (SELECT g, arg_max(picks, step) AS picks FROM p GROUP BY g)"""
+
+
+@query(f"""WITH RECURSIVE {_FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM f
+), s AS (SELECT label, pos, v FROM n WHERE n <= 30 OR pos IN (SELECT CASE WHEN j = 29 THEN n - 1 ELSE floor(j * ((n - 1)::DOUBLE / 29)) END FROM generate_series(0, 29) x(j))
+), c AS (
+    SELECT a.label * 2 AS g, a.pos, round(coalesce(sum(1 - list_dot_product(a.v, b.v)) FILTER (a.pos <> b.pos), 0), 9) AS score FROM s a JOIN s b USING (label) GROUP BY a.label, a.pos
+    UNION ALL SELECT label * 2 + 1, pos, ('0x' || md5('7:' || label || ':' || pos)[1:13])::BIGINT::DOUBLE FROM s
+), {GREEDY.format(tie="c.pos", k=3, radius=2)}, k AS (
+    SELECT g // 2 AS label, CASE g % 2 WHEN 0 THEN 'medoid' ELSE 'random' END AS method, unnest(picks) AS pos FROM q
+    UNION ALL SELECT label, 'uniform', (CASE WHEN i = 2 THEN n - 1 ELSE floor(i * ((n - 1)::DOUBLE / 2)) END)::BIGINT FROM (SELECT DISTINCT label, n FROM n), generate_series(0, 2) x(i)
+), kv AS (SELECT DISTINCT k.label, method, pos, v FROM k JOIN f USING (label, pos)
+), m AS (SELECT label, method, f.pos, max(list_dot_product(f.v, kv.v)) AS s FROM f JOIN kv USING (label) GROUP BY ALL
+), near AS (SELECT label, method, round(avg(1 - s), 6) AS rec_error, round(avg((1 - s <= 0.3)::INT), 6) AS temporal_coverage FROM m GROUP BY ALL
+), o AS (SELECT a.label, a.method, list_dot_product(a.v, b.v) AS d FROM kv a JOIN kv b ON a.label = b.label AND a.method = b.method AND a.pos < b.pos
+), spread AS (SELECT label, method, round(avg(d), 6) AS redundancy, round(min(1 - d), 6) AS min_distance, round(avg(1 - d), 6) AS diversity FROM o GROUP BY ALL)
+SELECT label, method, n_keys, rec_error, temporal_coverage, redundancy, min_distance, diversity FROM (SELECT label, method, count(*) AS n_keys FROM k GROUP BY ALL) LEFT JOIN near USING (label, method) LEFT JOIN spread USING (label, method)""")
 def methods_against_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen keys of every scene against uniform and random ones, in one plan."""
     f = frames(spark, sf_dir).persist()  # numbered once for all that read it
@@ -476,7 +496,8 @@ def methods_against_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "uniform": sampling.uniform(n, 3).withColumnRenamed("frame_idx", "pos"),
         "random": keyframes.choose(f, ["label"], "pos", "embedding", "random", cap=30, k=3, radius=2, seed=7),
     }
-    return keyframes.evaluate(f, chosen, ["label"], "pos", "embedding")
+    judged = keyframes.evaluate(f, chosen, ["label"], "pos", "embedding")
+    return judged.withColumns({c: _r(c) for c in ("rec_error", "temporal_coverage", "redundancy", "min_distance", "diversity")})
 
 
 @query("""WITH e AS (SELECT user_id, ts, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR)::INT AS new FROM events), g AS (SELECT *, sum(coalesce(new, 1)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)

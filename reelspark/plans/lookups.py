@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import scalars
 from reelspark.functions import vectors as V
 from reelspark.operators import batch, distance, layout, metrics, sampling, scenes, selection, signal
-from reelspark.plans.catalog import _BLOCKS, _FRAMES, _KEYS3, _PEAKS, _SIGNAL, _TIME, _VIDEOS, _r, _three_keys, query
+from reelspark.plans.catalog import GREEDY, _BLOCKS, _FRAMES, _KEYS3, _PEAKS, _SIGNAL, _TIME, _VIDEOS, _r, _three_keys, query
 from reelspark.plans.tables import frames, table, videos
 from reelspark.plans.tables import signal as signal_rows
 
@@ -190,18 +190,12 @@ def shuffled_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("label", "vec_id", (F.row_number().over(Window.partitionBy("label").orderBy("visit")) - 1).alias("visit"))
 
 
-_GREEDY = """p(g, step, picks) AS (SELECT DISTINCT g, 0, []::BIGINT[] FROM c UNION ALL
-    SELECT p.g, p.step + 1, list_append(p.picks, arg_min(c.pos, (c.score, {tie}))) FROM p JOIN c ON c.g = p.g
-    WHERE p.step < {k} AND len(list_filter(p.picks, lambda x: abs(x - c.pos) <= {radius})) = 0 GROUP BY p.g, p.step, p.picks),
-q AS (SELECT g, arg_max(picks, step) AS picks FROM p GROUP BY g)"""
-
-
-@query(f"WITH RECURSIVE {_FRAMES}, c AS (SELECT label AS g, pos, md5('7:' || label || ':' || pos) AS score FROM f), {_GREEDY.format(tie='c.pos', k=3, radius=2)} SELECT g AS label, unnest(picks) AS pos FROM q")
+@query(f"WITH RECURSIVE {_FRAMES}, c AS (SELECT label AS g, pos, md5('7:' || label || ':' || pos) AS score FROM f), {GREEDY.format(tie='c.pos', k=3, radius=2)} SELECT g AS label, unnest(picks) AS pos FROM q")
 def random_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.random_picks(frames(spark, sf_dir), ["label"], "pos", 3, 2, 7)
 
 
-@query(f"WITH RECURSIVE {_SIGNAL}, c AS (SELECT user_id AS g, t AS pos, -value AS score FROM s), {_GREEDY.format(tie='-c.pos', k=3, radius=2)}, z AS (SELECT g AS user_id, unnest(picks) AS t FROM q) SELECT user_id, t, round(value, 6) AS value FROM z JOIN s USING (user_id, t)")
+@query(f"WITH RECURSIVE {_SIGNAL}, c AS (SELECT user_id AS g, t AS pos, -value AS score FROM s), {GREEDY.format(tie='-c.pos', k=3, radius=2)}, z AS (SELECT g AS user_id, unnest(picks) AS t FROM q) SELECT user_id, t, round(value, 6) AS value FROM z JOIN s USING (user_id, t)")
 def signal_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.peaks(signal_rows(spark, sf_dir), ["user_id"], "t", "value", 2, 3).withColumn("value", _r("value"))
 
