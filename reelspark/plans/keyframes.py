@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import vectors as V
 from reelspark.operators import metrics, sampling, scenes, selection
+from reelspark.sources.shared import kept
 
 
 def scene_table(boundaries: DataFrame, videos: DataFrame, least: int, video: str = "video_id") -> DataFrame:
@@ -35,11 +36,12 @@ def evaluate(frames: DataFrame, chosen: dict[str, DataFrame], keys: list[str], p
     NaN in their vector are left out first.
     """
     frames = frames.where(~V.has_nan(V.doubles(vector)))
-    raw = reduce(DataFrame.unionByName, [c.select(*keys, F.col(pos).cast("long").alias(pos)).withColumn("method", F.lit(m)) for m, c in chosen.items()])
+    # Written once: what chooses the keys would run again for each measure.
+    raw = kept(reduce(DataFrame.unionByName, [c.select(*keys, F.col(pos).cast("long").alias(pos)).withColumn("method", F.lit(m)) for m, c in chosen.items()]), "keys")
     sampled = reduce(DataFrame.unionByName, [frames.select(*keys, pos).withColumn("method", F.lit(m)) for m in chosen])
     by = [*keys, "method"]
     snapped = metrics.snapped_keys(raw, sampled, by, pos)
-    with_vector = snapped.join(frames.select(*keys, pos, vector), [*keys, pos]).withColumnRenamed(pos, "key_idx")
+    with_vector = kept(snapped.join(frames.select(*keys, pos, vector), [*keys, pos]).withColumnRenamed(pos, "key_idx"), "key-vectors")
     near = metrics.nearest_key_metrics(frames, with_vector, keys, pos, vector, tau, also=("method",))
     spread = metrics.redundancy(with_vector, by, "key_idx", vector)
     n = raw.groupBy(*by).agg(F.count(F.lit(1)).alias("n_keys"))
