@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from reelspark.plans import catalog, lookups, rules  # noqa: F401
+from reelspark.plans import catalog, lookups, media, rules, shapes, stored  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
