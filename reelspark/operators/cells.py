@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspark.functions import polygon_batches as B
 from reelspark.functions import polygons as P
 from reelspark.operators import layout
 
@@ -47,8 +50,42 @@ def forest(trees: DataFrame, keys: list[str], n: str = "n_leaves") -> DataFrame:
     return out.select(*keys, "node.node_id", "node.parent_id", "node.side")
 
 
-def _worth(points: Column) -> Column:
-    return F.when(layout.good_cell(points), 1.0).otherwise(0.5)
+def _worth(p: B.Polygons) -> np.ndarray:
+    return np.where(B.good(p), 1.0, 0.5)
+
+
+def _cut(keys: list[str]):
+    """Of a batch of cells: the open inner nodes with their two cells, all others as they are."""
+
+    def of(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        inner = batch["kid0"].is_valid().to_numpy(zero_copy_only=False)
+        at, rest = np.flatnonzero(inner), np.flatnonzero(~inner)
+        whole, axis = B.polygons(batch["points"].take(pa.array(at))), B.polygons(batch["axis"].take(pa.array(at)))
+        cx, cy = B.centroid(whole)
+        dx, dy = B.tangent(axis, cx, cy)
+        sides = [B.clipped(whole, cx, cy, tx, ty, left) for tx, ty in ((dx, dy), (-dy, dx)) for left in (True, False)]
+        areas, worths = [B.area(p) for p in sides], [_worth(p) for p in sides]
+        along, across = worths[0] + worths[1], worths[2] + worths[3]
+        turn = across > along
+        first = np.where(turn, areas[2] >= areas[3] * (1 - 1e-9), areas[0] >= areas[1] * (1 - 1e-9))
+        halves_ = [B.chosen(sides, 2 * turn + np.where(first == larger, 0, 1)) for larger in (True, False)]
+        parts = [batch.take(pa.array(rows)) for rows in (rest, at, at, at)]
+        points = [parts[0]["points"], parts[1]["points"], *map(B.column, halves_)]
+        worth = [parts[0]["score"], *map(pa.array, (np.maximum(along, across), *map(_worth, halves_)))]
+        join = pa.concat_arrays
+        depth = parts[1]["depth"].to_numpy(zero_copy_only=False)
+        new = pa.array(depth + 1, pa.int32())
+        out = {k: join([p[k] for p in parts]) for k in (*keys, "axis")}
+        out["node_id"] = join([parts[0]["node_id"], parts[1]["node_id"], parts[2]["kid0"], parts[3]["kid1"]])
+        out["depth"] = join([parts[0]["depth"], parts[1]["depth"], new, new])
+        out["points"] = join([p.cast(B.POINTS) for p in points])
+        out["configuration"] = join([parts[0]["configuration"], pa.array(np.where(turn, 2, 0), pa.int32()), *[pa.array(np.full(len(at), -1), pa.int32())] * 2])
+        out["score"] = join(worth)
+        out["open"] = pa.array(np.repeat([False, True], [len(rest) + len(at), 2 * len(at)]))
+        held = out["node_id"].is_valid()  # a node may have one child only
+        return {c: v.filter(held) for c, v in out.items()}
+
+    return of
 
 
 def best_cuts(nodes: DataFrame, roots: DataFrame, keys: list[str], depth: int) -> DataFrame:
@@ -58,28 +95,21 @@ def best_cuts(nodes: DataFrame, roots: DataFrame, keys: list[str], depth: int) -
     through its centre, along the axis (configuration 0) or across (2), whichever halves are worth more - good
     cells count 1, others 0.5 - and along on ties; the larger half goes to side 0, which is worth as much as the
     other way round (1 and 3). Leaves have configuration -1. All trees and all open cells of a level are cut
-    in one step, with one join to the nodes. A tree without a root polygon has no cells.
+    in one step, an Arrow batch at once, with one join to the nodes. A tree without a root polygon has no cells.
     """
     kids = nodes.where("parent_id IS NOT NULL").groupBy(*keys, F.col("parent_id").alias("inner_id"))
     kids = kids.agg(*[F.max(F.when(F.col("side") == s, F.col("node_id"))).alias(f"kid{s}") for s in ("0", "1")])
-    cell = lambda id_, level, points, configuration, score, open_: F.struct(id_.alias("node_id"), level.alias("depth"), points.alias("points"), configuration.alias("configuration"), score.alias("score"), open_.alias("open"))
-    out = nodes.where("parent_id IS NULL").join(roots, keys).select(*keys, "axis", "node_id", F.lit(0).alias("depth"), "points", F.lit(-1).alias("configuration"), _worth(F.col("points")).alias("score"), F.lit(True).alias("open"))
+    out = nodes.where("parent_id IS NULL").join(roots.hint("merge"), keys).select(*keys, "axis", "node_id", F.lit(0).alias("depth"), "points", F.lit(-1).alias("configuration"))
+    schema = f"{B.fields(out, *keys, 'axis', 'node_id', 'depth')}, points {P.POINTS}, configuration int, score double, open boolean"
+
+    def first(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        worth = _worth(B.polygons(batch["points"]))
+        return {**{c: batch[c] for c in batch.schema.names}, "score": pa.array(worth), "open": pa.array(np.ones(len(worth), bool))}
+
+    out = B.by_batch(out, first, schema)
     for _ in range(depth):
-        out = out.withColumn("inner_id", F.when(F.col("open"), F.col("node_id"))).join(kids, [*keys, "inner_id"], "left").drop("inner_id")
-        cut = out.withColumn("centre", F.when(F.col("kid0").isNotNull(), P.centroid(F.col("points"))))
-        cut = cut.withColumn("axial", P.tangent(F.col("axis"), F.col("centre"))).withColumn("crosswise", P.crosswise(F.col("axial")))
-        cut = halves(halves(cut, "axial", "along"), "crosswise", "across")
-        worth = lambda name: _worth(F.col(name)["larger"]) + _worth(F.col(name)["smaller"])
-        cut = cut.withColumns({"worth0": worth("along"), "worth2": worth("across")})
-        turn = F.col("worth2") > F.col("worth0")
-        part = lambda which: F.when(turn, F.col("across")[which]).otherwise(F.col("along")[which])
-        cut = cut.withColumns({"larger": part("larger"), "smaller": part("smaller")})
-        level = F.col("depth") + 1
-        own = cell(F.col("node_id"), F.col("depth"), F.col("points"), F.when(turn, 2).otherwise(0), F.greatest("worth0", "worth2"), F.lit(False))
-        new = [cell(F.col(f"kid{s}"), level, F.col(half), F.lit(-1), _worth(F.col(half)), F.lit(True)) for s, half in (("0", "larger"), ("1", "smaller"))]
-        same = cell(*[F.col(c) for c in ("node_id", "depth", "points", "configuration", "score")], F.lit(False))
-        cells = F.filter(F.when(F.col("kid0").isNull(), F.array(same)).otherwise(F.array(own, *new)), lambda c: c["node_id"].isNotNull())
-        out = cut.select(*keys, "axis", F.explode(cells).alias("cell")).select(*keys, "axis", "cell.*")
+        out = out.withColumn("inner_id", F.when(F.col("open"), F.col("node_id"))).join(kids.hint("merge"), [*keys, "inner_id"], "left").drop("inner_id")
+        out = B.by_batch(out, _cut(keys), schema)
     return out.drop("axis", "open")
 
 

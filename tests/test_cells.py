@@ -199,3 +199,13 @@ def test_composed(spark):
         assert all(a["area"] >= b["area"] - 1e-5 for a, b in zip(own, own[1:], strict=False))
     nothing = cells.composed(spark.createDataFrame([], "c string, g string, i int, p double"), canvas, "c", "g", "i", "p")
     assert nothing.count() == 0
+
+
+def test_best_cuts_by_batches(spark, capsys):
+    """A level is cut an Arrow batch at once: no polygon is worked on corner by corner, and the polygons aren't sent to all tasks."""
+    boxes = spark.range(50).selectExpr("id AS k", "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 40D + id, 'y', 0D), named_struct('x', 40D + id, 'y', 30D), named_struct('x', 0D, 'y', 30D)) AS points", "array(named_struct('x', 0D, 'y', 15D), named_struct('x', 40D + id, 'y', 15D)) AS axis", "1 + id % 6 AS n_leaves")
+    cut = cells.best_cuts(cells.forest(boxes, ["k"]), boxes.select("k", "points", "axis"), ["k"], 3)
+    cut.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 4 and "lambdafunction" not in plan and "BroadcastHashJoin" not in plan
+    assert cut.where("configuration = -1").count() == sum(1 + i % 6 for i in range(50))
