@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import polygon_batches as B
@@ -142,33 +142,62 @@ def area_cells(shapes: DataFrame, weights: DataFrame, keys: list[str], weight: s
     """(keys, order, share, position, points, area): a shape cut across its axial direction into cells whose areas are as the weights.
 
     shapes: (keys, points, axis), convex. Between two corners the area before a cut grows as a square of its
-    place, so three areas there give the place exactly; they are taken once a shape, whatever the number of weights.
+    place, so three areas there give the place exactly; they are taken once a shape, whatever the number of weights, an Arrow
+    batch of shapes and then of weights at once.
     ``position`` is where the cell ends, along the axial direction.
     """
-    s = measured(shapes).withColumn("corners", F.array_sort(F.array_distinct(F.transform("points", lambda p: p["x"] * F.col("axial.x") + p["y"] * F.col("axial.y")))))
-
-    def before(d: Column) -> Column:
-        return P.clipped(F.col("points"), P.point(F.col("axial.x") * d, F.col("axial.y") * d), F.col("crosswise"))
-
-    steps = F.transform(F.slice("corners", F.lit(1), F.size("corners") - 1), lambda d, i: F.struct(d.alias("a"), F.get(F.col("corners"), i + 1).alias("b")))
-    s = s.withColumn("ends", steps)
-    s = s.withColumn("steps", F.transform("ends", lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), P.area(before(e["a"])).alias("low"), P.area(before((e["a"] + e["b"]) / 2)).alias("mid"), P.area(before(e["b"])).alias("high"))))
-    out = _running(weights, keys, weight, order).join(s.select(*keys, "points", "axial", "crosswise", "area", "steps", "corners"), keys)
-
-    def place(share: Column) -> Column:
-        wanted = share * F.col("area")
-        step = F.element_at(F.filter("steps", lambda e: e["low"] <= wanted), -1)
-        more = F.greatest(wanted - step["low"], F.lit(0.0))
-        bend = 2 * (step["high"] - 2 * step["mid"] + step["low"])
-        rise = step["high"] - step["low"] - bend
-        part = 2 * more / F.nullif(rise + F.sqrt(F.greatest(rise * rise + 4 * bend * more, F.lit(0.0))), F.lit(0.0))
-        return step["a"] + (step["b"] - step["a"]) * F.least(F.coalesce(part, F.lit(0.0)), F.lit(1.0))
-
-    first, end = F.element_at("corners", 1), F.element_at("corners", -1)
-    out = out.withColumns({"position": F.when(F.col("last"), end).otherwise(place(F.col("share"))), "start": F.when(F.col("before") <= 0, first).otherwise(place(F.col("before")))})
-    out = out.withColumn("points", P.clipped(F.col("points"), P.point(F.col("axial.x") * F.col("position"), F.col("axial.y") * F.col("position")), F.col("crosswise")))
-    out = out.withColumn("points", P.clipped(F.col("points"), P.point(F.col("axial.x") * F.col("start"), F.col("axial.y") * F.col("start")), F.col("crosswise"), left=False))
-    return out.select(*keys, order, "share", "position", "points", P.area(F.col("points")).alias("area"))
+    s = shapes.select(*keys, "points", "axis")
+    s = B.by_batch(s, _places(keys), f"{B.fields(s, *keys, 'points')}, dx double, dy double, whole double, first double, final double, {_STEPS}")
+    out = _running(weights, keys, weight, order).select(*keys, order, "share", "before", "last").join(s.hint("merge"), keys)
+    return B.by_batch(out, _strip([*keys, order]), f"{B.fields(out, *keys, order, 'share')}, position double, points {P.POINTS}, area double")
+
+
+_STEP = ("a", "b", "low", "mid", "high")
+_STEPS = f"steps array<struct<{','.join(f'{c}:double' for c in _STEP)}>>"
+
+
+def _places(keys: list[str]):
+    """Of a batch of shapes: axial direction, area, ends, and between two corners the areas before both and before their middle."""
+
+    def of(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        p = B.polygons(batch["points"])
+        dx, dy = B.tangent(B.polygons(batch["axis"]), *B.centroid(p))
+        along = np.sort(p.x * dx[:, None] + p.y * dy[:, None], 1)
+        a, b = along[:, :-1], along[:, 1:]
+        before = lambda d: np.stack([B.area(B.clipped(p, dx * x, dy * x, -dy, dx)) for x in d.T], 1) if d.size else d
+        held = a < b
+        steps = pa.StructArray.from_arrays([pa.array(v[held]) for v in (a, b, before(a), before((a + b) / 2), before(b))], list(_STEP))
+        out = {c: batch[c] for c in (*keys, "points")} | {"dx": dx, "dy": dy, "whole": B.area(p), "first": along[:, 0], "final": along[:, -1]}
+        return out | {"steps": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held.sum(1))), pa.int32()), steps)}
+
+    return of
+
+
+def _strip(names: list[str]):
+    """Of a batch of shares: where each begins and ends along its shape's axial direction, and what lies between."""
+
+    def of(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        (a, b, low, mid, high), n = B.lists(batch["steps"], _STEP)
+        dx, dy, whole, first, final, share, before = (batch[c].to_numpy(zero_copy_only=False) for c in ("dx", "dy", "whole", "first", "final", "share", "before"))
+        bend = 2 * (high - 2 * mid + low)
+        rise = high - low - bend
+        rows, within = np.arange(len(n)), np.arange(a.shape[1]) < n[:, None]
+
+        def place(share: np.ndarray) -> np.ndarray:
+            wanted = share * whole
+            k = np.maximum(((low <= wanted[:, None]) & within).sum(1) - 1, 0)
+            more = np.maximum(wanted - low[rows, k], 0.0)
+            by = rise[rows, k] + np.sqrt(np.maximum(rise[rows, k] ** 2 + 4 * bend[rows, k] * more, 0.0))
+            part = np.where(by != 0, 2 * more / np.where(by != 0, by, 1.0), 0.0)
+            return np.where(n > 0, a[rows, k] + (b[rows, k] - a[rows, k]) * np.minimum(part, 1.0), first)
+
+        position = np.where(batch["last"].to_numpy(zero_copy_only=False), final, place(share))
+        start = np.where(before <= 0, first, place(before))
+        p = B.clipped(B.polygons(batch["points"]), dx * position, dy * position, -dy, dx)
+        p = B.clipped(p, dx * start, dy * start, -dy, dx, left=False)
+        return {c: batch[c] for c in (*names, "share")} | {"position": position, "points": B.column(p), "area": B.area(p)}
+
+    return of
 
 
 def composed(items: DataFrame, canvases: DataFrame, canvas: str, cluster: str, item: str, priority: str, most: int = 12) -> DataFrame:

@@ -209,3 +209,14 @@ def test_best_cuts_by_batches(spark, capsys):
     plan = capsys.readouterr().out
     assert plan.count("MapInArrow") == 4 and "lambdafunction" not in plan and "BroadcastHashJoin" not in plan
     assert cut.where("configuration = -1").count() == sum(1 + i % 6 for i in range(50))
+
+
+def test_area_cells_by_batches(spark, capsys):
+    """Cells of many weights: no polygon is worked on corner by corner, and areas are as the weights."""
+    shapes = spark.range(20).selectExpr("id AS k", "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 40D + id, 'y', 0D), named_struct('x', 0D, 'y', 30D)) AS points", "array(named_struct('x', 0D, 'y', 15D), named_struct('x', 40D + id, 'y', 15D)) AS axis")
+    got = cells.area_cells(shapes, spark.range(20 * 40).selectExpr("id % 20 AS k", "id AS o", "1D + id % 7 AS w"), ["k"], "w", "o")
+    got.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 2 and "lambdafunction" not in plan and "BroadcastHashJoin" not in plan
+    weights = {k: sum(1 + i % 7 for i in range(k, 800, 20)) for k in range(20)}
+    assert all(r["area"] == pytest.approx((40 + r["k"]) * 15 * (1 + r["o"] % 7) / weights[r["k"]]) for r in got.collect())
