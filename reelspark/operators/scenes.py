@@ -101,7 +101,8 @@ def covered(scenes: DataFrame, keys: DataFrame, by: list[str], frame: str = "fra
     """Scenes with ``covered``: whether a key lies in it. Each scene looks at the first key from its start on."""
     k = keys.select(*by, F.col(frame).alias("start_frame"), F.lit(1).alias("__k"), F.col(frame).alias("__at"))
     rows = scenes.withColumns({"__k": F.lit(0), "__at": F.lit(None).cast("long")}).unionByName(k, allowMissingColumns=True)
-    following = F.first("__at", ignorenulls=True).over(Window.partitionBy(*by).orderBy("start_frame", "__k").rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*by).orderBy(F.col("start_frame").desc(), F.col("__k").desc())
+    following = F.last("__at", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("__next", following).where("__k = 0").withColumn("covered", F.coalesce(F.col("__next") <= F.col("end_frame"), F.lit(False))).drop("__k", "__at", "__next")
 
 
