@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import vectors as V
 from reelspark.functions.scalars import known
 from reelspark.operators import sampling, scenes
-from reelspark.operators.distance import MEASURES, nearest_key, pairs, vector_sums
+from reelspark.operators.distance import MEASURES, closest, nearest_key, pairs, vector_sums
 
 
 def nearest_key_metrics(frames: DataFrame, keyframes: DataFrame, keys: list[str], order: str, vector: str, tau: float = 0.3, also: tuple[str, ...] = ()) -> DataFrame:
@@ -28,9 +28,12 @@ def scene_coverage(scene_rows: DataFrame, keyframes: DataFrame, by: list[str]) -
 
 
 def redundancy(keyframes: DataFrame, keys: list[str], pos: str, vector: str) -> DataFrame:
-    """Mean cosine of pairs of keys, their least distance and their mean distance; null below two keys."""
-    p = pairs(keyframes, keys, pos, "cosine", vector)
-    return p.groupBy(*keys).agg(F.avg(1 - F.col("d")).alias("redundancy"), F.min("d").alias("min_distance"), F.avg("d").alias("diversity"))
+    """Mean cosine of pairs of keys, their least distance and their mean distance; no row below two keys.
+
+    The means come from sums of vectors. Only the least distance takes all pairs, block by block.
+    """
+    near = closest(keyframes, keys, pos, vector).withColumnRenamed("d", "min_distance")
+    return diversity(keyframes, keys, vector).join(near, keys).select(*keys, "redundancy", "min_distance", "diversity")
 
 
 def diversity(keyframes: DataFrame, keys: list[str], vector: str) -> DataFrame:

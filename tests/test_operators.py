@@ -606,3 +606,16 @@ def test_change_points_side_by_side(least):
     assert got == [[len(b)] if len(b) + 1 <= least else segment.change_points(b, p, least) for b, p in zip(data, penalties, strict=True)]
     assert together < (time.perf_counter() - start) / 3
     assert max(map(len, got)) > 2
+
+
+@pytest.mark.parametrize("block", [7, 5000])
+def test_closest_by_blocks(spark, capsys, block):
+    """The least distance of all pairs, without a row for each pair."""
+    rng = np.random.default_rng(1)
+    data = {g: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 5))) for g, n in enumerate((1, 2, 7, 8, 3000))}
+    df = spark.createDataFrame([(g, i, v.tolist()) for g, x in data.items() for i, v in enumerate(x) if block > 100 or g < 4], "g int, i int, v array<double>")
+    got = distance.closest(df, ["g"], "i", "v", block)
+    want = {g: 1 - (x @ x.T)[np.triu_indices(len(x), 1)].max() for g, x in data.items() if 1 < len(x) and (block > 100 or g < 4)}
+    assert {r["g"]: r["d"] for r in got.collect()} == pytest.approx(want)
+    metrics.redundancy(df, ["g"], "i", "v").explain()
+    assert "i#" not in "".join(line for line in capsys.readouterr().out.splitlines() if "Join" in line)
