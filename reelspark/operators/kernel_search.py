@@ -3,14 +3,16 @@
 A sequence is cut into blocks of rows. The search goes on block by block, for all sequences at once: what a block
 needs of the rows before it - of each start that is still open, the sum of the kernel between each of its rows and
 all rows since that start - is summed up tile by tile, a task for each earlier block, and the starts that stay open
-are handed on with their totals. No task holds more than two blocks and the open starts. The kernel's width is
+are handed on with their totals. No task holds more than two blocks and, of the open starts, a sum for each row of a block;
+blocks get shorter as sequences get longer, so that this is bounded. Python gets one tile at a time, as a group of its own:
+Arrow's batches count rows, and would bring thousands of tiles at once. The kernel's width is
 the exact median of all pairs' squared distances: pairs are counted by ranges, tile by tile, and those of the middle
 range are sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,8 @@ from reelspark.sources.shared import kept
 
 #: Rows of a block.
 BLOCK = 1024
+#: Sums of open starts that a task may hold, and the shortest that blocks get for it.
+SUMS, SHORTEST = 1 << 24, 128
 #: Ranges of distances that are counted.
 RANGES = 1 << 16
 #: The least and the most that a distance over the width counts as.
@@ -35,6 +39,15 @@ def _kernel(a: np.ndarray, b: np.ndarray, width: float) -> np.ndarray:
     return np.exp(-np.clip(_squared(a, b) / width, NEAREST, FARTHEST))
 
 
+def _each(rows: DataFrame, keys: list[str], of: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``of`` taken of the rows of each key alone."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(of(iter([group])), ignore_index=True)
+
+    return rows.groupBy(*keys).applyInPandas(run, schema)
+
+
 def _matrix(rows: list) -> np.ndarray:
     return np.array([np.asarray(r, float) for r in rows])
 
@@ -46,9 +59,9 @@ def _pairs(one: list, other: list, same: bool) -> np.ndarray:
 
 
 def _tiles(blocks: DataFrame) -> DataFrame:
-    """(sid, xs, ys, same, top) of each pair of a sequence's blocks."""
+    """(sid, block, b, xs, ys, same, top) of each pair of a sequence's blocks."""
     other = blocks.select(F.col("sid").alias("s"), F.col("block").alias("b"), F.col("xs").alias("ys"))
-    return blocks.join(other, (F.col("sid") == F.col("s")) & (F.col("block") <= F.col("b"))).select("sid", "xs", "ys", (F.col("block") == F.col("b")).alias("same"), "top")
+    return blocks.join(other, (F.col("sid") == F.col("s")) & (F.col("block") <= F.col("b"))).select("sid", "block", "b", "xs", "ys", (F.col("block") == F.col("b")).alias("same"), "top")
 
 
 def widths(blocks: DataFrame) -> DataFrame:
@@ -64,7 +77,7 @@ def widths(blocks: DataFrame) -> DataFrame:
                 cells = np.flatnonzero(held)
                 yield pd.DataFrame({"sid": sid, "cell": cells, "n": held[cells]})
 
-    held = _tiles(blocks).mapInPandas(count, "sid long, cell long, n long").groupBy("sid", "cell").agg(F.sum("n").alias("n"))
+    held = _each(_tiles(blocks), ["sid", "block", "b"], count, "sid long, cell long, n long").groupBy("sid", "cell").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("sid")
     held = held.select("sid", "cell", F.sum("n").over(by.orderBy("cell")).alias("upto"), F.sum("n").over(by).alias("pairs"), F.col("n"))
     middle = [F.floor((F.col("pairs") - 1) / 2), F.floor(F.col("pairs") / 2)]
@@ -80,7 +93,7 @@ def widths(blocks: DataFrame) -> DataFrame:
                 cell = at(d, top)
                 yield pd.DataFrame({"sid": sid, "d": d[(cell >= low) & (cell <= high)]})
 
-    values = _tiles(blocks).join(ranges.select("sid", "low", "high"), "sid").mapInPandas(near, "sid long, d double")
+    values = _each(_tiles(blocks).join(ranges.select("sid", "low", "high"), "sid"), ["sid", "block", "b"], near, "sid long, d double")
     placed = values.withColumn("at", F.row_number().over(by.orderBy("d")) - 1).join(ranges, "sid").withColumn("at", F.col("at") + F.col("before"))
     found = placed.where((F.col("at") == middle[0]) | (F.col("at") == middle[1])).groupBy("sid").agg(F.avg("d").alias("d"))
     every = blocks.select("sid").distinct().join(found, "sid", "left")
@@ -100,7 +113,7 @@ def _tile_sums(size: int):
                 k = _kernel(_matrix(xs), _matrix(ys), width)
                 after = k[::-1].cumsum(0)[::-1]
                 own = [s for s in starts if block * size <= s < block * size + len(k)]
-                out.append((sid, block, after[0].tolist(), own, [after[s - block * size].tolist() for s in own]))
+                out.append((sid, block, after[0], own, [after[s - block * size] for s in own]))
             yield pd.DataFrame(out, columns=["sid", "block", "whole", "starts", "parts"])
 
     return run
@@ -162,6 +175,7 @@ def _scanned(size: int, least: int, block: int):
 
 def change_points(rows: DataFrame, least: int, size: int = BLOCK) -> DataFrame:
     """(sid, ends): the ends of the segments of every sequence. rows: (sid, i, x, n, penalty), i from 0, x an array."""
+    size = min(size, max(SUMS // (rows.agg(F.max("n")).first()[0] or 1), SHORTEST))
     top = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
     blocks = rows.withColumn("block", F.floor(F.col("i") / size)).groupBy("sid", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("xs"), F.max(top).alias("top"), F.max("penalty").alias("penalty"))
     blocks = kept(blocks.withColumn("top", F.max("top").over(Window.partitionBy("sid"))), "kernel-blocks")
@@ -175,11 +189,11 @@ def change_points(rows: DataFrame, least: int, size: int = BLOCK) -> DataFrame:
         if b:
             needed = state.select("sid", "width", "starts", F.floor(F.array_min("starts") / size).alias("from"))
             earlier = blocks.where(F.col("block") < b).select("sid", "block", "xs").join(needed, "sid").where(F.col("block") >= F.col("from")).join(here, "sid")
-            tiles = earlier.mapInPandas(_tile_sums(size), "sid long, block long, whole array<double>, starts array<long>, parts array<array<double>>")
+            tiles = _each(earlier, ["sid", "block"], _tile_sums(size), "sid long, block long, whole array<double>, starts array<long>, parts array<array<double>>")
             now = now.join(tiles.groupBy("sid").agg(F.collect_list(F.struct("block", "whole", "starts", "parts")).alias("tiles")), "sid", "left")
         else:
             now = now.withColumn("tiles", F.lit(None).cast("array<struct<block:bigint,whole:array<double>,starts:array<bigint>,parts:array<array<double>>>>"))
-        state = kept(now.mapInPandas(_scanned(size, least, b), _STATE), "kernel-state")
+        state = kept(_each(now, ["sid"], _scanned(size, least, b), _STATE), "kernel-state")
         came.append(state.select("sid", F.lit(b).alias("block"), "came"))
     if not came:
         return rows.select("sid", F.array().cast("array<int>").alias("ends")).limit(0)

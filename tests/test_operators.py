@@ -619,3 +619,26 @@ def test_closest_by_blocks(spark, capsys, block):
     assert {r["g"]: r["d"] for r in got.collect()} == pytest.approx(want)
     metrics.redundancy(df, ["g"], "i", "v").explain()
     assert "i#" not in "".join(line for line in capsys.readouterr().out.splitlines() if "Join" in line)
+
+
+def test_kernel_search_takes_tiles_alone(spark, monkeypatch):
+    """However many blocks a sequence has, Python gets one pair of them at a time."""
+    taken = spark.sparkContext.accumulator(0)
+    most = []
+    data = np.random.default_rng(2).normal(size=(160, 3))
+    blocks = spark.createDataFrame([(0, b, data[b * 8 : b * 8 + 8].tolist(), float((data**2).sum(1).max())) for b in range(20)], "sid long, block long, xs array<array<double>>, top double").coalesce(1)
+    each = kernel_search._each
+
+    def counted(rows, keys, of, schema):
+        def one(batches):
+            held = list(batches)
+            taken.add(max(0, sum(map(len, held)) - 1))
+            return of(iter(held))
+
+        most.append(keys)
+        return each(rows, keys, one, schema)
+
+    monkeypatch.setattr(kernel_search, "_each", counted)
+    d = ((data[:, None] - data[None]) ** 2).sum(-1)[np.triu_indices(160, 1)]
+    assert kernel_search.widths(blocks).first()["width"] == pytest.approx(np.median(d))
+    assert most == [["sid", "block", "b"]] * 2 and taken.value == 0
