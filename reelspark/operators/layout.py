@@ -195,12 +195,13 @@ def matched_by_name(files: DataFrame, images: DataFrame, keys: list[str]) -> Dat
     numbers = lambda c: F.when(c.rlike(r"scene_\d+_frame_\d+"), scene_and_frame(c).cast("string"))
     rules = [lambda c: c, basename, stem, numbers]
     found = [files.select(*keys, "file", f(F.col("file")).alias("__m")).join(images.select(*keys, "image", f(F.col("image")).alias("__m")), [*keys, "__m"]).select(*keys, "file", "image", F.lit(i).alias("rule")) for i, f in enumerate(rules)]
-    for f in (lambda c: c, basename):
-        wanted = files.select(*keys, "file", f(F.col("file")).alias("__m")).where("__m <> ''").withColumn("__l", F.char_length("__m"))
-        lengths = wanted.select(*keys, "__l").distinct()
-        starts = F.sequence(F.lit(1), F.char_length("image") - F.col("__l") + 1)
-        parts = images.select(*keys, "image").join(lengths, keys).where(F.char_length("image") >= F.col("__l")).select(*keys, "image", "__l", F.explode(starts).alias("__s"))
-        parts = parts.select(*keys, "image", F.substring("image", F.col("__s"), F.col("__l")).alias("__m")).distinct()
-        found.append(wanted.join(parts, [*keys, "__m"]).select(*keys, "file", "image", F.lit(len(found)).alias("rule")))
+    name = F.when(basename(F.col("file")) != "", basename(F.col("file"))).otherwise(F.col("file"))  # whoever contains the path contains its name
+    wanted = files.select(*keys, "file", name.alias("__m")).where("__m <> ''").withColumn("__l", F.char_length("__m"))
+    lengths = wanted.select(*keys, "__l").distinct()
+    starts = F.sequence(F.lit(1), F.char_length("image") - F.col("__l") + 1)
+    parts = images.select(*keys, "image").join(lengths, keys).where(F.char_length("image") >= F.col("__l")).select(*keys, "image", "__l", F.explode(starts).alias("__s"))
+    parts = parts.select(*keys, "image", F.substring("image", F.col("__s"), F.col("__l")).alias("__m"))
+    rule = F.when(F.contains("image", "file"), len(found)).otherwise(len(found) + 1)
+    found.append(wanted.join(parts, [*keys, "__m"]).select(*keys, "file", "image", rule.alias("rule")))
     every = reduce(DataFrame.unionByName, found)
     return every.groupBy(*keys, "file").agg(F.min_by("image", F.struct("rule", "image")).alias("image"))

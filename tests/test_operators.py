@@ -642,3 +642,13 @@ def test_kernel_search_takes_tiles_alone(spark, monkeypatch):
     d = ((data[:, None] - data[None]) ** 2).sum(-1)[np.triu_indices(160, 1)]
     assert kernel_search.widths(blocks).first()["width"] == pytest.approx(np.median(d))
     assert most == [["sid", "block", "b"]] * 2 and taken.value == 0
+
+
+def test_names_are_taken_apart_once(spark, capsys):
+    """Parts of images' names are listed once for both rules of containment, and not gathered before they are looked up."""
+    files = spark.createDataFrame([(1, "n/5_a.jpg"), (1, "n/6_a.jpg"), (1, "n/")], "k int, file string")
+    images = spark.createDataFrame([(1, "x5_a.jpg"), (1, "zn/5_a.jpg.tmp"), (1, "y6_a.jpg"), (1, "y6_a.jpg6_a.jpg")], "k int, image string")
+    got = layout.matched_by_name(files, images, ["k"])
+    got.explain()
+    assert capsys.readouterr().out.count("Generate explode") == 1
+    assert {r["file"]: r["image"] for r in got.collect()} == {"n/5_a.jpg": "zn/5_a.jpg.tmp", "n/6_a.jpg": "y6_a.jpg", "n/": "zn/5_a.jpg.tmp"}
