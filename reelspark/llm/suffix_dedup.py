@@ -10,10 +10,11 @@ Within an interval the left contexts, sorted the same way, are scanned likewise:
 interval whose members agree as far as they can to both sides, and differ beyond, is a maximal
 repeat, and all its members are occurrences. A context that occurs twice is a group with itself.
 
-A seed with more than ``most`` different contexts isn't sorted in one task: its contexts are dealt out
-by the windows that choose the seed, and those that share a window are a group, a repeat with all its
-occurrences. A window chooses one seed, so this is linear in the text around such seeds. Copies of one
-text are first held against one of them, and only windows beyond what both share are looked up.
+A seed with more than ``most`` different contexts isn't sorted in one task: the contexts of all such seeds
+are sorted by ranges, once to each side, and neighbours tell how far a context agrees with any other there,
+across the ranges' borders too. No window that goes further can occur again. Copies of one text are held
+against one of them, and only windows that may occur again beyond what both share are listed, each in the
+one seed that it chooses; contexts that share one are a group, a repeat with all its occurrences.
 """
 
 from __future__ import annotations
@@ -223,7 +224,7 @@ def _groups(least: int, seed: int):
 
 
 def _windows(least: int, seed: int, which: str = "all"):
-    """The windows of ``least`` bytes that choose each context's seed: (repeat, seed, context, back, n).
+    """The windows of ``least`` bytes that choose each context's seed and lie in ``far_left`` and ``far_right``: (repeat, seed, context, back, n).
 
     which: all; edges, only the outermost two; or beyond, those outside ``left`` and ``right`` of the row.
     """
@@ -244,6 +245,8 @@ def _windows(least: int, seed: int, which: str = "all"):
                 start = np.flatnonzero((np.arange(len(place)) + least <= ends[row]) & (place == at[row]))
                 row = row[start]
                 back = at[row] - start
+                may = (back <= part.column("far_left").to_numpy()[row]) & (least - back <= part.column("far_right").to_numpy()[row])
+                row, start, back = row[may], start[may], back[may]
                 keep = np.ones(len(row), bool)
                 if which == "edges":
                     keep[1:-1] = (row[1:-1] != row[:-2]) | (row[1:-1] != row[2:])
@@ -256,17 +259,56 @@ def _windows(least: int, seed: int, which: str = "all"):
     return hashed
 
 
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How much of ``side`` each context of a partition sorted by seed and side shares with a neighbour of its seed; the first and the last keep their side."""
+    schema = pa.schema([("seed", pa.int64()), ("context", pa.int64()), ("shared", pa.int64()), ("side", pa.binary())])
+    above, first = None, True
+    for batch in batches:
+        out = []
+        for seed, context, side in zip(*(batch.column(c).to_pylist() for c in ("seed", "context", "side")), strict=True):
+            shared = common_prefix(above[3], side) if above and above[0] == seed else 0
+            if above:
+                out.append((*above[:2], max(above[2], shared), above[3] if first else None))
+                first = False
+            above = (seed, context, shared, side)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 4, schema.types, strict=True)], schema=schema)
+    if above:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(above, schema.types, strict=True)], schema=schema)
+
+
+def _most_shared(many: DataFrame, side: str) -> DataFrame:
+    """(seed, context, shared): the longest start of ``side`` that a context has in common with another of its seed.
+
+    All are sorted by ranges, so a seed's contexts may lie in many tasks; then the ends of ranges, two a task, are held against each other.
+    """
+    order, schema = ["seed", "side", "context"], "seed long, context long, shared long, side binary"
+    rows = many.select("seed", "context", F.col(side).alias("side")).repartitionByRange(*order).sortWithinPartitions(*order)
+    inner = materialize(rows.mapInArrow(_beside, schema), "suffix-beside")
+    ends = inner.where("side IS NOT NULL").repartition("seed").sortWithinPartitions(*order).mapInArrow(_beside, schema)
+    return inner.unionByName(ends).select("seed", "context", "shared")
+
+
+def _bounded(many: DataFrame) -> DataFrame:
+    """``many`` with ``far_left`` and ``far_right``: how far each context agrees with any other of its seed to either side."""
+    many = materialize(many, "suffix-many")
+    left, right = _most_shared(many, "behind"), _most_shared(many, "ahead")
+    far = left.select("seed", "context", F.col("shared").alias("far_left"), F.lit(0).cast("long").alias("far_right"))
+    far = far.unionByName(right.select("seed", "context", F.lit(0).cast("long").alias("far_left"), F.col("shared").alias("far_right")))
+    far = far.groupBy("seed", "context").agg(F.max("far_left").alias("far_left"), F.max("far_right").alias("far_right"))
+    return materialize(many.join(far, ["seed", "context"]), "suffix-bounded")
+
+
 def _against(least: int):
-    """How far each context is covered by what it shares with its seed's pivot; 0, 0 if that is no repeat, or it is the pivot."""
+    """How far each context is covered by what it shares with its seed's pivot; 0, 0 if that is no repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for context, pivot, a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("context", "pivot", "behind", "ahead", "pivot_behind", "pivot_ahead")), strict=True):
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("behind", "ahead", "pivot_behind", "pivot_ahead")), strict=True):
                 left, right = common_prefix(a, x), common_prefix(b, y)
-                out.append((left, right) if context != pivot and left + right >= least else (0, 0))
+                out.append((left, right) if left + right >= least else (0, 0))
             reach = list(zip(*out, strict=True)) or [(), ()]
-            names = ["seed", "context", "n", "behind", "ahead"]
+            names = ["seed", "context", "n", "behind", "ahead", "far_left", "far_right"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(r, pa.int64()) for r in reach)], [*names, "left", "right"])
 
     return run
@@ -293,28 +335,30 @@ _WINDOW = "repeat long, seed long, context long, back int, n long"
 _ONE_WINDOW = ["repeat", "seed", "back"]
 
 
-def _repeated_windows(many: DataFrame, least: int, seed: int) -> DataFrame:
+def _repeated_windows(windows: DataFrame) -> DataFrame:
     """(repeat, seed, back, total) of the windows that occur more than once; written down, so that joins with it are plain ones."""
-    windows = many.mapInArrow(_windows(least, seed), _WINDOW)
     return materialize(windows.groupBy(_ONE_WINDOW).agg(F.sum("n").alias("total")).where("total > 1"), "suffix-windows")
 
 
 def _large_reaches(many: DataFrame, least: int, seed: int) -> DataFrame:
     """(seed, context, left, right) for seeds with many contexts: by the pivot, and by windows beyond what is shared with it."""
-    many = materialize(many, "suffix-many")
-    common = _repeated_windows(many, least, seed)
-    edges = many.mapInArrow(_windows(least, seed, "edges"), _WINDOW).join(common, _ONE_WINDOW)
+    many = _bounded(many)
+    edges = materialize(many.mapInArrow(_windows(least, seed, "edges"), _WINDOW), "suffix-edges")
     # The pivot of a seed: the context whose outermost windows are the most common; any choice is right.
-    edges = edges.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("edges"), F.min("total").alias("total"))
-    pivots = edges.groupBy("seed").agg(F.max(F.struct("edges", "total", "context")).alias("p")).select("seed", F.col("p.context").alias("context"))
+    common = edges.join(_repeated_windows(edges), _ONE_WINDOW).groupBy("seed", "context").agg(F.count(F.lit(1)).alias("edges"), F.min("total").alias("total"))
+    pivots = common.groupBy("seed").agg(F.max(F.struct("edges", "total", "context")).alias("p")).select("seed", F.col("p.context").alias("context"))
     pivots = many.join(pivots, ["seed", "context"]).select("seed", F.col("context").alias("pivot"), F.col("behind").alias("pivot_behind"), F.col("ahead").alias("pivot_ahead"))
     pivots = materialize(pivots, "suffix-pivots")
     none = F.lit(b"")
-    held = many.join(pivots, "seed", "left").withColumns({"pivot": F.coalesce("pivot", "context"), "pivot_behind": F.coalesce("pivot_behind", none), "pivot_ahead": F.coalesce("pivot_ahead", none)})
-    held = materialize(held.mapInArrow(_against(least), "seed long, context long, n long, behind binary, ahead binary, left long, right long"), "suffix-reaches")
-    beyond = held.mapInArrow(_windows(least, seed, "beyond"), _WINDOW).join(common.select(_ONE_WINDOW), _ONE_WINDOW)
+    held = many.join(pivots, "seed", "left").where("pivot IS NULL OR context <> pivot").withColumns({"pivot_behind": F.coalesce("pivot_behind", none), "pivot_ahead": F.coalesce("pivot_ahead", none)})
+    held = materialize(held.mapInArrow(_against(least), "seed long, context long, n long, behind binary, ahead binary, far_left long, far_right long, left long, right long"), "suffix-reaches")
+    shared = held.where("left + right > 0").select("seed", "context", "left", "right")
+    # Whoever has a window that isn't the pivot's in common with another has it beyond what it shares with the pivot, and so has the other.
+    beyond = materialize(held.mapInArrow(_windows(least, seed, "beyond"), _WINDOW), "suffix-beyond")
+    beyond = beyond.join(_repeated_windows(beyond).select(_ONE_WINDOW), _ONE_WINDOW)
     beyond = beyond.groupBy("seed", "context").agg(F.max("back").cast("long").alias("left"), (F.lit(least) - F.min("back")).cast("long").alias("right"))
-    return held.where("left + right > 0").select("seed", "context", "left", "right").unionByName(beyond)
+    own = shared.groupBy("seed").agg(F.max("left").alias("left"), F.max("right").alias("right")).join(pivots, "seed").select("seed", F.col("pivot").alias("context"), "left", "right")
+    return shared.unionByName(beyond).unionByName(own)
 
 
 def _span(left: Column | str, right: Column | str) -> list[Column]:
@@ -350,7 +394,10 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     few, many = few_and_many(contexts, most, "suffix")
     schema = "repeat long, seed long, context long, left long, right long"
     found = few.repartition("seed").sortWithinPartitions("seed", "context").mapInArrow(_groups(least, seed), schema)
-    shared = many.mapInArrow(_windows(least, seed), _WINDOW).join(_repeated_windows(many, least, seed), _ONE_WINDOW)
+    alone = F.col("n") > 1  # a context that occurs twice has all its windows in common with itself
+    many = _bounded(many).withColumns({"far_left": F.when(alone, least).otherwise(F.col("far_left")), "far_right": F.when(alone, least).otherwise(F.col("far_right"))})
+    windows = materialize(many.mapInArrow(_windows(least, seed), _WINDOW), "suffix-listed")
+    shared = windows.join(_repeated_windows(windows), _ONE_WINDOW)
     found = found.unionByName(shared.select("repeat", "seed", "context", F.col("back").cast("long").alias("left"), (F.lit(least) - F.col("back")).cast("long").alias("right")))
     # A repeated context without others has no array to be in: it is a group as it stands.
     lone = again.where("NOT multi").select(F.xxhash64("seed", "context").alias("repeat"), "seed", "context", F.lit(least - seed).cast("long").alias("left"), F.lit(least).cast("long").alias("right")).distinct()

@@ -35,6 +35,55 @@ def test_intervals():
     assert list(suffix_dedup.intervals([])) == []
 
 
+def test_large_groups_list_few_windows(spark, monkeypatch):
+    """A passage amid other words, and copies with one word changed: around such seeds a few windows a text are listed, not all of them."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    passage, copy = text(40), text(60)
+    texts = [" ".join(text(30) + passage + text(30)) for _ in range(60)]
+    for k in range(60):
+        at = rng.randrange(60)
+        texts.append(" ".join([*copy[:at], word() if k % 3 else f"same{k % 2}", *copy[at + 1 :]]))
+    made, plain = spark.sparkContext.accumulator(0), suffix_dedup._windows
+
+    def counted(*args):
+        listed = plain(*args)
+
+        def run(batches):
+            for batch in listed(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_windows", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.dedup(docs, most=5).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == removed_bytes([t.encode() for t in texts], 200)
+    assert 0 < made.value < 40 * len(texts)
+
+
+def test_most_shared_across_ranges(spark):
+    """Neighbours may lie in different ranges; there are more ranges here than a range has rows."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(k % 3, k, bytes(rng.choice(b"ab\xff") for _ in range(rng.randint(0, 8)))) for k in range(90)]
+    want = {(s, c): max(suffix_dedup.common_prefix(x, y) for t, d, y in rows if t == s and d != c) for s, c, x in rows}
+    had = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = suffix_dedup._most_shared(spark.createDataFrame(rows, "seed long, context long, behind binary"), "behind").groupBy("seed", "context").max("shared").collect()
+    finally:
+        for c, v in had.items():
+            spark.conf.set(c, v)
+    assert {(s, c): n for s, c, n in got} == want
+
+
 def removed_words(texts, window, ids=None):
     """ids: ascending, equal ones are one document to each other."""
     first = {}
