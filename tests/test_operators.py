@@ -644,6 +644,50 @@ def test_kernel_search_takes_tiles_alone(spark, monkeypatch):
     assert most == [["sid", "block", "b"]] * 2 and taken.value == 0
 
 
+def moved(spark):
+    """Bytes that tasks have given to exchanges so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_kernel_search_moves_rows_once(spark, monkeypatch):
+    """Exchanges get a sequence's vectors, not each pair of its blocks."""
+    monkeypatch.setattr(kernel_search, "WHOLE", 1, raising=False)
+    data = np.random.default_rng(3).normal(size=(160, 200))
+    rows = spark.createDataFrame([(0, i, v.tolist(), 160, 30.0) for i, v in enumerate(data)], "sid long, i long, x array<double>, n long, penalty double")
+    began = moved(spark)
+    assert kernel_search.change_points(rows, 3, 20).first()["ends"] == one_task_search(data, 30.0, 3)
+    assert moved(spark) - began < 4 * data.nbytes
+
+
+@pytest.mark.parametrize(("block", "least", "penalties", "sizes"), [(16, 3, (0.4, 5.0, 6.0), (100, 30, 17)), (9, 8, (0.3, 1.0), (40, 60)), (12, 2, (2.0, 30.0), (60, 33))])
+def test_kernel_search_in_steps(spark, monkeypatch, block, least, penalties, sizes):
+    """Sequences that no task sees whole, with small penalties, by which starts end within a block."""
+    monkeypatch.setattr(kernel_search, "WHOLE", 1)
+    rng = np.random.default_rng(block)
+    data = [stepped(rng, n) for n in sizes]
+    rows = spark.createDataFrame([(s, i, v.tolist(), len(x), p) for s, (x, p) in enumerate(zip(data, penalties, strict=True)) for i, v in enumerate(x)], "sid long, i long, x array<double>, n long, penalty double").repartition(3)
+    got = {r["sid"]: r["ends"] for r in kernel_search.change_points(rows, least, block).collect()}
+    assert got == {s: one_task_search(x, p, least) for s, (x, p) in enumerate(zip(data, penalties, strict=True))}
+    assert len(got[0]) > 2
+
+
+def test_kernel_widths_by_finer_ranges(spark, monkeypatch):
+    """The middle range is divided until few pairs are left; equal distances and a gap in the middle do no harm."""
+    monkeypatch.setattr(kernel_search, "FEW", 0)
+    monkeypatch.setattr(kernel_search, "PANEL", 50)
+    rng = np.random.default_rng(9)
+    data = [rng.normal(size=(70, 3)), np.repeat(rng.normal(size=(4, 3)), 9, 0), np.array([[0.0], [1.0], [1.0], [101.0]]) * np.ones(3), np.ones((5, 3)), np.ones((1, 3))]
+    blocks = [(s, b, x[b * 8 : b * 8 + 8].tolist(), float((x**2).sum(1).max())) for s, x in enumerate(data) for b in range(-(-len(x) // 8))]
+    got = {r["sid"]: r["width"] for r in kernel_search.widths(spark.createDataFrame(blocks, "sid long, block long, xs array<array<double>>, top double")).collect()}
+    for s, x in enumerate(data):
+        d = ((x[:, None] - x[None]) ** 2).sum(-1)[np.triu_indices(len(x), 1)]
+        want = (np.median(d) if len(d) else 1.0) or 1.0
+        assert got[s] == pytest.approx(want) and kernel_search._width(x) == pytest.approx(want)
+
+
 def test_names_are_taken_apart_once(spark, capsys):
     """Parts of images' names are listed once for both rules of containment, and not gathered before they are looked up."""
     files = spark.createDataFrame([(1, "n/5_a.jpg"), (1, "n/6_a.jpg"), (1, "n/")], "k int, file string")
